@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import sharding, syncmers
+from medlake.llm import langid, secrets, sharding, syncmers
 from medlake.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns and what the network adds."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.labelled_sample(docs))
+    return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 24).select(
@@ -21,5 +33,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op7_fingerprints": op7_fingerprints}
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_language": op2_language,
+    "op5_sharding": op5_sharding,
+    "op7_fingerprints": op7_fingerprints,
+}
 ORACLES: dict[str, str] = {}
