@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import langid, secrets, sharding, syncmers
+from medlake.llm import decontaminate, htmltext, langid, secrets, sharding, syncmers
 from medlake.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 24).select(
@@ -28,6 +33,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents; a document without any has no row."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-syncmer fingerprints of every document and of its edited text."""
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
@@ -36,7 +46,9 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_language": op2_language,
+    "op3_main_text": op3_main_text,
     "op5_sharding": op5_sharding,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_fingerprints": op7_fingerprints,
 }
 ORACLES: dict[str, str] = {}
