@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import decontaminate, htmltext, langid, secrets, sharding, syncmers
+from medlake.llm import decontaminate, htmltext, langid, linededup, minhash, pieces, secrets, sharding, syncmers
 from medlake.llm.common import table
 
 
@@ -43,6 +43,21 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, or one within two edits of it."""
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every document, as hashes of their ids, and the round trip of the best."""
+    return pieces.encode_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on shingles of two words."""
+    return minhash.duplicates(table(spark, sf_dir, "documents"), 2)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_language": op2_language,
@@ -50,5 +65,8 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_fingerprints": op7_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_pieces": op9_pieces,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
