@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import decontaminate, htmltext, langid, linededup, minhash, pieces, secrets, sharding, syncmers
+from medlake.llm import decontaminate, htmltext, langid, linededup, minhash, pieces, secrets, sharding, suffixdedup, syncmers
 from medlake.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur elsewhere."""
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 24).select(
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_language": op2_language,
     "op3_main_text": op3_main_text,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_fingerprints": op7_fingerprints,
