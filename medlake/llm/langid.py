@@ -175,3 +175,17 @@ def predict(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | No
             yield batch.drop(columns="__text").assign(lang_pred=langs, score=scores, bits_per_char=bits)
 
     return docs.select(*keep, whole_text().alias("__text")).mapInPandas(run, schema)
+
+
+def accepted(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
+    """The rows whose language can be told, with all their columns; decided row by row."""
+    arrow_batches(docs.sparkSession, 500)
+    sample = tuple(sample)
+
+    def run(batches):
+        parser = parser_of(sample)
+        for batch in batches:
+            langs, _, _ = parser.predict([t or "" for t in batch["text"]])
+            yield batch[[lang != UNDETERMINED for lang in langs]]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -164,3 +164,9 @@ def duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame
     placed = rows.join(doubles, "set_key", "left").withColumn("id", F.coalesce("id", "doc_id"))
     placed = placed.join(broadcast_if_small(labels, n_labels), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return placed.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows that are not the first of their group, with all their columns."""
+    gone = checkpoint(duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == F.col("__gone"), "left_anti")

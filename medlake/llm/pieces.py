@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import log
 
@@ -290,34 +290,41 @@ def segment(texts: list[str], vocab: Vocabulary, n: int = N_BEST) -> list[list[t
 
 def encode(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
     """doc_id, ids of each of the n best segmentations, their scores, and whether the best decodes to the text."""
-    return _run(docs, n_best, model, "doc_id long, ids array<array<int>>, scores array<double>, round_trip boolean", True)
+    return _run(docs, n_best, model, "ids array<array<int>>", lambda found: [np.frombuffer(b, "<i4") for _, b in found])
+
+
+def encode_best(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
+    """As encode, with the ids of the best segmentation only; the scores are of the n best."""
+    return _run(docs, n_best, model, "ids array<int>", lambda found: np.frombuffer(found[0][1], "<i4"))
 
 
 def encode_digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) -> DataFrame:
     """As encode, with the hash of each segmentation's little-endian ids for the ids."""
-    return _run(docs, n_best, model, "doc_id long, n_pieces long, ids_sha256 array<string>, scores array<double>, round_trip boolean", False)
+    return _run(docs, n_best, model, "ids_sha256 array<string>", lambda found: [hashlib.sha256(b).hexdigest() for _, b in found])
 
 
-def _run(docs: DataFrame, n_best: int, model: str, schema: str, with_ids: bool) -> DataFrame:
+def _run(docs: DataFrame, n_best: int, model: str, column: str, made: Callable[[list[tuple[int, bytes]]], object]) -> DataFrame:
     arrow_batches(docs.sparkSession, 2500)
+    name = column.split()[0]
 
     def run(batches):
         vocab = vocabulary(model)
         for batch in batches:
             texts = list(batch["text"])
             found = segment(texts, vocab, n_best)
-            ids = [[np.frombuffer(b, "<i4") for _, b in rows] for rows in found]
-            out = {"doc_id": batch["doc_id"]}
-            if with_ids:
-                out["ids"] = ids
-            else:
-                out["n_pieces"] = [len(x[0]) for x in ids]
-                out["ids_sha256"] = [[hashlib.sha256(b).hexdigest() for _, b in rows] for rows in found]
-            out["scores"] = [[s / 1e6 for s, _ in rows] for rows in found]
-            out["round_trip"] = [vocab.decode(x[0]) == t for x, t in zip(ids, texts, strict=True)]
-            yield pd.DataFrame(out)
-
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, schema)
+            best = [np.frombuffer(rows[0][1], "<i4") for rows in found]
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"],
+                    "n_pieces": [len(x) for x in best],
+                    name: [made(rows) for rows in found],
+                    "scores": [[s / 1e6 for s, _ in rows] for rows in found],
+                    "round_trip": [vocab.decode(x) == t for x, t in zip(best, texts, strict=True)],
+                }
+            )
+
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    return rows.mapInPandas(run, f"doc_id long, n_pieces long, {column}, scores array<double>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
