@@ -50,6 +50,7 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """Rows to a batch handed to Python: bounds a worker's memory when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Bytes to a batch handed to Python, which bounds a worker's memory however long the texts; narrow rows go in large batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")

@@ -78,27 +78,76 @@ def shared_members(pairs: DataFrame) -> DataFrame:
     return pairs.repartition("key").sortWithinPartitions("key", "id").mapInPandas(run, "key long, id long")
 
 
-def grouped(pairs: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Members of a key that stand in one block; ids of other components pass by every block of their key.
+BLOCK = 1000
+
+#: Takes the payloads of a block's members; gives what tells, of one payload, which of them it links to.
+Prepare = Callable[[list[bytes]], Callable[[bytes], np.ndarray]]
+
+
+def meet(rows: DataFrame, payload: DataFrame, prepare: Prepare) -> DataFrame:
+    """Links (a, b) between ids of the same key that lie in different components.
+
+    rows: (key, id, of).  The members of a key stand in blocks of bounded size, and those
+    outside its largest component pass by each block as a stream, so no task holds a key
+    and no pair leaves a task unless it is a link.
+    """
+    by = rows.groupBy("key", "of").agg(F.count(F.lit(1)).alias("n"))
+    keys = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "of")).alias("largest"))
+    keys = keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("largest.of").alias("largest"))
+    placed = rows.join(keys, "key").join(payload, "id")
+    members = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("passing", F.lit(0))
+    passing = placed.where("of <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("passing", F.lit(1))
+    both = members.unionByName(passing).select("key", "block", "passing", "id", "of", "largest", "data")
+
+    def run(batches):
+        here, ids, ofs, data, test, largest = None, [], [], [], None, None
+        for batch in batches:
+            a, b = [], []
+            for key, block, late, i, of, major, d in zip(*(batch[c] for c in batch.columns), strict=True):
+                if (key, block) != here:
+                    here, ids, ofs, data, test, largest = (key, block), [], [], [], None, major
+                if not late:
+                    ids.append(i), ofs.append(of), data.append(d)
+                    continue
+                if not len(ids):
+                    continue
+                if test is None:
+                    test, ids, ofs = prepare(data), np.array(ids), np.array(ofs)
+                # two that both pass by meet twice; once is enough
+                for j in np.flatnonzero(test(d) & (ofs != of) & ((ofs == largest) | (ids < i))):
+                    a.append(min(i, ids[j])), b.append(max(i, ids[j]))
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    dealt = both.repartition("key", "block").sortWithinPartitions("key", "block", "passing", "id")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def grouped(
+    pairs: DataFrame, linked: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], prepare: Prepare
+) -> DataFrame:
     """id and component of all ids that a link joins to another.
 
-    pairs: (key, id), ids of a key being candidates of each other.  linked: keeps the true
-    links of candidate pairs (a, b).  First every id is compared with the most central id of
-    its keys, then members of other components with the centres, and last all ids of a key
-    that still lie in different components.  Pairs inside a component could not change it.
+    pairs: (key, id), ids of a key being candidates of each other.  linked keeps the true
+    links of candidate pairs (a, b); payload and prepare serve meet().  First every id is
+    compared with the most central id of its keys, then members of other components with
+    the centres, and last all ids of a centre that still lie in different components.
+    Pairs inside a component could not change it.
     """
     members = checkpoint(shared_members(pairs))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
     heaviest = F.max(F.struct("weight", (-F.col("id")).alias("less"))).alias("c")
     centres = members.join(weight, "id").groupBy("key").agg(heaviest).select("key", "c.weight", (-F.col("c.less")).alias("centre"))
-    spokes = members.join(centres, "key").where("id <> centre").groupBy("id", "centre").agg(F.max("weight").alias("weight"))
-    spokes = checkpoint(spokes)
+    # ids that share a key share its centre, itself among them
+    spokes = checkpoint(members.join(centres, "key").groupBy("id", "centre").agg(F.max("weight").alias("weight")))
+    rays = spokes.where("id <> centre")
 
     def ordered(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     best = F.max_by("centre", F.struct("weight", (-F.col("centre")).alias("less"))).alias("centre")
-    tested = checkpoint(spokes.groupBy("id").agg(best).select(*ordered("id", "centre")).distinct())
+    tested = checkpoint(rays.groupBy("id").agg(best).select(*ordered("id", "centre")).distinct())
     found = checkpoint(linked(tested))
     labels = components(found)
 
@@ -106,21 +155,19 @@ def grouped(pairs: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataF
         known = labels.select(F.col("id").alias(column), F.col("component").alias(to))
         return df.join(known, column, "left").withColumn(to, F.coalesce(to, column))
 
-    for last in (False, True):
-        if last:
-            split = label(members, "id", "of")
-            mixed = split.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
-            split = checkpoint(split.join(mixed, "key"))
-            x, y = (split.select("key", F.col("id").alias(s), F.col("of").alias(f"of_{s}")) for s in "ab")
-            apart = x.join(y, "key").where("a < b and of_a <> of_b").select("a", "b").distinct()
-        else:
-            apart = label(label(spokes, "id", "of"), "centre", "to").where("of <> to").select(*ordered("id", "centre")).distinct()
-        apart = checkpoint(apart.join(tested, ["a", "b"], "left_anti"))
-        if apart.isEmpty():
-            continue
+    apart = label(label(rays, "id", "of"), "centre", "to").where("of <> to").select(*ordered("id", "centre")).distinct()
+    apart = checkpoint(apart.join(tested, ["a", "b"], "left_anti"))
+    if not apart.isEmpty():
         more = checkpoint(linked(apart))
-        tested = tested.unionByName(apart)
         if not more.isEmpty():
-            found = found.unionByName(more)
+            found = checkpoint(found.unionByName(more))
             labels = components(found)
+    rows = label(spokes.select(F.col("centre").alias("key"), "id"), "id", "of")
+    mixed = rows.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("n"))
+    # a key of two ids was decided with its centre
+    rows = checkpoint(rows.join(mixed.where("low <> high and n > 2").select("key"), "key", "left_semi"))
+    if not rows.isEmpty():
+        more = checkpoint(meet(rows, payload(checkpoint(rows.select("id").distinct())), prepare))
+        if not more.isEmpty():
+            labels = components(found.unionByName(more))
     return labels

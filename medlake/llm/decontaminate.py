@@ -136,7 +136,7 @@ def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK) -> list[tuple[tup
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance and end of each item that a document holds; documents without any have no row."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     texts = docs.select("doc_id", whole_text().alias("text"))
     out = None
     for items in item_blocks(benchmark):
@@ -154,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item, with all their columns; decided row by row, without a join."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     for items in item_blocks(benchmark):
 
         def run(batches, items=items):

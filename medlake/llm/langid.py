@@ -163,7 +163,7 @@ def parser_of(sample: tuple[tuple[str, str], ...]) -> CrossParser:
 
 def predict(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
     """lang_pred, score and bits_per_char of each text beside the columns to keep; the sample goes to the tasks as text."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     sample = tuple(sample)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double, bits_per_char double"])
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | No
 
 def accepted(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
     """The rows whose language can be told, with all their columns; decided row by row."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     sample = tuple(sample)
 
     def run(batches):

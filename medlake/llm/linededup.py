@@ -15,6 +15,9 @@ document and are treated alike.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -40,18 +43,28 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def keys_of(line: str, edits: int, least: int = LEAST) -> set[int]:
-    """Hashes of a line's own segments and of its probes for lines as long or shorter."""
-    n, out = len(line), set()
+@lru_cache(4096)
+def probes(n: int, edits: int, least: int) -> tuple[tuple[int, int, int], ...]:
+    """(start, end, seed) of the substrings that a line of n code points is looked up by; the seed tells segment and length."""
+    out = set()
     for length in range(max(least, n - edits), n + 1):
         more = n - length
         for i, (start, end) in enumerate(segments(length, edits)):
             size = end - start
             low = max(0, start - i, start + more - (edits - i))
             high = min(n - size, start + i, start + more + (edits - i))
-            for at in range(low, high + 1):
-                out.add(signed_hash(f"{i} {length} {line[at : at + size]}"))
-    return out
+            out |= {(at, at + size, length * (edits + 1) + i) for at in range(low, high + 1)}
+    return tuple(sorted(out))
+
+
+def keys_of(line: str, edits: int, least: int = LEAST) -> set[int]:
+    """Hashes of a line's own segments and of its probes for lines as long or shorter."""
+    raw = line.encode("utf-8", "surrogatepass")
+    if len(raw) == len(line):
+        found = {xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b, seed in probes(len(line), edits, least)}
+    else:
+        found = {xxhash.xxh3_64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in probes(len(line), edits, least)}
+    return found
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -97,16 +110,42 @@ def _keys(docs: DataFrame, edits: int) -> DataFrame:
             lines = {x for t in batch["text"] for x in t.split("\n") if len(x) >= LEAST}
             found = {signed_hash(x): keys_of(x, edits) for x in lines}
             ids = np.repeat(np.fromiter(found, np.int64, len(found)), [len(k) for k in found.values()])
-            yield pd.DataFrame({"key": np.fromiter((k for ks in found.values() for k in ks), np.int64, len(ids)), "id": ids})
+            keys = np.fromiter(chain.from_iterable(found.values()), np.uint64, len(ids))
+            yield pd.DataFrame({"key": keys.view(np.int64), "id": ids})
 
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text").mapInPandas(run, "key long, id long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and line of the given line ids."""
     lines = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.where(F.length("line") >= LEAST).select(F.xxhash64("line").alias("id"), "line")
-    lines = lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    return lines.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+
+
+def _tally(line: str) -> np.ndarray:
+    """How often characters occur, in 64 classes; an edit changes two counts at most."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(points & 63, minlength=64)
+
+
+def among(lines: list[bytes], edits: int):
+    """What tells of one line which of these lie within so many edits of it."""
+    texts = [x.decode() for x in lines]
+    tallies = np.stack([_tally(x) for x in texts]).astype(np.int32)
+
+    def test(data: bytes) -> np.ndarray:
+        line = data.decode()
+        out = np.zeros(len(texts), bool)
+        for j in np.flatnonzero(np.abs(tallies - _tally(line).astype(np.int32)).sum(1) <= 2 * edits):
+            out[j] = within(texts[j], line, edits)
+        return out
+
+    return test
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
+    lines = _texts(docs, checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     left, right = (lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
 
     def run(batches):
@@ -119,8 +158,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
 
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, place, line id and class of every line long enough; first where the class begins."""
-    arrow_batches(docs.sparkSession, 1000)
-    labels = grouped(_keys(docs, edits), lambda pairs: _linked(pairs, docs, edits))
+    arrow_batches(docs.sparkSession)
+    labels = grouped(
+        _keys(docs, edits),
+        lambda pairs: _linked(pairs, docs, edits),
+        lambda ids: _texts(docs, ids).select("id", F.col("line").cast("binary").alias("data")),
+        lambda lines: among(lines, edits),
+    )
     known = broadcast_if_small(labels, labels.count())
     rows = _lines(docs).join(known, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     firsts = rows.groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -151,14 +151,38 @@ def links(pairs: DataFrame, docs: DataFrame, words: int, percent: int = PERCENT)
     return joined.select("a", "b", "siga", "sigb", "founda", "foundb").mapInPandas(run, "a long, b long")
 
 
+def among(sets: list[bytes], percent: int = PERCENT):
+    """What tells of one set which of these reach the threshold with it, by the places of each shingle."""
+    arrays = [np.frombuffer(s, np.uint64) for s in sets]
+    sizes = np.array([len(x) for x in arrays])
+    flat, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def test(data: bytes) -> np.ndarray:
+        x = np.frombuffer(data, np.uint64)
+        low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        both = np.bincount(owner[at], minlength=len(sizes))
+        return 100 * both >= percent * (len(x) + sizes - both)
+
+    return test
+
+
 def duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     rows = written(sketches(docs, words), "sketches")
     sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     reps = rows.where("n_shingles > 0").select("doc_id", "set_key", "bands").join(sets.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     keys = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    labels = grouped(keys, lambda pairs: links(pairs, docs, words, percent))
+    labels = grouped(
+        keys,
+        lambda pairs: links(pairs, docs, words, percent),
+        lambda ids: full_sets(docs, broadcast_if_small(ids, ids.count()), words).select("id", F.col("found").alias("data")),
+        lambda sets: among(sets, percent),
+    )
     n_labels = labels.count()
     doubles = sets.where("n > 1").select("set_key", "id")
     placed = rows.join(doubles, "set_key", "left").withColumn("id", F.coalesce("id", "doc_id"))

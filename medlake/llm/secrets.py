@@ -246,7 +246,7 @@ FINDINGS = "doc_id long, kinds array<string>, starts array<int>, ends array<int>
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document with its findings by start."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
 
     def run(batches):
         net = model()

@@ -239,7 +239,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _over(docs: DataFrame, row: Callable[[int, bytes, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
     """A row of each document, made from its id, its bytes and the spans of them that go."""
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     per_row = checkpoint(repeats(docs).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("runs")))
     columns = [c.split()[0] for c in schema.split(", ")]
 
