@@ -9,7 +9,7 @@ distinct units side by side in numpy, and the A* search runs only on the units w
 second choice costs least: no other unit can differ in the N best.
 
 The vocabulary file is of the BPE kind and gives ranks, not probabilities; a piece scores
-the logarithm of its rank, after Zipf, in whole millionths, so that sums are exact.  A
+the logarithm of its rank, after Zipf, in whole ten-thousandths, so that sums are exact.  A
 character that is no piece becomes its UTF-8 bytes.  Ties go to the shorter last piece.
 
 Nulls: a null text is empty, and the empty text has no pieces.  Texts that hold the
@@ -38,7 +38,11 @@ N_BEST = 3
 MARK = "▁"
 UNIT = re.compile(" +[^ ]*|[^ ]+")
 NONE = -(1 << 60)
-BYTE_SCORE = -12_000_000
+#: No path, in the 32-bit tables; three such still fit, and no unit of SIDE_BY_SIDE characters scores as low as a quarter of it.
+LOW = -600_000_000
+#: A score unit is a ten-thousandth.
+UNITS = 10_000
+BYTE_SCORE = -120_000
 #: Units up to this length are solved side by side; longer ones one by one.
 SIDE_BY_SIDE = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +66,7 @@ class Vocabulary:
                 self.bytes_of.append(b"")
             else:
                 text = piece.replace(MARK, " ")
-                self.piece_of.setdefault(text, (i, -round(1e6 * log(max(2, i - 256)))))
+                self.piece_of.setdefault(text, (i, -round(UNITS * log(max(2, i - 256)))))
                 self.bytes_of.append(text.encode())
         self.longest = max(map(len, self.piece_of))
         if any(re.search("[^ ] ", p) for p in self.piece_of):
@@ -166,69 +170,72 @@ class Vocabulary:
         return ahead[n], ahead[n] - other if other > NONE // 2 else -NONE, np.array(ids, "<i4").tobytes()
 
     def _side_by_side(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """solve() for units of similar length; a row of each table is one place in all units."""
         width, n = int(lengths.max()), len(units)
-        codes = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        codes = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.ascontiguousarray(codes.reshape(n, width).T)
         points = codes.astype(np.uint64) + np.uint64(1)
         scores, ids = [], []
-        key = np.zeros((n, width + 1), np.uint64)
+        key = np.zeros((width + 1, n), np.uint64)
         for m in range(1, min(width, self.longest) + 1):
-            key = key[:, : width - m + 1] * _P + points[:, m - 1 :]
-            s, d = np.full(key.shape, NONE), np.zeros(key.shape, np.int32)
-            where = np.nonzero(self.maybe[(key * _MIX) >> np.uint64(44)])
-            k = key[where]
+            key = key[: width - m + 1] * _P
+            key += points[m - 1 :]
+            s, d = np.full(key.shape, LOW, np.int32), np.zeros(key.shape, np.int16)
+            where = np.flatnonzero(self.maybe[(key * _MIX) >> np.uint64(44)])
+            k = key.ravel()[where]
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             ok = self.keys[at] == k
-            where, at = (where[0][ok], where[1][ok]), at[ok]
-            s[where], d[where] = self.scores[at], self.ids[at]
+            where, at = where[ok], at[ok]
+            s.ravel()[where], d.ravel()[where] = self.scores[at], self.ids[at]
             if m == 1:
-                bare = s == NONE
-                s[bare] = BYTE_SCORE * (1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)).astype(np.int64)
+                bare = s == LOW
+                s[bare] = BYTE_SCORE * (1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)).astype(np.int32)
                 d[bare] = -1
-                s[np.arange(width) >= lengths[:, None]] = NONE
+                s[np.arange(width)[:, None] >= lengths] = LOW
             scores.append(s), ids.append(d)
-        ahead, back = np.full((n, width + 1), NONE), np.zeros((n, width + 1), np.int8)
-        ahead[:, 0] = 0
+        ahead, back = np.full((width + 1, n), LOW, np.int32), np.zeros((width + 1, n), np.int8)
+        ahead[0] = 0
         for j in range(1, width + 1):
             for m in range(1, min(j, self.longest) + 1):
-                c = ahead[:, j - m] + scores[m - 1][:, j - m]
-                up = c > ahead[:, j]
-                ahead[up, j] = c[up]
-                back[up, j] = m
+                c = ahead[j - m] + scores[m - 1][j - m]
+                up = c > ahead[j]
+                np.copyto(ahead[j], c, where=up)
+                back[j][up] = m
         rows = np.arange(n)
-        behind = np.full((n, width + 1), NONE)
-        behind[rows, lengths] = 0
+        behind = np.full((width + 1, n), LOW, np.int32)
+        behind[lengths, rows] = 0
         for i in range(width - 1, -1, -1):
             for m in range(1, min(width - i, self.longest) + 1):
-                np.maximum(behind[:, i], behind[:, i + m] + scores[m - 1][:, i], out=behind[:, i])
-        best = ahead[rows, lengths]
+                np.maximum(behind[i], behind[i + m] + scores[m - 1][i], out=behind[i])
+        best = ahead[lengths, rows].astype(np.int64)
         path, count, bare = np.zeros((n, width), np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
         taken = [np.zeros(s.shape, bool) for s in scores]
         at, live = lengths.copy(), rows
         while len(live):
-            m = back[live, at[live]]
+            m = back[at[live], live]
             start = at[live] - m
             for size in np.unique(m):
                 w = m == size
                 u, i = live[w], start[w]
-                piece = ids[size - 1][u, i]
-                taken[size - 1][u, i] = True
+                piece = ids[size - 1][i, u]
+                taken[size - 1][i, u] = True
                 path[u, width - 1 - count[u]] = piece
                 bare[u] |= piece < 0
             count[live] += 1
             at[live] = start
             live = live[at[live] > 0]
-        second = np.full(n, NONE)
+        second = np.full(n, LOW, np.int32)
         for m, s in enumerate(scores, 1):
-            total = ahead[:, : width - m + 1] + s + behind[:, m:]
-            total[taken[m - 1]] = NONE
-            np.maximum(second, total.max(1), out=second)
-        blobs = []
-        for u in range(n):
-            row = path[u, width - count[u] :]
-            if bare[u]:
-                row = np.array(self._spelled(units[u], row), np.int32)
-            blobs.append(row.astype("<i4").tobytes())
-        return best, np.where(second > NONE // 2, best - second, -NONE), blobs
+            total = ahead[: width - m + 1] + s
+            total += behind[m:]
+            total[taken[m - 1]] = LOW
+            np.maximum(second, total.max(0), out=second)
+        blobs, raw, step = [], path.astype("<i4").tobytes(), 4 * width
+        for u, c in enumerate(count.tolist()):
+            blobs.append(raw[(u + 1) * step - 4 * c : (u + 1) * step])
+        for u in np.flatnonzero(bare):
+            blobs[u] = np.array(self._spelled(units[u], path[u, width - count[u] :]), "<i4").tobytes()
+        return best, np.where(second > LOW // 4, best - second, -NONE), blobs
 
     def _spelled(self, unit: str, row: np.ndarray) -> list[int]:
         """Ids of a best path with its bare characters spelled in bytes."""
@@ -304,7 +311,7 @@ def encode_digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) ->
 
 
 def _run(docs: DataFrame, n_best: int, model: str, column: str, made: Callable[[list[tuple[int, bytes]]], object]) -> DataFrame:
-    arrow_batches(docs.sparkSession, 2500)
+    arrow_batches(docs.sparkSession, 8 << 20)
     name = column.split()[0]
 
     def run(batches):
@@ -318,7 +325,7 @@ def _run(docs: DataFrame, n_best: int, model: str, column: str, made: Callable[[
                     "doc_id": batch["doc_id"],
                     "n_pieces": [len(x) for x in best],
                     name: [made(rows) for rows in found],
-                    "scores": [[s / 1e6 for s, _ in rows] for rows in found],
+                    "scores": [[s / UNITS for s, _ in rows] for rows in found],
                     "round_trip": [vocab.decode(x) == t for x, t in zip(best, texts, strict=True)],
                 }
             )
