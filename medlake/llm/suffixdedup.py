@@ -36,16 +36,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, broadcast_if_small, checkpoint, whole_text, written
+from medlake.llm.common import arrow_batches, broadcast_if_small, whole_text, written
 
 LENGTH = 400
 #: Bytes at a sample that name its bucket.
-NAME = 32
+NAME = 64
 SPAN = LENGTH - NAME + 1
 BUCKET = 20_000
 #: k values to a range where a bucket is cut.
 RANGE = 16
 BLOCK_ROWS = 4000
+#: Entries of all arrays of a side that may be broadcast after they were counted.
+BROADCAST_ENTRIES = 50_000
 
 
 def _signed(h: int) -> int:
@@ -86,7 +88,7 @@ def sample_places(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """bucket, context, row, place and the first and last start of a string through the sample."""
+    """bucket, context, row, place and the last start of a string through the sample; equal contexts have equal buckets."""
 
     def run(batches):
         for batch in batches:
@@ -97,15 +99,15 @@ def samples(docs: DataFrame) -> DataFrame:
                 for p in places.tolist():
                     left, right = max(0, p - SPAN + 1), min(n, p + LENGTH)
                     context = xxhash.xxh3_64_intdigest(t[left:right], seed=(p - left) << 10 | (right - p))
-                    rows.append((_signed(xxhash.xxh3_64_intdigest(t[p : p + NAME])), _signed(context), key, p, left, min(p, n - LENGTH)))
-            yield pd.DataFrame(rows, columns=["bucket", "context", "row", "place", "low", "high"])
+                    rows.append((_signed(xxhash.xxh3_64_intdigest(t[p : p + NAME])), _signed(context), key, p, min(p, n - LENGTH)))
+            yield pd.DataFrame(rows, columns=["bucket", "context", "row", "place", "high"])
 
     rows = _texts(docs).withColumn("row", _row_key()).where(F.octet_length("text") >= LENGTH).select("row", "text")
-    return rows.mapInPandas(run, "bucket long, context long, row long, place int, low int, high int")
+    return rows.mapInPandas(run, "bucket long, context long, row long, place int, high int")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, n_rows: int) -> DataFrame:
-    """bucket, range of k, row, place, single, and the bytes before (backwards) and after each wanted sample."""
+def contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """bucket, range of k, row, place, single, and the bytes before (backwards) and after the name of each wanted sample."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "bucket", "single", "hot")).alias("want"))
 
     def run(batches):
@@ -115,26 +117,26 @@ def contexts(docs: DataFrame, wanted: DataFrame, n_rows: int) -> DataFrame:
                 t = text.encode("utf-8", "surrogatepass")
                 for w in want:
                     p = w["place"]
-                    before, after = t[max(0, p - SPAN + 1) : p][::-1], t[p : p + LENGTH]
+                    before, after = t[max(0, p - SPAN + 1) : p][::-1], t[p + NAME : p + LENGTH]
                     if not w["hot"]:
                         rows.append((w["bucket"], 0, SPAN - 1, key, p, w["single"], before, after))
                         continue
                     for a in range(0, SPAN, RANGE):
                         b = min(a + RANGE, SPAN) - 1
-                        if len(before) >= a and len(after) >= LENGTH - b:
-                            shared = before[:a] + after[: LENGTH - b]
+                        if len(before) >= a and len(after) >= SPAN - 1 - b:
+                            shared = before[:a] + t[p : p + LENGTH - b]
                             name = _signed(xxhash.xxh3_64_intdigest(shared, seed=a + 1))
-                            rows.append((name, a, b, key, p, w["single"], before[: b + 1], after[: LENGTH - a]))
+                            rows.append((name, a, b, key, p, w["single"], before[: b + 1], after[: SPAN - 1 - a]))
             yield pd.DataFrame(rows, columns=["bucket", "low_k", "high_k", "row", "place", "single", "before", "after"])
 
     texts = _texts(docs).withColumn("row", _row_key()).select("row", "text")
-    return texts.join(broadcast_if_small(lists, n_rows), "row").mapInPandas(
+    return texts.join(broadcast_if_small(lists, n_wanted, BROADCAST_ENTRIES), "row").mapInPandas(
         run, "bucket long, low_k int, high_k int, row long, place int, single boolean, before binary, after binary"
     )
 
 
-def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the parts within their groups, common prefix of each with the one before in that order, and lengths."""
+def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the parts within their groups, and common prefix of each with the one before in that order."""
     lengths = np.array([len(p) for p in parts], np.int64)
     m = np.frombuffer(b"".join(p.ljust(width, b"\xff") for p in parts), np.uint8).reshape(len(parts), width) + np.uint8(1)  # 0 only pads: UTF-8 has no 255
     order = np.argsort(m.view(f"S{width}").ravel(), kind="stable")
@@ -145,15 +147,15 @@ def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarr
     first = np.where(differ.any(1), differ.argmax(1), width)
     same = group[order[1:]] == group[order[:-1]]
     common[1:] = np.where(same, np.minimum(first, np.minimum(lengths[order[1:]], lengths[order[:-1]])), -1)
-    return order, common, lengths
+    return order, common
 
 
 def equal_strings(group: np.ndarray, low: np.ndarray, high: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
     """Of each sample and each k, whether the string that starts k bytes before the sample also starts elsewhere in its group."""
     n = len(group)
     found = np.zeros((n, SPAN), bool)
-    right, right_common, right_length = _ranked(group, after, LENGTH)
-    left, left_common, left_length = _ranked(group, before, SPAN)
+    right, right_common = _ranked(group, after, SPAN)
+    left, left_common = _ranked(group, before, SPAN)
 
     def most(order: np.ndarray, common: np.ndarray) -> np.ndarray:
         out = np.empty(n, np.int64)
@@ -163,11 +165,11 @@ def equal_strings(group: np.ndarray, low: np.ndarray, high: np.ndarray, before:
     most_right, most_left = most(right, right_common), most(left, left_common)
     head, tail = np.empty(n, np.int64), np.empty(n, np.int64)
     for k in range(int(low.min()), int(high.max()) + 1):
-        live = np.flatnonzero((most_right >= LENGTH - k) & (most_left >= k) & (low <= k) & (k <= high))
+        live = np.flatnonzero((most_right >= SPAN - 1 - k) & (most_left >= k) & (low <= k) & (k <= high))
         if len(live) < 2:
             continue
         head[left] = np.cumsum(left_common < k)  # equal for equal k leading bytes
-        tail[right] = np.cumsum(right_common < LENGTH - k)  # equal for equal ranks down to what is left
+        tail[right] = np.cumsum(right_common < SPAN - 1 - k)  # equal for equal ranks down to what is left
         _, inverse, count = np.unique(head[live] * n + tail[live], return_inverse=True, return_counts=True)
         found[live[count[inverse] > 1], k] = True
     return found
@@ -210,12 +212,13 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """row, low and high: runs of starts, within a document, of strings that start at another place too."""
     found = written(samples(docs), "samples")
-    by_context = found.groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at"))
-    by_context = checkpoint(by_context.withColumn("single", F.col("n") == 1).select("bucket", "context", "single", "at.row", "at.place"))
-    whole = found.join(by_context.where("not single").select("bucket", "context"), ["bucket", "context"], "left_semi").select("row", "low", "high")
+    by_context = found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place", "bucket")).alias("at"))
+    by_context = written(by_context.select("context", (F.col("n") == 1).alias("single"), "at.*"), "contexts")
+    first = F.greatest(F.lit(0), F.col("place") - (SPAN - 1)).alias("low")
+    whole = found.join(by_context.where("not single").select("context"), "context", "left_semi").select("row", first, "high")
     several = by_context.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any")
     several = several.select("bucket", (F.col("n") > BUCKET).alias("hot"))
-    wanted = checkpoint(by_context.join(several, "bucket").select("row", "place", "bucket", "single", "hot"))
+    wanted = written(by_context.join(several, "bucket").select("row", "place", "bucket", "single", "hot"), "wanted")
     rest = sort_buckets(contexts(docs, wanted, wanted.count()))
     return whole.unionByName(rest)
 
@@ -240,7 +243,9 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _over(docs: DataFrame, row: Callable[[int, bytes, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
     """A row of each document, made from its id, its bytes and the spans of them that go."""
     arrow_batches(docs.sparkSession)
-    per_row = checkpoint(repeats(docs).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("runs")))
+    packed = F.shiftleft(F.col("low").cast("long"), 32) + F.col("high")
+    per_row = written(repeats(docs).groupBy("row").agg(F.collect_set(packed).alias("runs")), "runs")
+    n_runs = per_row.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -249,12 +254,11 @@ def _over(docs: DataFrame, row: Callable[[int, bytes, list[tuple[int, int]]], tu
             for d, text, runs in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
                 t, spans = text.encode("utf-8", "surrogatepass"), []
                 if runs is not None and len(runs):
-                    low, high = (np.array([r[c] for r in runs]) for c in ("low", "high"))
-                    spans = laid_over(len(t), low, high)
+                    spans = laid_over(len(t), runs >> 32, runs & 0xFFFFFFFF)
                 rows.append(row(d, t, spans))
             yield pd.DataFrame(rows, columns=columns)
 
-    rows = _texts(docs).withColumn("row", _row_key()).join(broadcast_if_small(per_row, per_row.count()), "row", "left")
+    rows = _texts(docs).withColumn("row", _row_key()).join(broadcast_if_small(per_row, n_runs, BROADCAST_ENTRIES), "row", "left")
     return rows.select("doc_id", "text", "runs").mapInPandas(run, schema)
 
 
