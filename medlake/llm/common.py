@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held_model(make: Callable, *args: object) -> object:
+    """make(*args), which a worker keeps until it is asked for another one: models of earlier operators don't add up."""
+    key = (make, args)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make(*args)
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

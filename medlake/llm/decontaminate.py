@@ -14,14 +14,13 @@ rows give repeated results; empty tables none.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, whole_text
+from medlake.llm.common import arrow_batches, held_model, whole_text
 
 RATE = 0.06
 LEAST = 20
@@ -117,9 +116,8 @@ class Matcher:
         return sorted((self.patterns[k].item_id, d, e) for k, (d, e) in found.items())
 
 
-@lru_cache(4)
 def matcher_of(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(items, rate)
+    return held_model(Matcher, items, rate)
 
 
 def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK) -> list[tuple[tuple[int, str], ...]]:

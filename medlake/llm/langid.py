@@ -14,14 +14,12 @@ Long texts are parsed whole, in segments of SEGMENT characters.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, whole_text
+from medlake.llm.common import arrow_batches, held_model, whole_text
 
 #: Bounds of the labelled sample of each language: documents, and characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 40, 1000
@@ -156,9 +154,8 @@ class CrossParser:
         return langs, scores, bits
 
 
-@lru_cache(2)
 def parser_of(sample: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(sample)
+    return held_model(CrossParser, sample)
 
 
 def predict(docs: DataFrame, sample: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:

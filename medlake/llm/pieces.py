@@ -23,7 +23,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, whole_text
+from medlake.llm.common import arrow_batches, held_model, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -254,9 +253,8 @@ class Vocabulary:
         return out[1:] if out[:1] == " " else out
 
 
-@lru_cache(2)
 def vocabulary(path: str = MODEL) -> Vocabulary:
-    return Vocabulary(path)
+    return held_model(Vocabulary, path)
 
 
 def segment(texts: list[str], vocab: Vocabulary, n: int = N_BEST) -> list[list[tuple[int, bytes]]]:
@@ -311,7 +309,7 @@ def encode_digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) ->
 
 
 def _run(docs: DataFrame, n_best: int, model: str, column: str, made: Callable[[list[tuple[int, bytes]]], object]) -> DataFrame:
-    arrow_batches(docs.sparkSession, 8 << 20)
+    arrow_batches(docs.sparkSession)
     name = column.split()[0]
 
     def run(batches):

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, whole_text
+from medlake.llm.common import arrow_batches, held_model, whole_text
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -213,8 +212,7 @@ class CharNet:
         return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))
 
 
-@lru_cache(1)
-def model() -> CharNet:
+def trained() -> CharNet:
     """The network, trained on three quarters of the labelled findings and calibrated on the rest; the same everywhere."""
     x, y = labelled_findings()
     cut = len(x) * 3 // 4
@@ -224,6 +222,10 @@ def model() -> CharNet:
     return net
 
 
+def model() -> CharNet:
+    return held_model(trained)
+
+
 def scan_text(text: str, net: CharNet) -> list[tuple[int, str, int, float]]:
     """(start, kind, end, score) of all findings by start: the base ones, and learned ones that overlap none."""
     base = base_findings(text)
