@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import governance
+from medlake.plans import governance, services
 from medlake.session import table
 from medlake.streaming import streams
 
@@ -561,3 +561,9 @@ def cube_counts(spark, d):
 def rolling_day_counts(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
     return table(spark, d, "events").select("user_id", "ts", "event_id", F.count(F.lit(1)).over(w).alias("last_day"))
+
+
+# -- table services ------------------------------------------------------------------------
+
+QUERIES.update(services.QUERIES)
+ORACLES.update(services.ORACLES)
