@@ -44,8 +44,8 @@ def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
         return F.shiftleft(v.bitwiseAND(F.lit(0x7FFFFFFF)), 32) + at.cast("long")
 
     def chosen(i: Column) -> Column:
-        least = F.array_min(F.slice(s, i + 1, n))
-        return (F.get(s, i) == least) | (F.get(s, i + n - 1) == least)
+        at = [F.get(s, i + j) for j in range(n)]
+        return F.least(at[0], at[-1]) <= F.least(*at[1:-1])
 
     picked = F.transform(
         F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), chosen),
@@ -61,9 +61,8 @@ def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
 
 def as_text(anchors: str) -> Column:
     """Anchors as comma-joined position:hash, both in hexadecimal."""
-    return F.array_join(
-        F.transform(anchors, lambda a: F.concat(F.lower(F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(":"), F.lower(F.hex(F.shiftright(a, 32))))), ","
-    )
+    one = F.transform(anchors, lambda a: F.concat(F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(":"), F.hex(F.shiftright(a, 32))))
+    return F.lower(F.array_join(one, ","))
 
 
 def _hashes(anchors: str) -> Column:
