@@ -8,6 +8,8 @@ anchors in text order as position:hash.
 
 Nulls and texts without a word: the empty fingerprint, likeness 1 to another empty one
 and 0 to any other.  Texts of fewer than K words: one anchor of the whole word sequence.
+Texts of K words or more none of whose k-mers is chosen, which have fewer than 2K-S-1
+words: the k-mer of least hash.
 Repeated rows: each has its own next row, ties by text.  An empty table: no rows.
 """
 
@@ -47,14 +49,18 @@ def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
         at = [F.get(s, i + j) for j in range(n)]
         return F.least(at[0], at[-1]) <= F.least(*at[1:-1])
 
-    picked = F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), chosen),
-        lambda i: pack(F.xxhash64(*(F.get(s, i + j) for j in range(0, n, S))), i),
-    )
+    def kmer(i: Column) -> Column:
+        return pack(F.xxhash64(*(F.get(s, i + j) for j in range(0, n, S))), i)
+
+    every = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    picked = F.transform(F.filter(every, chosen), kmer)
+    # Of K-S k-mers in a row one is chosen; only texts with fewer can have none.
+    short = F.when(F.size(picked) > 0, picked).otherwise(F.array(F.array_min(F.transform(every, kmer))))
     return df.withColumn(
         to,
         F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
         .when(last < 0, F.array(pack(F.xxhash64(F.col(h)), F.lit(0))))
+        .when(last < K - S - 1, short)
         .otherwise(picked),
     ).drop(h, s)
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from medlake.llm import components, decontaminate, htmltext, langid, linededup, minhash, pieces, secrets, sharding, suffixdedup, syncmers
@@ -324,6 +325,33 @@ def test_anchors_do_not_depend_on_their_place(spark):
     assert len(a & b) >= 5
 
 
+def plain_fingerprint(text):
+    """Closed syncmers of a text of syncmers.K words or more, else its least k-mer, by plain loops."""
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little"), seed=seed)
+        return seed
+
+    hashes = [chained([w.encode()]) for w in text.split()]
+    inner = [chained(hashes[i : i + syncmers.S]) for i in range(len(hashes) - syncmers.S + 1)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in inner]
+    n = syncmers.K - syncmers.S + 1
+    kmers = [(chained(inner[i : i + n : syncmers.S]) & 0x7FFFFFFF, i) for i in range(len(inner) - n + 1)]
+    chosen = [k for k in kmers if min(signed[k[1] : k[1] + n]) in (signed[k[1]], signed[k[1] + n - 1])]
+    return ",".join(f"{i:x}:{h:x}" for h, i in chosen or [min(kmers)])
+
+
+def test_texts_of_few_kmers_have_anchors(spark):
+    rng = random.Random(31)
+    rows = [(i, words(rng, 12 + i % 14)) for i in range(280)]
+    got = {r.doc_id: r.f for r in syncmers.with_anchors(spark.createDataFrame(rows, "doc_id long, text string"), "text", "a").select("doc_id", syncmers.as_text("a").alias("f")).collect()}
+    assert all(got.values())
+    assert got == {i: plain_fingerprint(t) for i, t in rows}
+
+
+
 # 8 lines
 
 
