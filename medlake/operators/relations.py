@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,28 +98,39 @@ def purge(df: DataFrame, children: list[DataFrame], key: str, deleted: str, befo
     return [part.join(gone, key, "left_anti") for part in (df, *children)]
 
 
-def version_chain(rows: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """The versions linked with each start id, newest first as `nth` from 0; rows are (id, previous_id).
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut through the checkpoint folder; a folder of our own only where none is configured."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="medlake-"))
+    return df.checkpoint()
+
 
-    Walks forward to the newest and then back; a cycle ends where it closes.
+def _reached(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(start_id, id, far): what each (start_id, id) reaches over the links (at, to), with the least number of links.
+
+    A round doubles both the links' length and the distance that is covered, so rounds grow with the
+    logarithm of the longest way; a round that finds nothing new is the last, in cycles too.
+    """
+    found = _cut(start.select("start_id", "id", F.lit(0).alias("far")).distinct())
+    links, length, n = _cut(links.distinct()), 1, found.count()
+    while True:
+        further = found.join(links, F.col("id") == F.col("at")).select("start_id", F.col("to").alias("id"), (F.col("far") + length).alias("far"))
+        found = _cut(found.unionByName(further).groupBy("start_id", "id").agg(F.min("far").alias("far")))
+        before, n = n, found.count()
+        if n == before:
+            return found
+        onward = links.select(F.col("at").alias("to"), F.col("to").alias("last"))
+        links, length = _cut(links.join(onward, "to").select("at", F.col("last").alias("to")).distinct()), length * 2
+
+
+def version_chain(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """The versions linked with each start id, newest first as `nth` from 0; rows are (id, previous_id), one an id.
+
+    Walks forward to the newest, however far, and then back; a cycle ends where it closes.
+    Where versions branch, the newest is the one that is most links ahead, of equals the largest id.
     """
-    spark = rows.sparkSession
-    rows.select("id", "previous_id").createOrReplaceTempView("__versions")
-    start.select("id").createOrReplaceTempView("__starts")
-    return spark.sql(f"""
-        WITH RECURSIVE up(start_id, id, depth, seen) AS (
-            SELECT id, id, 0, array(id) FROM __starts
-            UNION ALL
-            SELECT u.start_id, v.id, u.depth + 1, array_append(u.seen, v.id)
-            FROM up u JOIN __versions v ON v.previous_id = u.id
-            WHERE u.depth < {most} AND NOT array_contains(u.seen, v.id)
-        ),
-        newest AS (SELECT start_id, max_by(id, depth) AS id FROM up GROUP BY start_id),
-        down(start_id, id, nth, seen) AS (
-            SELECT start_id, id, 0, array(id) FROM newest
-            UNION ALL
-            SELECT d.start_id, v.previous_id, d.nth + 1, array_append(d.seen, v.previous_id)
-            FROM down d JOIN __versions v ON v.id = d.id
-            WHERE v.previous_id IS NOT NULL AND d.nth < {most} AND NOT array_contains(d.seen, v.previous_id)
-        )
-        SELECT start_id, id, nth FROM down""")
+    links = rows.where("previous_id is not null").select("id", "previous_id")
+    up = _reached(start.select(F.col("id").alias("start_id"), "id"), links.select(F.col("previous_id").alias("at"), F.col("id").alias("to")))
+    newest = up.groupBy("start_id").agg(F.max_by("id", F.struct("far", "id")).alias("id"))
+    return _reached(newest, links.select(F.col("id").alias("at"), F.col("previous_id").alias("to"))).withColumnRenamed("far", "nth")

@@ -501,12 +501,21 @@ def month_log(spark, d):
     return archive.month_log(table(spark, d, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("title")).distinct())
 
 
+def _turn_chain(c: DataFrame) -> DataFrame:
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("previous_id"))
+    return relations.version_chain(rows, rows.where("previous_id is null"))
+
+
 @query("""SELECT a.conv_id * 1000 + a.turn AS start_id, b.conv_id * 1000 + b.turn AS id, CAST(m.t - b.turn AS INTEGER) AS nth FROM conversations a
 JOIN (SELECT conv_id, max(turn) AS t FROM conversations WHERE conv_id < 20 GROUP BY 1) m USING (conv_id) JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND a.conv_id < 20""")
 def version_chain_recursive(spark, d):
-    c = table(spark, d, "conversations").where("conv_id < 20")
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("previous_id"))
-    return relations.version_chain(rows, rows.where("previous_id is null"))
+    return _turn_chain(table(spark, d, "conversations").where("conv_id < 20"))
+
+
+@query("""SELECT a.conv_id * 1000 + a.turn AS start_id, b.conv_id * 1000 + b.turn AS id, CAST(m.t - b.turn AS INTEGER) AS nth FROM conversations a
+JOIN (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY 1) m USING (conv_id) JOIN conversations b USING (conv_id) WHERE a.turn = 0""")
+def version_chain_whole(spark, d):
+    return _turn_chain(table(spark, d, "conversations"))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, 'supplies' AS relationship, l_quantity AS confidence FROM lineitem WHERE l_quantity > 48)

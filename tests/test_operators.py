@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import governance
+from medlake.plans import governance, registry
 from medlake.sources import files
 from medlake.streaming import streams
 
@@ -151,6 +151,18 @@ def test_version_chain_ends_at_a_cycle(spark):
     assert got[2] == [3, 2, 1] and sorted(got[8]) == [8, 9]
 
 
+def test_version_chain_has_no_longest_length(spark):
+    rows = spark.range(1, 301).select("id", F.expr("nullif(id - 1, 0)").alias("previous_id"))
+    got = relations.version_chain(rows, rows.where("id in (1, 150)").select("id")).collect()
+    assert sorted((r.start_id, r.nth, r.id) for r in got) == [(s, n, 300 - n) for s in (1, 150) for n in range(300)]
+
+
+def test_version_chain_takes_every_conversation(spark):
+    d = "/root/testdata/sf0.001"
+    whole = registry.QUERIES["version_chain_whole"](spark, d)
+    assert whole.count() == spark.read.parquet(f"{d}/conversations.parquet").count()
+
+
 def test_screening(spark):
     people = spark.createDataFrame([("p", 50, "F")], "person string, age int, sex string")
     protocols = spark.createDataFrame([("a", None, 0, 99, 12), ("b", "M", 0, 99, 12), ("c", "F", 40, 60, 1), ("d", None, 40, 60, 1)], "protocol string, sex string, age_from int, age_to int, months int")
