@@ -86,6 +86,13 @@ def lab_series_delta(spark, d):
     return labs.deltas(lab_rows(spark, d).where("tenant < 20"))
 
 
+@query(f"""WITH {DAILY_SQL}, b AS (SELECT *, lag(value) OVER (PARTITION BY tenant, parameter ORDER BY lab_date) AS before FROM daily)
+SELECT tenant, parameter, lab_date, value, round_even(value - before, 4) AS delta,
+ CASE WHEN before <> 0 THEN round_even((value - before) / abs(before) * 100, 1) END AS delta_pct FROM b""")
+def lab_series_delta_whole(spark, d):
+    return labs.deltas(lab_rows(spark, d))
+
+
 @query(f"""WITH {DAILY_SQL}, a AS (SELECT * FROM daily WHERE lab_date = DATE '2024-01-10'), b AS (SELECT * FROM daily WHERE lab_date = DATE '2024-01-20')
 SELECT coalesce(a.tenant, b.tenant) AS tenant, coalesce(a.parameter, b.parameter) AS parameter, a.value AS first, b.value AS second,
  round_even(b.value - a.value, 4) AS change FROM a FULL JOIN b ON a.tenant = b.tenant AND a.parameter = b.parameter""")

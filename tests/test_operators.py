@@ -142,6 +142,12 @@ def test_upsert_keeps_old_values_only_where_told(spark):
     assert relations.insert_missing(base, new.unionByName(new), ["id"]).count() == 3
 
 
+def test_lab_series_of_every_tenant(spark):
+    d = "/root/testdata/sf0.01"
+    got = registry.QUERIES["lab_series_delta_whole"](spark, d).select("tenant").distinct().count()
+    assert got == spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
+
+
 def test_version_chain_ends_at_a_cycle(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (8, 9), (9, 8)], "id long, previous_id long")
     start = spark.createDataFrame([(2,), (8,)], "id long")
