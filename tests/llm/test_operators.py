@@ -193,6 +193,17 @@ def test_shared_lines_outside_the_article_go(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_shared_lines_go_from_articles_short_pages_and_copies(spark):
+    short = "<body><{1}><p>menu</p><p>notice</p><p>share this</p><p>{0} one</p><p>{0} two</p><p>{0} three</p><p>all rights</p></{1}></body>"
+    rows = [(i, f"http://a.example/x/p{i}", short.format(f"text {i}", "article" if i < 3 else "div")) for i in range(6)]
+    rows += [(10, "http://b.example/x/p1", short.format("text 10", "div")), (11, "http://b.example/x/p1-print", short.format("text 10", "div")), (12, "http://b.example/x/q1", short.format("text 12", "div"))]
+    rows += [(20, "http://c.example/x/p1", short.format("text 20", "div")), (21, "http://c.example/x/p1-print", short.format("text 20", "div"))]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = {i: f"text {i} one\ntext {i} two\ntext {i} three" for i in (*range(6), 10, 12)} | {11: "text 10 one\ntext 10 two\ntext 10 three"}
+    assert {i: got[i] for i in own} == own
+    assert got[20] == got[21] == "menu\nnotice\nshare this\ntext 20 one\ntext 20 two\ntext 20 three\nall rights"
+
+
 # 4 suffixes
 
 
