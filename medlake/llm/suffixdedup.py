@@ -17,8 +17,8 @@ bytes at the sample name the bucket, and buckets are sorted one at a time:
    to LENGTH - k are equal
 5. the strings found are laid over each document
 
-Memory is that of one bucket's contexts; buckets of more than BUCKET contexts are cut by
-ranges of k, each again by the bytes that all its strings share.
+Memory is that of one bucket's contexts, BUCKET at most; the strings of larger buckets are
+hashed whole, for each k, and counted by Spark.
 
 Nulls: a null text is empty; a null doc_id is passed over.  Repeated rows (equal id and
 text) are places of their own and get equal results.  An empty table gives an empty
@@ -43,8 +43,8 @@ LENGTH = 400
 NAME = 64
 SPAN = LENGTH - NAME + 1
 BUCKET = 20_000
-#: k values to a range where a bucket is cut.
-RANGE = 16
+#: Hashed strings to a batch that a task hands on.
+HASHED = 100_000
 BLOCK_ROWS = 4000
 #: Entries of all arrays of a side that may be broadcast after they were counted.
 BROADCAST_ENTRIES = 50_000
@@ -106,9 +106,14 @@ def samples(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "bucket long, context long, row long, place int, high int")
 
 
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "bucket", "single")).alias("want"))
+    texts = _texts(docs).withColumn("row", _row_key()).select("row", "text")
+    return texts.join(broadcast_if_small(lists, n_wanted, BROADCAST_ENTRIES), "row")
+
+
 def contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """bucket, range of k, row, place, single, and the bytes before (backwards) and after the name of each wanted sample."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "bucket", "single", "hot")).alias("want"))
+    """bucket, row, place, single, and the bytes before (backwards) and after the name of each wanted sample."""
 
     def run(batches):
         for batch in batches:
@@ -117,22 +122,38 @@ def contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
                 t = text.encode("utf-8", "surrogatepass")
                 for w in want:
                     p = w["place"]
-                    before, after = t[max(0, p - SPAN + 1) : p][::-1], t[p + NAME : p + LENGTH]
-                    if not w["hot"]:
-                        rows.append((w["bucket"], 0, SPAN - 1, key, p, w["single"], before, after))
-                        continue
-                    for a in range(0, SPAN, RANGE):
-                        b = min(a + RANGE, SPAN) - 1
-                        if len(before) >= a and len(after) >= SPAN - 1 - b:
-                            shared = before[:a] + t[p : p + LENGTH - b]
-                            name = _signed(xxhash.xxh3_64_intdigest(shared, seed=a + 1))
-                            rows.append((name, a, b, key, p, w["single"], before[: b + 1], after[: SPAN - 1 - a]))
-            yield pd.DataFrame(rows, columns=["bucket", "low_k", "high_k", "row", "place", "single", "before", "after"])
+                    rows.append((w["bucket"], key, p, w["single"], t[max(0, p - SPAN + 1) : p][::-1], t[p + NAME : p + LENGTH]))
+            yield pd.DataFrame(rows, columns=["bucket", "row", "place", "single", "before", "after"])
 
-    texts = _texts(docs).withColumn("row", _row_key()).select("row", "text")
-    return texts.join(broadcast_if_small(lists, n_wanted, BROADCAST_ENTRIES), "row").mapInPandas(
-        run, "bucket long, low_k int, high_k int, row long, place int, single boolean, before binary, after binary"
-    )
+    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "bucket long, row long, place int, single boolean, before binary, after binary")
+
+
+def hashed_strings(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """hash, row, start and single of each string through each wanted sample."""
+
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for key, text, want in zip(batch["row"], batch["text"], batch["want"], strict=True):
+                t = text.encode("utf-8", "surrogatepass")
+                for w in want:
+                    p = w["place"]
+                    for at in range(max(0, p - SPAN + 1), min(p, len(t) - LENGTH) + 1):
+                        rows.append((_signed(xxhash.xxh3_64_intdigest(t[at : at + LENGTH], seed=p - at)), key, at, w["single"]))
+                    if len(rows) >= HASHED:
+                        yield pd.DataFrame(rows, columns=["hash", "row", "start", "single"])
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["hash", "row", "start", "single"])
+
+    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "hash long, row long, start int, single boolean")
+
+
+def count_strings(strings: DataFrame) -> DataFrame:
+    """row, low and high as of sort_buckets, from the strings' hashes; no task holds the strings of a bucket."""
+    strings = written(strings, "strings")
+    twice = strings.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    return strings.where("single").join(twice, "hash", "left_semi").select("row", F.col("start").alias("low"), F.col("start").alias("high"))
 
 
 def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +171,7 @@ def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarr
     return order, common
 
 
-def equal_strings(group: np.ndarray, low: np.ndarray, high: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
+def equal_strings(group: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
     """Of each sample and each k, whether the string that starts k bytes before the sample also starts elsewhere in its group."""
     n = len(group)
     found = np.zeros((n, SPAN), bool)
@@ -164,8 +185,8 @@ def equal_strings(group: np.ndarray, low: np.ndarray, high: np.ndarray, before:
 
     most_right, most_left = most(right, right_common), most(left, left_common)
     head, tail = np.empty(n, np.int64), np.empty(n, np.int64)
-    for k in range(int(low.min()), int(high.max()) + 1):
-        live = np.flatnonzero((most_right >= SPAN - 1 - k) & (most_left >= k) & (low <= k) & (k <= high))
+    for k in range(SPAN):
+        live = np.flatnonzero((most_right >= SPAN - 1 - k) & (most_left >= k))
         if len(live) < 2:
             continue
         head[left] = np.cumsum(left_common < k)  # equal for equal k leading bytes
@@ -180,7 +201,7 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
 
     def solve(block: pd.DataFrame) -> pd.DataFrame:
         group = np.cumsum(np.append(True, np.diff(block["bucket"].to_numpy()) != 0))
-        found = equal_strings(group, block["low_k"].to_numpy(), block["high_k"].to_numpy(), list(block["before"]), list(block["after"]))
+        found = equal_strings(group, list(block["before"]), list(block["after"]))
         found &= block["single"].to_numpy()[:, None]
         edge = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
         i, first = np.nonzero(edge == 1)
@@ -219,8 +240,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = by_context.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any")
     several = several.select("bucket", (F.col("n") > BUCKET).alias("hot"))
     wanted = written(by_context.join(several, "bucket").select("row", "place", "bucket", "single", "hot"), "wanted")
-    rest = sort_buckets(contexts(docs, wanted, wanted.count()))
-    return whole.unionByName(rest)
+    counts = dict(wanted.groupBy("hot").count().collect())
+    rest = whole.unionByName(sort_buckets(contexts(docs, wanted.where("not hot"), counts.get(False, 0))))
+    if True not in counts:
+        return rest
+    return rest.unionByName(count_strings(hashed_strings(docs, wanted.where("hot"), counts[True])))
 
 
 def laid_over(n: int, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:

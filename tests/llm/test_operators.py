@@ -233,6 +233,24 @@ def test_suffix_dedup(spark, docs, texts, none, monkeypatch, bucket):
     assert suffixdedup.digest(none).count() == 0
 
 
+def test_suffix_dedup_sorts_no_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BUCKET", 5)
+    sizes, sort = [], suffixdedup.sort_buckets
+
+    def spied(rows):
+        sizes.append(max([r["count"] for r in rows.groupBy("bucket").count().collect()], default=0))
+        return sort(rows)
+
+    monkeypatch.setattr(suffixdedup, "sort_buckets", spied)
+    rng = random.Random(41)
+    passage = words(rng, 120)
+    texts = [words(rng, 90) + " " + passage + " " + words(rng, 90) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(suffixdedup.digest(df))
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i in range(20))] == plain_suffix_dedup(texts)
+    assert sizes and max(sizes) <= 5
+
+
 # 5 shards
 
 
