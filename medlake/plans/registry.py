@@ -275,7 +275,17 @@ def tenant_scoped_join(spark, d):
 @query("""SELECT l_suppkey AS source, l_partkey AS target, l_orderkey, s_name AS source_name, p_name AS target_name FROM lineitem
 JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45""")
 def double_dim_join(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 45").select("l_suppkey", "l_partkey", "l_orderkey")
+    return _named_ends(spark, d, table(spark, d, "lineitem").where("l_quantity >= 45"))
+
+
+@query("""SELECT l_suppkey AS source, l_partkey AS target, l_orderkey, s_name AS source_name, p_name AS target_name FROM lineitem
+JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""")
+def double_dim_join_whole(spark, d):
+    return _named_ends(spark, d, table(spark, d, "lineitem"))
+
+
+def _named_ends(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    rows = lines.select("l_suppkey", "l_partkey", "l_orderkey")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source_name"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("target_name"))
     out = rows.join(s, "l_suppkey").join(p, "l_partkey")
@@ -528,7 +538,17 @@ def version_chain_whole(spark, d):
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, 'supplies' AS relationship, l_quantity AS confidence FROM lineitem WHERE l_quantity > 48)
 SELECT source AS id, target AS other, relationship, confidence FROM e WHERE source <> target UNION ALL SELECT target, source, relationship, confidence FROM e WHERE source <> target""")
 def neighbours(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity > 48").select(
+    return _supplies(table(spark, d, "lineitem").where("l_quantity > 48"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, 'supplies' AS relationship, l_quantity AS confidence FROM lineitem)
+SELECT source AS id, target AS other, relationship, confidence FROM e WHERE source <> target UNION ALL SELECT target, source, relationship, confidence FROM e WHERE source <> target""")
+def neighbours_whole(spark, d):
+    return _supplies(table(spark, d, "lineitem"))
+
+
+def _supplies(lines: DataFrame) -> DataFrame:
+    e = lines.select(
         F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.lit("supplies").alias("relationship"), F.col("l_quantity").alias("confidence")
     ).distinct()
     return relations.neighbours(e)

@@ -148,6 +148,14 @@ def test_lab_series_of_every_tenant(spark):
     assert got == spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
 
 
+def test_joins_over_every_line(spark):
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    assert registry.QUERIES["double_dim_join_whole"](spark, d).count() == lines.count()
+    ids = registry.QUERIES["neighbours_whole"](spark, d).select("other", "id", "confidence")
+    assert ids.where("confidence <= 48").count() > 0
+
+
 def test_version_chain_ends_at_a_cycle(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (8, 9), (9, 8)], "id long, previous_id long")
     start = spark.createDataFrame([(2,), (8,)], "id long")
