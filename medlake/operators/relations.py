@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medlake.session import shared_dir
+
 
 def scoped(rows: DataFrame, owners: DataFrame, key: str, owner_key: str, tenant: object, column: str = "tenant") -> DataFrame:
     """Rows whose owner belongs to the tenant; rows have no tenant of their own."""
@@ -99,11 +101,10 @@ def purge(df: DataFrame, children: list[DataFrame], key: str, deleted: str, befo
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut through the checkpoint folder; a folder of our own only where none is configured."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="medlake-"))
-    return df.checkpoint()
+    """df with its lineage cut through a table in the shared folder, without the constraints that DataFrame.checkpoint keeps and multiplies."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _reached(start: DataFrame, links: DataFrame) -> DataFrame:
