@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from medlake.session import shared_dir
 
 #: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="medlake-"))
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage through a table in the shared folder, so that a lost executor loses nothing.
+
+    DataFrame.checkpoint would keep the constraints of the old plan, which multiply from round to round of a loop.
+    """
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, read as often as needed."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Column types that Python functions hand back, as Arrow types.
+ARROW = {
+    "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
+    "array<array<int>>": pa.list_(pa.list_(pa.int32())),
+}
+
+
+def mapped(df: DataFrame, keep: list[str], read: list[str], make: Callable[[], Callable[..., dict[str, list]]], added: dict[str, str]) -> DataFrame:
+    """Each row's columns `keep`, untouched, and the columns `added`, which a function makes of the lists of the columns `read`.
+
+    make() gives that function once a task.  What is kept stays in Arrow, so that no value changes: nullable longs
+    would become doubles in pandas.
+    """
+    schema = StructType(list(df.select(*keep).schema)) if keep else StructType()
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            made = work(*(batch.column(c).to_pylist() for c in read))
+            columns = [batch.column(c) for c in keep] + [pa.array(made[c], ARROW[kind]) for c, kind in added.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
+
+    return df.select(*dict.fromkeys([*keep, *read])).mapInArrow(run, schema)
+
+
+def filtered(df: DataFrame, read: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows for which a function of the list of a column's values says so, all their columns untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            yield batch.filter(pa.array(work(batch.column(read).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 _HELD: dict[tuple, object] = {}

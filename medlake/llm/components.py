@@ -6,37 +6,81 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlake.llm.common import checkpoint
 
 
+#: Links left at or under this number are joined up in one task; more go through another round.
+LAST_LINKS = 200_000
+
+
+def _roots_at_once(links: DataFrame) -> DataFrame:
+    """id and root of the ids of a bounded number of links, by union and find in one task."""
+
+    def run(batches):
+        of: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while of.setdefault(x, x) != x:
+                of[x] = x = of[of[x]]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                low, high = sorted((root(x), root(y)))
+                of[high] = low
+        ids = list(of)
+        yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array([root(x) for x in ids], np.int64)})
+
+    return links.select("a", "b").repartition(1).mapInPandas(run, "id long, root long")
+
+
+def _hung(links: DataFrame, salt: int) -> DataFrame:
+    """id and root: each node hangs under the neighbour of least hash, if that is less than its own, and then under the top of its tree.
+
+    The hash changes from round to round, so that half of the nodes or more hang under another on average, whatever
+    the shape of the links; trees are shallow, and jumping to the parent's parent halves their depth.
+    """
+
+    def rank(c: str) -> Column:
+        return F.struct(F.xxhash64(c, F.lit(salt)).alias("hash"), F.col(c).alias("node"))
+
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(F.col("a").alias("id")).agg(F.min(rank("b")).alias("least"))
+    up = checkpoint(least.select("id", F.least(rank("id"), "least")["node"].alias("root")))
+    while True:
+        above = up.where("id <> root").select(F.col("id").alias("root"), F.col("root").alias("top"))
+        higher = checkpoint(up.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+        up = higher.select("id", "root")
+        if higher.where("moved").isEmpty():
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of each id in the links (a, b); ids without links have no row.
 
-    Each round hangs every node under its smallest neighbour and replaces the ends of
-    each link by where they hang; links inside a group vanish.  The table shrinks from
-    round to round, and every round is written to the checkpoint folder.
+    Rounds contract the links: every node takes the root that it hangs under, and links inside a tree vanish.  A round
+    halves the nodes on average, so rounds grow with the logarithm of their number, in chains too, and each is written
+    to the checkpoint folder.  Joins and aggregates are by node; no task holds a component.
     """
-    links = checkpoint(links.where("a <> b").select("a", "b").distinct())
-    labels = None
-    while not links.isEmpty():
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
-        parents = checkpoint(parents.select("id", F.least("id", "least").alias("parent")))
-        up_a, up_b = (parents.select(F.col("id").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
-        links = checkpoint(
-            links.join(up_a, "a").join(up_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        )
+    links = checkpoint(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, salt = None, 0
+    while (n := links.count()) or labels is None:
+        roots = _roots_at_once(links) if n <= LAST_LINKS else _hung(links, salt)
         if labels is None:
-            labels = parents.select("id", F.col("parent").alias("component"))
+            labels = roots
         else:
-            step = parents.select(F.col("id").alias("component"), F.col("parent").alias("next"))
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    if labels is None:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return checkpoint(labels)
+            labels = labels.join(roots.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+        labels = checkpoint(labels)
+        if n <= LAST_LINKS:
+            break
+        up_a, up_b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        ends = links.join(up_a, "a").join(up_b, "b").where("ra <> rb")
+        links, salt = checkpoint(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()), salt + 1
+    least = labels.groupBy("root").agg(F.min("id").alias("component"))
+    return checkpoint(labels.join(least, "root").select("id", "component"))
 
 
 def shared_members(pairs: DataFrame) -> DataFrame:

@@ -543,8 +543,29 @@ def test_pruning_keeps_true_pairs():
         assert all(same[:n].sum() >= least[n] for n in range(minhash.BATCH, 241, minhash.BATCH))
 
 
-def test_components_of_paths_and_stars(spark):
-    links = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(200, 201)]
+@pytest.mark.parametrize("last", [200_000, 40])
+def test_components_of_paths_and_stars(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST_LINKS", last)
+    links = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in range(100, 140)) and got[201] == 200
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_long_chain_and_a_forest(spark, monkeypatch):
+    monkeypatch.setattr(components, "LAST_LINKS", 20)
+    rng = random.Random(15)
+    ids = [rng.randrange(1 << 62) - (1 << 61) for _ in range(3000)]
+    links = list(zip(ids[:1000], ids[1:1001], strict=True)) + [(ids[i], ids[rng.randrange(1001, i)]) for i in range(1002, 3000) if rng.random() < 0.9]
+    of = {x: x for e in links for x in e}
+
+    def root(x):
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        of[high] = low
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in of}
