@@ -45,9 +45,7 @@ def mapped(df: DataFrame, keep: list[str], read: list[str], make: Callable[[], C
     make() gives that function once a task.  What is kept stays in Arrow, so that no value changes: nullable longs
     would become doubles in pandas.
     """
-    schema = StructType(list(df.select(*keep).schema)) if keep else StructType()
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
+    schema = StructType([*df.select(*keep).schema, *StructType.fromDDL(", ".join(f"`{c}` {kind}" for c, kind in added.items()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

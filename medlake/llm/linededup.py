@@ -7,10 +7,12 @@ both lines and the segment's number bound.  Each line is indexed by its segments
 its own length, and probes, with its substrings at those places, the indexes of lengths
 down to EDITS shorter.  Candidates are verified by a banded bit-parallel edit distance.
 
-Lines shorter than LEAST code points, empty ones included, are never removed.  Lines are
-told apart by 64-bit hashes.  Nulls: a null text has no lines and stays null; a null
-doc_id is passed over and stays as it is.  Repeated rows of a doc_id count as one
-document and are treated alike.  An empty table gives an empty result.
+Lines shorter than LEAST code points, for which two edits would be too many, match
+exactly; blank lines are never removed.  Lines are told apart by two 64-bit hashes.
+Nulls: a null text has no lines and stays null; a null doc_id is passed over and stays
+as it is.  Rows of a doc_id with different texts are documents of their own; repeated
+rows, of equal text too, count as one document and are treated alike.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +23,18 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlake.llm.common import arrow_batches, broadcast_if_small, checkpoint
 from medlake.llm.components import grouped
 
 EDITS = 2
+#: Lines shorter than this match exactly, longer ones within EDITS edits.
 LEAST = 24
+#: A class is large from this share of all lines on; there are fewer of them than its inverse, so that they may be broadcast.
+LARGE = 1 / 1000
+BLANK = "^[\\s\\u00a0]*$"
 
 
 def signed_hash(text: str) -> int:
@@ -97,11 +103,16 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(rows[edits] >> len(a) & 1)
 
 
+def _text_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place and line id of the lines long enough."""
-    found = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("id"), F.length(x).alias("n")))
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(found).alias("place", "line"))
-    return rows.where(F.col("line.n") >= LEAST).select("doc_id", "place", F.col("line.id").alias("id"))
+    """doc_id, text_key, place, and both hashes of the lines that are not blank."""
+    found = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("id"), F.xxhash64(x, F.lit(1)).alias("check"), x.rlike(BLANK).alias("blank")))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _text_key(), F.posexplode(found).alias("place", "line"))
+    return rows.where(~F.col("line.blank")).select("doc_id", "text_key", "place", "line.id", "line.check")
 
 
 def _keys(docs: DataFrame, edits: int) -> DataFrame:
@@ -166,33 +177,46 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         lambda lines: among(lines, edits),
     )
     known = broadcast_if_small(labels, labels.count())
-    rows = _lines(docs).join(known, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-    firsts = rows.groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # classes of one line need no join; the others meet their first line, split where one class is large
-    return rows.join(firsts.select("class", "at"), "class", "left").select(
-        "doc_id", "place", "id", "class", F.coalesce(F.struct("doc_id", "place") == F.col("at"), F.lit(True)).alias("first")
-    )
+    linked = F.col("component").isNotNull()
+    rows = _lines(docs).join(known, "id", "left").withColumns(
+        {"class": F.coalesce("component", "id"), "check": F.when(linked, 0).otherwise(F.col("check"))}  # a class of linked lines has many hashes
+    ).drop("component")
+    firsts = rows.groupBy("class", "check").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = checkpoint(firsts)
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = firsts.where(F.col("n") >= F.lit(total * LARGE)).select("class", "check", F.col("at").alias("at_large"))
+    rows = rows.join(F.broadcast(large), ["class", "check"], "left")
+    # rows of large classes have met their first line; the others meet it by class, and large classes are dealt over all tasks
+    dealt = F.when(F.col("at_large").isNull(), F.col("class")).otherwise(F.xxhash64("doc_id", "place"))
+    rows = rows.withColumn("dealt", dealt).join(firsts.where(F.col("n") < F.lit(total * LARGE)).select(F.col("class").alias("dealt"), "check", "at"), ["dealt", "check"], "left")
+    at = F.coalesce("at_large", "at")
+    return rows.select("doc_id", "text_key", "place", "id", "class", F.coalesce(F.struct("doc_id", "place", "text_key") == at, F.lit(True)).alias("first"))
 
 
 def removed_places(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """doc_id and the places of the lines to remove, for documents that have any."""
+    """doc_id, text_key and the places of the lines to remove, for documents that have any."""
     gone = line_classes(docs, edits).where("not first")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+
+
+def _with_gone(docs: DataFrame, edits: int) -> DataFrame:
+    """docs with __gone, the places of the lines to remove; null where there are none."""
+    gone = removed_places(docs, edits).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
+    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """docs with the repeated lines cut out of text; rows of which nothing is left go."""
+    """docs with the repeated lines cut out of text; rows of which nothing but blank lines is left go."""
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    all_gone = F.size("__gone") == F.size(lines)
-    gone = removed_places(docs, edits).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    rows = docs.join(gone, docs["doc_id"] == F.col("__id"), "left").where(F.col("__gone").isNull() | ~all_gone)
+    all_gone = kept.rlike(BLANK)
+    rows = _with_gone(docs, edits).where(F.col("__gone").isNull() | ~all_gone)
     return rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
 
 
 def digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines and removed (places of removed lines) of every document."""
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    rows = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    return rows.join(removed_places(docs, edits), "doc_id", "left").select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    rows = _with_gone(docs.select("doc_id", "text"), edits)
+    return rows.select("doc_id", n_lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
