@@ -8,8 +8,9 @@ the full shingle sets.  Groups are components of the verified links.
 Not all pairs of a band's bucket are candidates: see components.grouped.
 
 Nulls and texts without a word have the empty set and link with nothing.  A null doc_id
-is passed over.  Repeated rows get the component of their doc_id; an empty table gives
-an empty result.  Further columns are ignored.
+is passed over.  Rows of a doc_id with different texts are documents of their own, each
+with its own component; repeated rows are treated alike.  An empty table gives an empty
+result.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlake.llm.common import arrow_batches, broadcast_if_small, checkpoint, whole_text, written
@@ -104,8 +105,13 @@ def verified(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list, sets_b: list, p
     return out
 
 
+def _text_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(whole_text()).alias("text_key")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets) and band keys of every row."""
+    """doc_id, text_key, n_shingles, set_key (equal for equal sets) and band keys of every row."""
 
     def run(batches):
         for batch in batches:
@@ -113,32 +119,33 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
+                    "text_key": batch["text_key"],
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "bands": [band_keys(signature(s)) if len(s) else np.zeros(0, np.int64) for s in sets],
                 }
             )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _text_key(), whole_text().alias("text"))
+    return rows.mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, signature and full set, as bytes, of the given documents."""
+    """id, signature and full set, as bytes, of the given documents (id, doc_id, text_key)."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "sig": [signature(s).tobytes() for s in sets], "found": [s.tobytes() for s in sets]})
 
-    rows = docs.select(F.col("doc_id").alias("id"), whole_text().alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInPandas(run, "id long, sig binary, found binary").dropDuplicates(["id"])
+    rows = docs.select("doc_id", _text_key(), whole_text().alias("text")).join(ids, ["doc_id", "text_key"]).select("id", "text")
+    return rows.mapInPandas(run, "id long, sig binary, found binary").dropDuplicates(["id"])
 
 
-def links(pairs: DataFrame, docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = full_sets(docs, broadcast_if_small(ids, ids.count()), words)
+def links(pairs: DataFrame, docs: DataFrame, at: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that reach the threshold; `at` says where each id stands."""
+    ids = _placed(at, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = full_sets(docs, ids, words)
     left, right = (sets.select(*(F.col(c).alias(c + s) for c in sets.columns)) for s in "ab")
 
     def run(batches):
@@ -151,46 +158,89 @@ def links(pairs: DataFrame, docs: DataFrame, words: int, percent: int = PERCENT)
     return joined.select("a", "b", "siga", "sigb", "founda", "foundb").mapInPandas(run, "a long, b long")
 
 
-def among(sets: list[bytes], percent: int = PERCENT):
-    """What tells of one set which of these reach the threshold with it, by the places of each shingle."""
-    arrays = [np.frombuffer(s, np.uint64) for s in sets]
-    sizes = np.array([len(x) for x in arrays])
-    flat, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+SIGNED = BANDS * ROWS * 4
+
+
+def among(rows: list[bytes], percent: int = PERCENT):
+    """What tells of one row which of these reach the threshold with it; a row is the signature's and the set's bytes.
+
+    Signatures prune, batch by batch, as in verified(); what is left is counted on full sets.
+    """
+    sigs = np.frombuffer(b"".join(r[:SIGNED] for r in rows), np.uint32).reshape(len(rows), -1)
+    sets = [np.frombuffer(r, np.uint64, offset=SIGNED) for r in rows]
+    least = least_matches(percent)
 
     def test(data: bytes) -> np.ndarray:
-        x = np.frombuffer(data, np.uint64)
-        low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-        n = high - low
-        at = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        both = np.bincount(owner[at], minlength=len(sizes))
-        return 100 * both >= percent * (len(x) + sizes - both)
+        sig, x = np.frombuffer(data[:SIGNED], np.uint32), np.frombuffer(data, np.uint64, offset=SIGNED)
+        live, matches = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+        for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+            matches[live] += (sigs[live, n - BATCH : n] == sig[n - BATCH : n]).sum(1)
+            live = live[matches[live] >= least[n]]
+        out = np.zeros(len(sets), bool)
+        for i in live:
+            both = len(np.intersect1d(x, sets[i], assume_unique=True))
+            out[i] = 100 * both >= percent * (len(x) + len(sets[i]) - both)
+        return out
 
     return test
 
 
-def duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+#: A group of equal sets is large from this share of all rows on; there are fewer of them than its inverse, so that they may be broadcast.
+LARGE = 1 / 1000
+
+
+def _placed(at: DataFrame, ids: DataFrame) -> DataFrame:
+    """Where the given ids stand, as (id, doc_id, text_key), to be joined with the documents."""
+    ids = checkpoint(at.join(ids, "id", "left_semi"))
+    return broadcast_if_small(ids, ids.count())
+
+
+def _grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id of every row."""
     arrow_batches(docs.sparkSession)
     rows = written(sketches(docs, words), "sketches")
-    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    reps = rows.where("n_shingles > 0").select("doc_id", "set_key", "bands").join(sets.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    keys = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct("doc_id", "text_key")).alias("at")
+    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(first, F.count(F.lit(1)).alias("n")).select("set_key", "at.*", "n")
+    # a set's id is the doc_id of its first row; where one doc_id has several texts, a hash of the set
+    many = checkpoint(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id", F.lit(True).alias("many")))
+    n_many = many.count()
+    sets = sets.join(broadcast_if_small(many, n_many), "doc_id", "left") if n_many else sets.withColumn("many", F.lit(None).cast("boolean"))
+    sets = checkpoint(sets.select("set_key", F.when(F.col("many"), F.xxhash64("set_key")).otherwise(F.col("doc_id")).alias("id"), "doc_id", "text_key", "n"))
+    at = sets.select("id", "doc_id", "text_key")
+    reps = rows.select("doc_id", "text_key", "set_key", "bands").join(sets.select("id", "set_key", "doc_id", "text_key"), ["set_key", "doc_id", "text_key"])
+    keys = reps.select(F.explode("bands").alias("key"), "id").distinct() if n_many else reps.select(F.explode("bands").alias("key"), "id")
     labels = grouped(
         keys,
-        lambda pairs: links(pairs, docs, words, percent),
-        lambda ids: full_sets(docs, broadcast_if_small(ids, ids.count()), words).select("id", F.col("found").alias("data")),
+        lambda pairs: links(pairs, docs, at, words, percent),
+        lambda ids: full_sets(docs, _placed(at, ids), words).select("id", F.concat("sig", "found").alias("data")),
         lambda sets: among(sets, percent),
     )
-    n_labels = labels.count()
-    doubles = sets.where("n > 1").select("set_key", "id")
-    placed = rows.join(doubles, "set_key", "left").withColumn("id", F.coalesce("id", "doc_id"))
-    placed = placed.join(broadcast_if_small(labels, n_labels), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return placed.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    if n_many:
+        named = labels.join(at, "id")
+        labels = checkpoint(named.join(named.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", F.col("least").alias("component")))
+    doubles = sets.where("n > 1 or id <> doc_id").select("set_key", "id", "n")
+    total = rows.count()
+    large = doubles.where(F.col("n") >= F.lit(total * LARGE)).select("set_key", F.col("id").alias("large_id"))
+    rows = rows.drop("bands").join(F.broadcast(large), "set_key", "left")
+    # rows of large groups have their id; the others meet it by set, and large groups and empty sets are dealt over all tasks
+    dealt = F.when(F.col("large_id").isNull() & (F.col("n_shingles") > 0), F.col("set_key")).otherwise(F.unhex(F.hex("doc_id")))
+    small = doubles.where(F.col("n") < F.lit(total * LARGE)).select(F.col("set_key").alias("dealt"), F.col("id").alias("small_id"))
+    placed = rows.withColumn("dealt", dealt).join(small, "dealt", "left").withColumn("id", F.coalesce("large_id", "small_id", "doc_id"))
+    placed = placed.join(broadcast_if_small(labels, labels.count()), "id", "left")
+    if not n_many:
+        return placed.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    hashed = sets.where("id <> doc_id").select("id", F.col("doc_id").alias("first_id"))
+    return placed.join(hashed, "id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "first_id", "id").alias("component_id"))
+
+
+def duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return _grouped_rows(docs, words, percent).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that are not the first of their group, with all their columns."""
-    gone = checkpoint(duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs without the rows that are not the first of their group, with all their columns; null doc_ids stay."""
+    gone = _grouped_rows(docs, words, percent).where("doc_id <> component_id")
+    gone = checkpoint(gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct())
+    same = (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__key"))
+    return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti")
