@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns plus a character convolutional network over every candidate.
 
-The patterns give the base findings.  Every other candidate (a value after a name and
-a separator, or a long token that mixes digits and letters) is scored by a small
+The patterns give the base findings.  Every candidate (a value after a name and a
+separator, or a long token that mixes digits and letters) is scored by a small
 convolutional network in numpy that sees the candidate and the text around it; it was
 trained on labelled findings made by a rule, its scores are calibrated on a part held
-back, and the threshold is the highest that keeps the wanted recall there.
+back, and the threshold is the highest that keeps the wanted recall there.  Candidates
+that reach it are findings too; where they touch a base finding, that one stays and
+takes their score.  A base finding without a candidate has score 1.
 
 Nulls: a null text counts as empty and has no findings.  Repeated rows give repeated
 results, an empty table none; further columns are ignored.  Spans are in code points.
@@ -14,13 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, held_model, whole_text
+from medlake.llm.common import arrow_batches, held_model, mapped, whole_text
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -34,12 +36,13 @@ KINDS = ("assign", "access", "hex", "learned")
 #: A text without any of these has no assignment.
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 VALUE = re.compile(r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
-NAME = re.compile(r"""[A-Za-z][A-Za-z0-9_.-]{1,39}["']?\x20*$""")
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.-]+")
+NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 
 BEFORE, WINDOW = 32, 96
 RECALL = 0.98
-SEED, EXAMPLES, EPOCHS = 11, 1800, 8
+SEED, EXAMPLES, EPOCHS = 11, 3600, 8
 
 
 def base_findings(text: str) -> list[tuple[int, str, int]]:
@@ -54,11 +57,23 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[1])))
 
 
+def named(text: str, at: int) -> bool:
+    """Whether a name stands ahead of a separator at this place, however long it is."""
+    while at and text[at - 1] == " ":
+        at -= 1
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    end = at
+    while at and text[at - 1] in NAME_CHARS:
+        at -= 1
+    return NAME.search(text, at, end) is not None
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of all that may be a secret, base findings among them; longest first where starts agree."""
     found = set()
     if ":" in text or "=" in text:
-        found.update(m.span(1) for m in VALUE.finditer(text) if NAME.search(text[max(0, m.start() - 44) : m.start()]))
+        found.update(m.span(1) for m in VALUE.finditer(text) if named(text, m.start()))
     found.update(m.span() for m in TOKEN.finditer(text))
     return sorted(found, key=lambda s: (s[0], -s[1]))
 
@@ -107,28 +122,51 @@ def labelled_findings(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray,
     def prose(words: int) -> str:
         return " ".join(some(lower, 1, 9) for _ in range(words))
 
+    names = (
+        "password", "passwd", "pwd", "pass", "passphrase", "db_password", "secret", "client_secret", "token", "auth_token", "access_token", "api_key", "apikey",
+        "access_key", "private_key", "credential", "credentials", "bearer", "auth", "signing_key",
+    )
+    plain = ("name", "title", "author", "note", "lang", "city", "topic", "subject", "status", "section", "unit", "file", "path", "class", "host", "url", "see")
+
     def secret() -> tuple[str, str]:
-        name = pick("password", "passwd", "pwd", "secret", "client_secret", "token", "auth_token", "api_key", "apikey", "access_key", "private_key", "credential", "bearer")
-        value = pick(some(base64, 20, 44), some(digits + "abcdef", 16, 64), some(lower + digits, 10, 32), some(lower + lower.upper() + digits + "_-", 12, 40))
+        name = pick(*names)
+        value = pick(
+            some(base64, 20, 44), some(digits + "abcdef", 16, 64), some(lower + digits, 10, 32), some(lower + lower.upper() + digits + "_-", 12, 40),
+            some(lower, 10, 28), some(lower, 4, 9) + some(digits, 1, 4) + some(lower, 3, 9), some(lower, 3, 8) + "-" + some(lower, 3, 8) + "-" + some(lower, 3, 8),
+        )
         if rng.random() < 0.25:
             return "", pick("AKIA" + some(lower.upper() + digits, 16, 16), "ghp_" + some(base64[:62], 36, 36), "sk_live_" + some(base64[:62], 24, 24), "xoxb-" + some(digits, 11, 12) + "-" + some(base64[:62], 24, 24))
         return name + pick("=", ": ", " = ", '": "', ":"), value
 
+    def day() -> str:
+        return "20" + some(digits, 2, 2) + pick("-", "") + pick("0", "1") + some("012", 1, 1) + pick("-", "") + some("012", 1, 1) + some(digits, 1, 1)
+
     def other() -> tuple[str, str]:
-        form = rng.integers(7)
+        form = rng.integers(12)
         if form == 0:
             return pick("see ", "at ", "") + "https://www." + some(lower, 4, 9) + ".example/", some(lower, 3, 8) + "/" + some(digits, 4, 8) + "/" + some(lower, 4, 9)
         if form == 1:
             return pick("phone: ", "tel=", "fax: "), some(digits, 3, 4) + "-" + some(digits, 3, 4) + "-" + some(digits, 4, 6)
         if form == 2:
-            return pick("version=", "date: ", "build: ", "released: "), "20" + some(digits, 2, 2) + "-" + some("01", 2, 2) + "-" + some("012", 2, 2) + pick("", "T" + some(digits, 6, 6))
+            return pick("version=", "date: ", "build: ", "released: ", "built at: ", ""), day() + pick("", "T") + some(digits, 6, 6) + pick("", "Z", "-" + some(digits, 3, 6))
         if form == 3:
-            return pick("name: ", "title=", "author: ", "note: ", "lang="), some(lower, 8, 22)
+            return pick(*plain) + pick("=", ": ", " = "), some(lower, 8, 28)
         if form == 4:
             return "", some(lower, 6, 12) + "_" + some(lower, 4, 9) + "_" + some(digits, 1, 3)
         if form == 5:
             return pick("iban: ", "order: ", "invoice=", "account: ", "isbn: "), some(digits, 10, 20)
-        return pick("class=", "id=", "file: ", "path="), some(lower, 4, 9) + pick("-", "/", ".") + some(lower, 4, 12) + pick("", some(digits, 1, 2))
+        if form == 6:  # serial and file numbers: groups of capitals and of digits
+            groups = [some(lower.upper(), 2, 4)] + [some(digits, 2, 6) for _ in range(rng.integers(1, 5))] + [pick("", some(lower.upper(), 1, 3))]
+            return pick("", "ref: ", "case: ", "serial=", "no: "), pick("-", "/", "_").join(g for g in groups if g)
+        if form == 7:
+            return pick("id=", "uuid: ", "trace: ", ""), "-".join(some(digits + "abcdef", n, n) for n in (8, 4, 4, 4, 12))
+        if form == 8:
+            return pick("", "see ", "file: ", "image="), pick("-", "_").join(some(lower, 3, 9) for _ in range(rng.integers(3, 6))) + pick("-", "_", "-v") + some(digits, 1, 4)
+        if form == 9:
+            return pick(*plain) + pick("=", ": "), some(lower, 3, 8) + "-" + some(lower, 3, 8) + "-" + some(lower, 3, 8)
+        if form == 10:
+            return pick("lib=", "version: ", "package: ", ""), some(lower, 4, 9) + "-" + some(digits, 1, 2) + "." + some(digits, 1, 2) + "." + some(digits, 1, 3) + pick("", "-" + some(lower, 3, 6) + some(digits, 1, 1))
+        return pick(*plain) + pick("=", ": "), some(lower, 4, 9) + pick("-", "/", ".") + some(lower, 4, 12) + pick("", some(digits, 1, 2))
 
     rows, labels = [], []
     for i in range(n):
@@ -229,34 +267,48 @@ def model() -> CharNet:
 def scan_text(text: str, net: CharNet) -> list[tuple[int, str, int, float]]:
     """(start, kind, end, score) of all findings by start: the base ones, and learned ones that overlap none."""
     base = base_findings(text)
-    found = [(s, kind, e, 1.0) for s, kind, e in base]
-    taken = [(s, e) for s, _, e in base]
-    spans = [c for c in candidates(text) if not any(c[0] < e and s < c[1] for s, e in taken)]
-    if spans:
-        counts = [max(1, -(-(e - s) // (WINDOW - BEFORE))) for s, e in spans]
-        best = np.maximum.reduceat(net.scores(windows(text, spans)), np.cumsum([0, *counts[:-1]]))
-        end = 0
-        for (s, e), p in zip(spans, best, strict=True):
-            if p >= net.threshold and s >= end:
-                found.append((s, "learned", e, float(p)))
-                end = e
+    spans = candidates(text)
+    if not spans:
+        return [(s, kind, e, 1.0) for s, kind, e in base]
+    counts = [max(1, -(-(e - s) // (WINDOW - BEFORE))) for s, e in spans]
+    best = np.maximum.reduceat(net.scores(windows(text, spans)), np.cumsum([0, *counts[:-1]]))
+    starts, reach = [s for s, _, _ in base], [0]
+    for _, _, e in base:
+        reach.append(max(reach[-1], e))
+    of_base: list[float | None] = [None] * len(base)
+    found, end = [], 0
+    for (s, e), p in zip(spans, best.tolist(), strict=True):
+        upto = bisect_right(starts, e - 1)  # base findings that begin ahead of the candidate's end
+        if reach[upto] > s:
+            k = upto - 1
+            while k >= 0 and reach[k + 1] > s:
+                if base[k][2] > s:
+                    of_base[k] = max(of_base[k] or 0.0, p)
+                k -= 1
+        elif p >= net.threshold and s >= end:
+            found.append((s, "learned", e, p))
+            end = e
+    found += [(s, kind, e, 1.0 if p is None else p) for (s, kind, e), p in zip(base, of_base, strict=True)]
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[1])))
 
 
-FINDINGS = "doc_id long, kinds array<string>, starts array<int>, ends array<int>, scores array<double>"
+FINDINGS = {"kinds": "array<string>", "starts": "array<int>", "ends": "array<int>", "scores": "array<double>"}
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document with its findings by start."""
     arrow_batches(docs.sparkSession)
 
-    def run(batches):
+    def make():
         net = model()
-        for batch in batches:
-            found = [scan_text(t, net) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"]} | {c: [[f[i] for f in fs] for fs in found] for c, i in (("kinds", 1), ("starts", 0), ("ends", 2), ("scores", 3))})
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, FINDINGS)
+        def work(texts):
+            found = [scan_text(t, net) for t in texts]
+            return {c: [[f[i] for f in fs] for fs in found] for c, i in (("kinds", 1), ("starts", 0), ("ends", 2), ("scores", 3))}
+
+        return work
+
+    return mapped(docs.select("doc_id", whole_text().alias("__text")), ["doc_id"], ["__text"], make, FINDINGS)
 
 
 def redact(text: str, findings: list[tuple[int, str, int, float]], mark: str = "[secret]") -> str:
