@@ -5,10 +5,11 @@ piece more than that budget, at least one piece occurs unchanged in any such pas
 One automaton finds all pieces of all items in a text; each hit is verified by Myers'
 bit-parallel distance over the stretch where the item would lie.
 
-Texts and items are lower-cased and their white space runs become one space.  Items
-shorter than LEAST characters say too little and are passed over.  Nulls: a null text is
-empty; a null item is passed over.  Repeated items count once by item_id each; repeated
-rows give repeated results; empty tables none.
+Texts and items are lower-cased and their white space runs become one space.  Items of
+any length are looked for; those shorter than SHORT characters, which have no edits to
+spare, must stand as whole words.  Nulls: a null text is empty; a null or blank item is
+passed over.  Repeated items count once by item_id each; repeated rows give repeated
+results; empty tables none.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, held_model, whole_text
+from medlake.llm.common import arrow_batches, filtered, held_model, whole_text
 
 RATE = 0.06
-LEAST = 20
+SHORT = 20
 #: Items that go to the tasks at once; a larger benchmark is matched in blocks.
 ITEM_BLOCK = 20_000
 
@@ -45,6 +46,13 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of a stretch."""
+    return not (
+        (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+    )
+
+
 class Pattern:
     """An item with its bit masks for Myers' search."""
 
@@ -107,6 +115,8 @@ class Matcher:
                 if (k in found and found[k][0] == 0) or seen.get(k) == start:
                     continue
                 seen[k] = start  # a passage without shifts gives the same start for each piece
+                if len(p.text) < SHORT and not whole_words(text, start, start + len(p.text)):
+                    continue
                 low = max(0, start - p.errors)
                 stretch = text[low : start + len(p.text) + p.errors]
                 exact = stretch.find(p.text)
@@ -127,8 +137,7 @@ def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK) -> list[tuple[tup
     out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()
-        items = {(r.item_id, t) for r in part if len(t := normalise(r.text)) >= LEAST}
-        out.append(tuple(sorted(items)))
+        out.append(tuple(sorted({(r.item_id, t) for r in part if (t := normalise(r.text))})))
     return out
 
 
@@ -136,18 +145,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     """doc_id, item_id, distance and end of each item that a document holds; documents without any have no row."""
     arrow_batches(docs.sparkSession)
     texts = docs.select("doc_id", whole_text().alias("text"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, end int"
     out = None
     for items in item_blocks(benchmark):
 
         def run(batches, items=items):
             matcher = matcher_of(items, rate)
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for m in matcher.matches(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end"])
+                found = [(k, *m) for k, t in enumerate(batch.column("text").to_pylist()) for m in matcher.matches(t)]
+                row, *rest = zip(*found, strict=True) if found else ((), (), (), ())
+                arrays = [pa.array(v, kind) for v, kind in zip(rest, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int32())), *arrays], names=["doc_id", "item_id", "distance", "end"])
 
-        part = texts.mapInPandas(run, "doc_id long, item_id long, distance int, end int")
+        part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return texts.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end int") if out is None else out
+    return texts.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -155,10 +167,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     arrow_batches(docs.sparkSession)
     for items in item_blocks(benchmark):
 
-        def run(batches, items=items):
+        def make(items=items):
             matcher = matcher_of(items, rate)
-            for batch in batches:
-                yield batch[[t is None or not matcher.matches(t) for t in batch["text"]]]
+            return lambda texts: [t is None or not matcher.matches(t) for t in texts]
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = filtered(docs, "text", make)
     return docs

@@ -26,11 +26,10 @@ from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, held_model, whole_text
+from medlake.llm.common import arrow_batches, held_model, mapped, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -310,34 +309,32 @@ def encode_digest(docs: DataFrame, n_best: int = N_BEST, model: str = MODEL) ->
 
 def _run(docs: DataFrame, n_best: int, model: str, column: str, made: Callable[[list[tuple[int, bytes]]], object]) -> DataFrame:
     arrow_batches(docs.sparkSession)
-    name = column.split()[0]
+    name, kind = column.split()
 
-    def run(batches):
+    def make():
         vocab = vocabulary(model)
-        for batch in batches:
-            texts = list(batch["text"])
+
+        def work(texts):
             found = segment(texts, vocab, n_best)
             best = [np.frombuffer(rows[0][1], "<i4") for rows in found]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_pieces": [len(x) for x in best],
-                    name: [made(rows) for rows in found],
-                    "scores": [[s / UNITS for s, _ in rows] for rows in found],
-                    "round_trip": [vocab.decode(x) == t for x, t in zip(best, texts, strict=True)],
-                }
-            )
+            return {
+                "n_pieces": [len(x) for x in best],
+                name: [made(rows) for rows in found],
+                "scores": [[s / UNITS for s, _ in rows] for rows in found],
+                "round_trip": [vocab.decode(x) == t for x, t in zip(best, texts, strict=True)],
+            }
+
+        return work
 
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    return rows.mapInPandas(run, f"doc_id long, n_pieces long, {column}, scores array<double>, round_trip boolean")
+    added = {"n_pieces": "long", name: kind, "scores": "array<double>", "round_trip": "boolean"}
+    return mapped(docs.select("doc_id", whole_text().alias("__text")), ["doc_id"], ["__text"], make, added)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the text of the best segmentation."""
 
-    def run(batches):
+    def make():
         vocab = vocabulary(model)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [vocab.decode(x) for x in batch["ids"]]})
+        return lambda found: {"text": [vocab.decode(np.array(x, np.int64)) for x in found]}
 
-    return encoded.select("doc_id", F.col("ids")[0].alias("ids")).mapInPandas(run, "doc_id long, text string")
+    return mapped(encoded.select("doc_id", F.col("ids")[0].alias("__ids")), ["doc_id"], ["__ids"], make, {"text": "string"})
