@@ -10,7 +10,8 @@ it reaches.  Suffixes that reach samples with different bytes cannot be equal, s
 bytes at the sample name the bucket, and buckets are sorted one at a time:
 
 1. samples: (bucket, hash of all bytes that any string through the sample can cover, place)
-2. samples that agree in all those bytes are repeated whole; nothing is sorted for them
+2. samples that agree in all those bytes, told by 128-bit hashes, are repeated whole;
+   nothing is sorted for them
 3. of each bucket with several such contexts one place of each context is fetched; its
    right contexts are ranked with their common prefix lengths, its left contexts too
 4. for each k, suffixes of a bucket with the same k leading bytes and the same rank down
@@ -20,6 +21,11 @@ bytes at the sample name the bucket, and buckets are sorted one at a time:
 Memory is that of one bucket's contexts, BUCKET at most; the strings of larger buckets are
 hashed whole, for each k, and counted by Spark.
 
+Equality of a whole context or string is that of its 128-bit hash: among 1e12 samples two
+different ones agree with a chance of some 1e-15.  A row is told by doc_id and a hash of
+its text.  A difference cover on fixed offsets would need positions that agree between
+documents; the least hash of each string's bytes is the same wherever the string stands.
+
 Nulls: a null text is empty; a null doc_id is passed over.  Repeated rows (equal id and
 text) are places of their own and get equal results.  An empty table gives an empty
 result.  Texts are never cut, and strings never cross from one document to another.
@@ -54,8 +60,18 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: A row of the documents.
+ROW = ["doc_id", "row"]
+
+
+def _halves(raw: bytes, seed: int = 0) -> tuple[int, int]:
+    """A 128-bit hash as two signed longs."""
+    h = xxhash.xxh3_128_intdigest(raw, seed)
+    return _signed(h >> 64), _signed(h & ((1 << 64) - 1))
+
+
 def _row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64("text")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -87,29 +103,32 @@ def sample_places(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+CONTEXT = ["context", "context_2"]
+
+
 def samples(docs: DataFrame) -> DataFrame:
-    """bucket, context, row, place and the last start of a string through the sample; equal contexts have equal buckets."""
+    """bucket, context (two halves), row, place and the last start of a string through the sample; equal contexts have equal buckets."""
 
     def run(batches):
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
             rows = []
-            for key, t, places in zip(batch["row"], texts, sample_places(texts), strict=True):
+            for d, key, t, places in zip(batch["doc_id"], batch["row"], texts, sample_places(texts), strict=True):
                 n = len(t)
                 for p in places.tolist():
                     left, right = max(0, p - SPAN + 1), min(n, p + LENGTH)
-                    context = xxhash.xxh3_64_intdigest(t[left:right], seed=(p - left) << 10 | (right - p))
-                    rows.append((_signed(xxhash.xxh3_64_intdigest(t[p : p + NAME])), _signed(context), key, p, min(p, n - LENGTH)))
-            yield pd.DataFrame(rows, columns=["bucket", "context", "row", "place", "high"])
+                    context = _halves(t[left:right], (p - left) << 10 | (right - p))
+                    rows.append((_signed(xxhash.xxh3_64_intdigest(t[p : p + NAME])), *context, d, key, p, min(p, n - LENGTH)))
+            yield pd.DataFrame(rows, columns=["bucket", *CONTEXT, *ROW, "place", "high"])
 
-    rows = _texts(docs).withColumn("row", _row_key()).where(F.octet_length("text") >= LENGTH).select("row", "text")
-    return rows.mapInPandas(run, "bucket long, context long, row long, place int, high int")
+    rows = _texts(docs).withColumn("row", _row_key()).where(F.octet_length("text") >= LENGTH).select(*ROW, "text")
+    return rows.mapInPandas(run, "bucket long, context long, context_2 long, doc_id long, row long, place int, high int")
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "bucket", "single")).alias("want"))
-    texts = _texts(docs).withColumn("row", _row_key()).select("row", "text")
-    return texts.join(broadcast_if_small(lists, n_wanted, BROADCAST_ENTRIES), "row")
+    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("place", "bucket", "single")).alias("want"))
+    texts = _texts(docs).withColumn("row", _row_key()).select(*ROW, "text")
+    return texts.join(broadcast_if_small(lists, n_wanted, BROADCAST_ENTRIES), ROW)
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -118,42 +137,42 @@ def contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for key, text, want in zip(batch["row"], batch["text"], batch["want"], strict=True):
+            for d, key, text, want in zip(batch["doc_id"], batch["row"], batch["text"], batch["want"], strict=True):
                 t = text.encode("utf-8", "surrogatepass")
                 for w in want:
                     p = w["place"]
-                    rows.append((w["bucket"], key, p, w["single"], t[max(0, p - SPAN + 1) : p][::-1], t[p + NAME : p + LENGTH]))
-            yield pd.DataFrame(rows, columns=["bucket", "row", "place", "single", "before", "after"])
+                    rows.append((w["bucket"], d, key, p, w["single"], t[max(0, p - SPAN + 1) : p][::-1], t[p + NAME : p + LENGTH]))
+            yield pd.DataFrame(rows, columns=["bucket", *ROW, "place", "single", "before", "after"])
 
-    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "bucket long, row long, place int, single boolean, before binary, after binary")
+    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "bucket long, doc_id long, row long, place int, single boolean, before binary, after binary")
 
 
 def hashed_strings(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """hash, row, start and single of each string through each wanted sample."""
+    """hash (two halves), row, start and single of each string through each wanted sample."""
 
     def run(batches):
         rows: list[tuple] = []
         for batch in batches:
-            for key, text, want in zip(batch["row"], batch["text"], batch["want"], strict=True):
+            for d, key, text, want in zip(batch["doc_id"], batch["row"], batch["text"], batch["want"], strict=True):
                 t = text.encode("utf-8", "surrogatepass")
                 for w in want:
                     p = w["place"]
                     for at in range(max(0, p - SPAN + 1), min(p, len(t) - LENGTH) + 1):
-                        rows.append((_signed(xxhash.xxh3_64_intdigest(t[at : at + LENGTH], seed=p - at)), key, at, w["single"]))
+                        rows.append((*_halves(t[at : at + LENGTH], p - at), d, key, at, w["single"]))
                     if len(rows) >= HASHED:
-                        yield pd.DataFrame(rows, columns=["hash", "row", "start", "single"])
+                        yield pd.DataFrame(rows, columns=["hash", "hash_2", *ROW, "start", "single"])
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["hash", "row", "start", "single"])
+            yield pd.DataFrame(rows, columns=["hash", "hash_2", *ROW, "start", "single"])
 
-    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "hash long, row long, start int, single boolean")
+    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "hash long, hash_2 long, doc_id long, row long, start int, single boolean")
 
 
 def count_strings(strings: DataFrame) -> DataFrame:
     """row, low and high as of sort_buckets, from the strings' hashes; no task holds the strings of a bucket."""
     strings = written(strings, "strings")
-    twice = strings.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return strings.where("single").join(twice, "hash", "left_semi").select("row", F.col("start").alias("low"), F.col("start").alias("high"))
+    twice = strings.groupBy("hash", "hash_2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "hash_2")
+    return strings.where("single").join(twice, ["hash", "hash_2"], "left_semi").select(*ROW, F.col("start").alias("low"), F.col("start").alias("high"))
 
 
 def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +226,7 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
         i, first = np.nonzero(edge == 1)
         _, last = np.nonzero(edge == -1)
         place = block["place"].to_numpy()[i]
-        return pd.DataFrame({"row": block["row"].to_numpy()[i], "low": place - last + 1, "high": place - first})
+        return pd.DataFrame({c: block[c].to_numpy()[i] for c in ROW} | {"low": place - last + 1, "high": place - first})
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -227,19 +246,19 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "row long, low int, high int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "doc_id long, row long, low int, high int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """row, low and high: runs of starts, within a document, of strings that start at another place too."""
     found = written(samples(docs), "samples")
-    by_context = found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place", "bucket")).alias("at"))
-    by_context = written(by_context.select("context", (F.col("n") == 1).alias("single"), "at.*"), "contexts")
+    by_context = found.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "place", "bucket")).alias("at"))
+    by_context = written(by_context.select(*CONTEXT, (F.col("n") == 1).alias("single"), "at.*"), "contexts")
     first = F.greatest(F.lit(0), F.col("place") - (SPAN - 1)).alias("low")
-    whole = found.join(by_context.where("not single").select("context"), "context", "left_semi").select("row", first, "high")
+    whole = found.join(by_context.where("not single").select(*CONTEXT), CONTEXT, "left_semi").select(*ROW, first, "high")
     several = by_context.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any")
     several = several.select("bucket", (F.col("n") > BUCKET).alias("hot"))
-    wanted = written(by_context.join(several, "bucket").select("row", "place", "bucket", "single", "hot"), "wanted")
+    wanted = written(by_context.join(several, "bucket").select(*ROW, "place", "bucket", "single", "hot"), "wanted")
     counts = dict(wanted.groupBy("hot").count().collect())
     rest = whole.unionByName(sort_buckets(contexts(docs, wanted.where("not hot"), counts.get(False, 0))))
     if True not in counts:
@@ -268,7 +287,7 @@ def _over(docs: DataFrame, row: Callable[[int, bytes, list[tuple[int, int]]], tu
     """A row of each document, made from its id, its bytes and the spans of them that go."""
     arrow_batches(docs.sparkSession)
     packed = F.shiftleft(F.col("low").cast("long"), 32) + F.col("high")
-    per_row = written(repeats(docs).groupBy("row").agg(F.collect_set(packed).alias("runs")), "runs")
+    per_row = written(repeats(docs).groupBy(*ROW).agg(F.collect_set(packed).alias("runs")), "runs")
     n_runs = per_row.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -282,7 +301,7 @@ def _over(docs: DataFrame, row: Callable[[int, bytes, list[tuple[int, int]]], tu
                 rows.append(row(d, t, spans))
             yield pd.DataFrame(rows, columns=columns)
 
-    rows = _texts(docs).withColumn("row", _row_key()).join(broadcast_if_small(per_row, n_runs, BROADCAST_ENTRIES), "row", "left")
+    rows = _texts(docs).withColumn("row", _row_key()).join(broadcast_if_small(per_row, n_runs, BROADCAST_ENTRIES), ROW, "left")
     return rows.select("doc_id", "text", "runs").mapInPandas(run, schema)
 
 
