@@ -11,10 +11,13 @@ places.  An empty table gives an empty result.  Further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlake.llm.common import whole_text
+from medlake.llm.common import whole_text, written
+from medlake.session import shared_dir
 
 SLOTS = 4096
 ROW_OVERHEAD = 8
@@ -113,10 +116,16 @@ def assign(records: DataFrame, slot_map: DataFrame, totals: DataFrame) -> DataFr
     )
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (place in the shard) and vslot, with byte totals near equal."""
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (place in the shard) and vslot, with byte totals near equal.
+
+    The map is stored as version 1 under `maps`, a new folder of the shared one where none is named, and read from there;
+    where `maps` holds versions already, records go by the newest of them.
+    """
+    spark = docs.sparkSession
     records = sized(docs, slots)
-    totals = slot_totals(records, slots)
-    return assign(records, first_map(totals, shards), totals).select(
-        "doc_id", "size", "text_crc32", "shard", "slot", "vslot"
-    )
+    totals = written(slot_totals(records, slots), "totals")
+    if maps is None:
+        maps = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+        store_map(first_map(totals, shards), maps)
+    return assign(records, load_map(spark, maps), totals).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot")

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from medlake.llm.common import broadcast_if_small, whole_text
 
 S, K = 3, 12
-SPACE = "[\\x20\\x09-\\x0D]+"
+#: Letters of scripts that put no space between words are words of their own.
+ALONE = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+WORD = f"[{ALONE}]|[^{ALONE}\\x20\\x09-\\x0D]+"
 #: doc_ids to a bucket of neighbours are 2 to this power at most.
 BUCKET_BITS = 10
 #: Keys that one window over all of them may order.
@@ -29,8 +31,7 @@ TOP_KEYS_BITS = 16
 
 
 def _inner(text: Column) -> Column:
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -83,6 +84,16 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def shared_anchors(a: str, b: str) -> Column:
+    """The anchors that two texts have alike, as (at_a, at_b, hash) by place in the first: equal differences of the places are one shared passage."""
+    def packed(x: Column) -> Column:
+        return F.struct(x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), F.shiftright(x, 32).alias("hash"))
+
+    mine, theirs = F.transform(a, packed), F.transform(b, packed)
+    met = F.transform(mine, lambda x: F.transform(F.filter(theirs, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["at"].alias("at_a"), y["at"].alias("at_b"), x["hash"].alias("hash"))))
+    return F.flatten(met)
+
+
 def successors(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """key and next_key of a table of distinct longs that span `bits` bits; the first follows the last.
 
@@ -93,12 +104,12 @@ def successors(keys: DataFrame, key: str, bits: int) -> DataFrame:
         w = Window.orderBy(key)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return keys.select(key, F.coalesce(F.lead(key).over(w), F.first(key).over(whole)).alias("next_key"))
-    grouped = keys.withColumn("g", F.shiftright(key, TOP_KEYS_BITS))
-    inside = grouped.withColumn("n", F.lead(key).over(Window.partitionBy("g").orderBy(key)))
-    heads = grouped.groupBy("g").agg(F.min(key).alias("head"))
-    after = successors(heads.select("g"), "g", bits - TOP_KEYS_BITS).withColumnRenamed("next_key", "after")
-    first_of = heads.withColumnRenamed("g", "after")
-    return inside.join(after.join(first_of, "after"), "g", "left").select(key, F.coalesce("n", "head").alias("next_key"))
+    rows = keys.select(F.col(key).alias("k"), F.shiftright(key, TOP_KEYS_BITS).alias("up"))
+    inside = rows.withColumn("n", F.lead("k").over(Window.partitionBy("up").orderBy("k")))
+    heads = rows.groupBy("up").agg(F.min("k").alias("head"))
+    after = successors(heads.select("up"), "up", bits - TOP_KEYS_BITS)
+    starts = after.join(heads.select(F.col("up").alias("next_key"), "head"), "next_key").select("up", "head")
+    return inside.join(starts, "up", "left").select(F.col("k").alias(key), F.coalesce("n", "head").alias("next_key"))
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
