@@ -87,6 +87,30 @@ def test_secrets_base_is_exact(spark):
     assert got[12].n_learned == 1 and got[13].n_learned == 1
 
 
+#: Labelled by hand, in forms of their own: text, and the value to find or None.
+BY_HAND = [
+    ("pwd: correcthorsebattery ok", "correcthorsebattery"), ("my passphrase = tiger-lemon-boat", "tiger-lemon-boat"), ("credential: Zm9vYmFyMTIzNDU2Nzg5MA== ok", "Zm9vYmFyMTIzNDU2Nzg5MA=="),
+    ("see ghp_abcdEFGH1234ijklMNOP5678qrstUVWX9012 there", "ghp_abcdEFGH1234ijklMNOP5678qrstUVWX9012"), ("export SIGNING_KEY=q8Zr1tYw7Lk2Pd5Nf3Vb", "q8Zr1tYw7Lk2Pd5Nf3Vb"),
+    ("ref ABC-123456-2024-0099-XY end", None), ("built 20240131T101500Z-3321 done", None), ("build: 2024-01-31T101500", None), ("title: correcthorsebattery", None),
+    ("id: 550e8400-e29b-41d4-a716-446655440000 x", None), ("get https://files.example.com/releases/app-installer-10.4.2-beta1.zip now", None), ("invoice: 20240011223344", None),
+    ("order no: DE-99-8877-AB", None), ("phone: 030-5550-123456", None), ("see chapter-seven-appendix-12 for it", None),
+]
+
+
+def test_secrets_by_hand():
+    net = secrets.model()
+    for text, value in BY_HAND:
+        found = [text[s:e] for s, k, e, _ in secrets.scan_text(text, net) if k == "learned"]
+        assert (value is None and not found) or (len(found) == 1 and value in found[0]), (text, found)
+
+
+def test_every_candidate_is_scored_and_names_may_be_long():
+    net = secrets.model()
+    (found,) = secrets.scan_text("token=abcdefgh1", net)
+    assert found[1] == "assign" and found[3] < 1
+    assert secrets.candidates("x" * 90 + " " * 90 + "= abcdefghij") == [(182, 192)] and secrets.candidates(" = abcdefghij") == []
+
+
 def test_secrets_network_keeps_its_recall():
     net = secrets.model()
     x, y = secrets.labelled_findings(600, seed=77)
@@ -121,6 +145,8 @@ def test_phrases_match_a_greedy_parse():
     rng = random.Random(1)
     for _ in range(50):
         text = "".join(rng.choice("abncdge ") for _ in range(rng.randint(0, 40)))
+        while "  " in text:
+            text = text.replace("  ", " ")
         for k, (_, ref) in enumerate(sample):
             n, at = 0, 0
             while at < len(text):
@@ -151,6 +177,37 @@ def test_language_of_held_out_rows(spark):
     assert langid.accepted(df, langid.labelled_sample(df)).count() == 190
 
 
+def plain_phrases(parser, text, k):
+    state, n = int(parser.roots[k]), 0
+    for c in parser.codes(text).tolist():
+        state = int(parser.table[state + c])
+        if state < 0:
+            state, n = ~state, n + 1
+    return n + (state != parser.roots[k])
+
+
+def test_no_result_depends_on_segments(monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", 7)
+    monkeypatch.setattr(langid, "SIDE_BY_SIDE", 500)
+    rng = random.Random(21)
+    parser = langid.CrossParser((("a", words(rng, 80)), ("b", "ab" * 60), ("c", "é漢字 " * 20)))
+    texts = [words(rng, rng.randrange(60), "abcé漢") for _ in range(40)] + ["ab" * 100, "", "a", "b" * 500, words(rng, 80)]
+    got = parser.phrases(texts)
+    assert [[plain_phrases(parser, t, k) for k in range(3)] for t in texts] == got.tolist()
+
+
+def test_scripts_of_many_letters_are_told_apart():
+    parser = langid.CrossParser((("ja", "これは日本語の文章です。私は毎日学校へ行きます。"), ("zh", "这是一个中文句子。我每天去学校学习。"), *((f"x{i}", "abcdefghijklmnopqrstuvwxyz") for i in range(3))))
+    assert parser.predict(["私は学校へ行きます", "我去学校学习", "12 ?!"])[0] == ["ja", "zh", "und"]
+
+
+def test_long_rows_are_learned_from_anywhere(spark):
+    rows = [(i, "a" * 1500 + "b" * 1500, "l", "s", 0) for i in range(60)] + [(100, "short whole row", "m", "s", 0), (103, "short whole row", "m", "s", 0)]
+    sample = dict(langid.labelled_sample(spark.createDataFrame(rows, DOCS)))
+    assert "b" in sample["l"] and "a" in sample["l"] and "short whole row" in sample["m"]
+    assert max(map(len, sample["l"].split("\n"))) == langid.SAMPLE_CHARS and sample["l"].count("\n") < langid.SAMPLE_DOCS
+
+
 # 3 pages
 
 PAGE = (
@@ -204,6 +261,28 @@ def test_shared_lines_go_from_articles_short_pages_and_copies(spark):
     assert got[20] == got[21] == "menu\nnotice\nshare this\ntext 20 one\ntext 20 two\ntext 20 three\nall rights"
 
 
+def test_results_come_from_pairing(spark, monkeypatch):
+    """Without article tags, site lines go only because a neighbour has them."""
+    loose = "<body><p>menu</p><p>notice</p><p>{0} one</p><p>{0} two</p><p>{0} three</p><p>all rights</p></body>"
+    df = spark.createDataFrame([(i, f"http://a.example/x/p{i}", loose.format(f"text {i}")) for i in range(4)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert got == {i: f"text {i} one\ntext {i} two\ntext {i} three" for i in range(4)}
+    alone = htmltext.nearest(df).limit(0)
+    monkeypatch.setattr(htmltext, "nearest", lambda pages: alone)
+    assert all(r.text.startswith("menu\nnotice\n") for r in htmltext.extract(df).collect())
+
+
+def test_names_inside_articles():
+    page = "<div class='header'>H</div><p class='social'>S</p><article><p class='social'>kept</p><div class='header'>kept too</div><div class='comments'>me</div><h2 id='notice'>stays</h2></article>"
+    assert [t for t, _ in htmltext.blocks(page)] == ["kept", "kept too", "stays"]
+
+
+def test_pages_of_one_id(spark):
+    rows = [(1, "http://a.example/1", "<p>one</p>"), (1, "http://a.example/1", "<p>two</p>"), (2, "http://a.example/2", "<p>x</p>")]
+    got = sorted(r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == ["one", "two", "x"]
+
+
 # 4 suffixes
 
 
@@ -279,6 +358,8 @@ def test_sharding(spark, docs, texts, none, tmp_path):
     sharding.store_map(first, path), sharding.store_map(second, path)
     assert {r.vslot: r.shard for r in sharding.load_map(spark, path).collect()} == new
     assert {r.vslot: r.shard for r in sharding.load_map(spark, path, 1).collect()} == old
+    grown = by_id(sharding.shard(docs, 4, 64, path))
+    assert all(grown[i].shard in (r.shard, 4) for i, r in got.items()) and any(r.shard == 4 for r in grown.values())
 
 
 # 6 benchmark
@@ -319,7 +400,13 @@ def test_leaks(spark, none):
     assert {r.doc_id: r.item_id for r in got} == edits and len(got) == 12
     assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {d for d, _ in rows} - set(edits)
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(none, bench).count() == 0
-    assert len(decontaminate.item_blocks(bench, 3)) > 1 and sum(map(len, decontaminate.item_blocks(bench, 3))) == 6
+    assert len(decontaminate.item_blocks(bench, 3)) > 1 and sum(map(len, decontaminate.item_blocks(bench, 3))) == 7
+
+
+def test_short_items_match_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "a Tiny thing"), (2, "tinyness"), (3, "so tiny!"), (4, None), (5, "xx")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "tiny"), (8, " "), (9, "xx")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 7), (3, 7), (5, 9)}
 
 
 # 7 fingerprints
@@ -346,6 +433,55 @@ def test_successors_cross_groups(spark):
     assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True))
 
 
+@pytest.mark.parametrize("bits", [20, 43, 63])
+def test_next_rows_of_sparse_ids(spark, bits):
+    rng = random.Random(bits)
+    ids = sorted({rng.randrange(-(1 << bits), 1 << bits) for _ in range(60)})
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    got = syncmers.fingerprints(df).collect()
+    assert sorted(r.doc_id for r in got) == ids and all(r.edited_sha256 for r in got)
+    nexts = {r.doc_id: r.next_text for r in syncmers.with_next(df, ["text"]).collect()}
+    assert nexts == {i: f"text {j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def plain_anchors(text):
+    return [x.split(":")[1] for x in (plain_fingerprint(text) if text.split() else "").split(",") if x]
+
+
+def test_likeness_is_that_of_plain_syncmers(spark):
+    rng = random.Random(16)
+    texts = [words(rng, rng.randint(1, 90)) for _ in range(25)] + ["", None, "word"]
+    texts += [texts[3] + " " + words(rng, 20), texts[4], texts[4]]
+    got = by_id(syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    texts = [t or "" for t in texts]
+
+    def likeness(a, b):
+        x, y = set(plain_anchors(a)), set(plain_anchors(b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i].fingerprint == plain_fingerprint(t) and got[i].edited_fingerprint == plain_fingerprint(edited), i
+        assert got[i].near_edited == pytest.approx(likeness(t, edited)) and got[i].near_next == pytest.approx(likeness(t, after))
+
+
+def test_shared_anchors_give_the_places(spark):
+    rng = random.Random(17)
+    shared = words(rng, 60)
+    df = spark.createDataFrame([(words(rng, 5) + " " + shared, words(rng, 25) + " " + shared)], "x string, y string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "x", "a"), "y", "b")
+    (row,) = df.select(syncmers.shared_anchors("a", "b").alias("m")).collect()
+    assert len(row.m) >= 4 and {m.at_b - m.at_a for m in row.m} == {20}
+
+
+def test_letters_of_scripts_without_spaces_are_words(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(80))
+    (row,) = syncmers.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "a").collect()
+    assert len(row.a) > 3
+
+
 def test_anchors_do_not_depend_on_their_place(spark):
     rng = random.Random(9)
     shared = words(rng, 60)
@@ -365,6 +501,10 @@ def plain_fingerprint(text):
 
     hashes = [chained([w.encode()]) for w in text.split()]
     inner = [chained(hashes[i : i + syncmers.S]) for i in range(len(hashes) - syncmers.S + 1)]
+    if not hashes:
+        return ""
+    if len(hashes) < syncmers.K:
+        return f"0:{chained(hashes) & 0x7FFFFFFF:x}"
     signed = [h - (1 << 64) if h >> 63 else h for h in inner]
     n = syncmers.K - syncmers.S + 1
     kmers = [(chained(inner[i : i + n : syncmers.S]) & 0x7FFFFFFF, i) for i in range(len(inner) - n + 1)]
@@ -402,8 +542,12 @@ def test_near_lines_share_a_key():
         assert linededup.keys_of(a, 2) & linededup.keys_of(b, 2)
 
 
+def blank(line):
+    return not line.strip(" \t\n\x0b\f\r\xa0")
+
+
 def plain_line_dedup(texts):
-    lines = sorted({x for t in texts for x in (t or "").split("\n") if len(x) >= linededup.LEAST})
+    lines = sorted({x for t in texts for x in (t or "").split("\n") if not blank(x)})
     of = {x: x for x in lines}
 
     def root(x):
@@ -413,13 +557,13 @@ def plain_line_dedup(texts):
 
     for i, a in enumerate(lines):
         for b in lines[i + 1 :]:
-            if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            if min(len(a), len(b)) >= linededup.LEAST and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
                 of[root(a)] = root(b)
     seen, out = set(), []
     for t in texts:
         gone = []
         for p, x in enumerate((t or "").split("\n")):
-            if len(x) >= linededup.LEAST:
+            if not blank(x):
                 if root(x) in seen:
                     gone.append(p)
                 seen.add(root(x))
@@ -435,12 +579,59 @@ def test_line_dedup(spark, docs, texts, none):
     for i, t in enumerate(texts):
         parts = [] if t is None else t.split("\n")
         left = [x for p, x in enumerate(parts) if p not in want[i]]
-        assert (i in kept) == (not want[i] or bool(left))
+        assert (i in kept) == (not want[i] or not all(map(blank, left)))
         if i in kept:
             assert kept[i].text == (None if t is None else "\n".join(left))
     assert linededup.digest(none).count() == linededup.dedup(none).count() == 0
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    same, alone = "the same line that both of them hold", "another first line that is unique"
+    rows = [(1, f"{same}\nshort"), (2, f"{same}\nmore of two"), (2, f"{alone}\n{same}"), (3, "short\n \n"), (4, " \n\nxyz"), (None, same)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in linededup.dedup(df).where("doc_id is not null").collect())
+    assert kept == [(1, f"{same}\nshort"), (2, alone), (2, "more of two"), (4, " \n\nxyz")]
+    assert sorted((r.doc_id, r.n_removed) for r in linededup.digest(df).where("doc_id is not null").collect()) == [(1, 0), (2, 1), (2, 1), (3, 1), (4, 0)]
+    texts = [words(random.Random(i), 40) for i in range(3)]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[1]), (7, texts[0]), (8, texts[2]), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.duplicates(df, 2).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True), (9, 9, True), (9, 9, True)]
+    assert sorted((r.doc_id, r.text or "") for r in minhash.one_of_each(df).collect()) == sorted([(5, texts[0]), (5, texts[1]), (8, texts[2]), (9, ""), (9, "")])
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.digest(spark.createDataFrame([(1, "a" * 399), (1, words(random.Random(9), 200)), (1, words(random.Random(8), 200))], "doc_id long, text string")).collect())
+    assert len(got) == 3 and all(r[2] == 0 for r in got)
+
+
+def test_ids_beside_nulls_stay(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(None, "text one", "p", "s", 1), (big, "text two", "p", "s", big), (big + 2, "token=abcdefgh12", None, None, None)], DOCS).coalesce(1)
+    want = {None, big, big + 2}
+    sample = langid.labelled_sample(df)
+    pages_ = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.example/x").alias("url"), F.col("text").alias("html"))
+    bench = spark.createDataFrame([(big, "text two")], "item_id long, text string")
+    for got in (secrets.scan(df), langid.predict(df, sample), langid.accepted(df, sample), decontaminate.clean(df, bench.limit(0)), pieces.encode(df), pieces.decode(pieces.encode(df))):
+        assert {r.doc_id for r in got.collect()} == want
+    assert {r.n_chars for r in langid.accepted(df, sample).collect()} == {1, big, None}
+    assert {r.page_id for r in htmltext.extract(pages_).collect()} == want
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()] == [(big, big)]
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {None, big + 2}
+    assert {r.doc_id for r in sharding.shard(df, 4, 64).collect()} == want
+    for got in (suffixdedup.digest(df), syncmers.fingerprints(df), minhash.duplicates(df, 2)):
+        assert {r.doc_id for r in got.collect()} == {big, big + 2}
+    assert {r.doc_id for r in linededup.digest(df).collect()} == {r.doc_id for r in minhash.one_of_each(df).collect()} == want
+
+
+def test_empty_tables_and_very_long_texts(spark, none):
+    assert secrets.scan(none).count() == langid.predict(none, []).count() == langid.accepted(none, []).count() == 0
+    long = "token=" + "a1" * 20_000 + " " + " ".join(f"word{i}" for i in range(30_000)) + "\n" + "漢" * 30_000
+    df = spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string")
+    assert by_id(secrets.digest(secrets.scan(df)))[1].base_sha256 == hashlib.sha256(plain_base(long).encode()).hexdigest()
+    assert by_id(langid.predict(df, [("l", "word")]))[1].lang_pred == "l"
+    assert by_id(pieces.encode_digest(df))[1].round_trip
+    assert by_id(linededup.digest(df))[1].n_lines == 2 and by_id(minhash.duplicates(df, 2))[1].n_shingles > 30_000
+    assert by_id(suffixdedup.digest(df))[1].n_bytes == len(long.encode()) and by_id(syncmers.fingerprints(df))[1].n_chars == len(long)
+
+
 # 9 pieces
 
 

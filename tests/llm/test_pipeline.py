@@ -3,7 +3,7 @@
 import corpus_pipeline
 from medlake.llm import queries
 
-from .test_operators import DOCS, fixture_texts, plain_components, plain_line_dedup
+from .test_operators import DOCS, blank, fixture_texts, plain_components, plain_line_dedup
 
 
 def test_pipeline(spark, tmp_path):
@@ -15,7 +15,7 @@ def test_pipeline(spark, tmp_path):
 
     rows = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
     ids, gone = list(rows), plain_line_dedup(list(rows.values()))
-    rows = {i: "\n".join(x for p, x in enumerate(rows[i].split("\n")) if p not in g) for i, g in zip(ids, gone, strict=True) if len(g) < len(rows[i].split("\n"))}
+    rows = {i: "\n".join(x for p, x in enumerate(rows[i].split("\n")) if p not in g) for i, g in zip(ids, gone, strict=True) if not g or not all(blank(x) for p, x in enumerate(rows[i].split("\n")) if p not in g)}
     ids, (of, _) = list(rows), plain_components(list(rows.values()), 5)
     rows = {i: rows[i] for k, i in enumerate(ids) if of[k] == k}
     want = {i for i, t in rows.items() if " ".join(item.split()).lower() not in " ".join(t.split()).lower()}
