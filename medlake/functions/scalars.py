@@ -129,3 +129,53 @@ def all_of(conditions: list[Column]) -> Column:
 def reasons(**flags: Column) -> Column:
     """The names of the conditions that hold, in the order given."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items())))
+
+
+#: Address patterns of linked records.
+URLS = {"drive": "https://drive.google.com/file/d/%s/view", "pubmed": "https://pubmed.ncbi.nlm.nih.gov/%s/", "clinicaltrials": "https://clinicaltrials.gov/study/%s"}
+
+
+def record_url(source: Column, record: Column) -> Column:
+    """The address of a record of a known source; null for others, and without an id."""
+    out = F.lit(None).cast("string")
+    for name, form in URLS.items():
+        out = F.when((source == name) & (F.coalesce(record, F.lit("")) != ""), F.format_string(form, record)).otherwise(out)
+    return out
+
+
+def without_closing_tag(c: Column, tag: str) -> Column:
+    """Text in which a closing tag can end nothing."""
+    return F.replace(c, F.lit(f"</{tag}>"), F.lit(f"< /{tag}>"))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp in ISO form, with Z or an offset or none; null for others."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(c), "(?i)z$", "+00:00"))
+
+
+def age_in_years(born: Column, today: Column) -> Column:
+    """Whole years; a birthday on 29 February is that of 1 March where there is none."""
+    before = (F.month(today) < F.month(born)) | ((F.month(today) == F.month(born)) & (F.dayofmonth(today) < F.dayofmonth(born)))
+    return F.year(today) - F.year(born) - before.cast("int")
+
+
+def plausible(c: Column, low: Column, high: Column) -> Column:
+    """The date if it lies within the bounds, else null."""
+    return F.when(c.between(low, high), c)
+
+
+def merged_maps(old: Column, new: Column) -> Column:
+    """Both maps in one, keys of the second first; nulls of the second overwrite too."""
+    keep = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(F.coalesce(new, F.create_map().cast("map<string,string>"))), k))
+    return F.map_concat(keep, F.coalesce(new, F.create_map().cast("map<string,string>")))
+
+
+def prompt_hash(model: Column, system: Column, prompt: Column) -> Column:
+    """SHA-256 of a call, its parts kept apart by marks that no text holds, null parts as empty ones."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.sha2(F.concat(part(model), F.lit("\x00"), part(system), F.lit("\x01"), part(prompt)).cast("binary"), 256)
+
+
+def known_or_unknown(c: Column, known: list[str]) -> Column:
+    """A name of the list in its spelling there, whatever its case; `unknown` for others."""
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, known)), lambda k: F.lower(k) == F.lower(F.trim(c))), F.lit(0)), F.lit("unknown"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from medlake.functions.scalars import contains_ascii, first_match, fold, reasons, shortened, year_month
 
-WORD = "[^\\p{L}\\p{N}]+"
-
 
 def search(df: DataFrame, query: str, weights: dict[str, int], order: list[Column], limit: int) -> DataFrame:
     """Rows in which each term of the query stands in some field, by the weights of the fields that hold any term."""
@@ -35,10 +33,11 @@ def phrase(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
     words = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
     if not words:
         return df.limit(0)
-    some = F.lit(False)
+    some, rare = F.lit(False), max(words, key=len)
     for c in columns:
-        text = F.concat(F.lit(" "), F.array_join(F.split(fold(F.coalesce(F.col(c), F.lit(""))), WORD), " "), F.lit(" "))
-        some = some | text.contains(f" {' '.join(words)} ")
+        folded = fold(F.coalesce(F.col(c), F.lit("")))
+        # a word that is not there needs no further look
+        some = some | (folded.contains(rare) & folded.rlike("(^|[^\\p{L}\\p{N}])" + "[^\\p{L}\\p{N}]+".join(words) + "($|[^\\p{L}\\p{N}])"))
     return df.where(some)
 
 
@@ -170,3 +169,20 @@ def manifest(**tables: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def timeline_page(rows: DataFrame, sources: list[str] | None, query: str | None, limit: int, offset: int = 0, newest: bool = True, most: int = 500) -> DataFrame:
+    """A page of a timeline: some sources, rows whose title or summary holds the query, by day; ties by source, ref and summary."""
+    out = rows if sources is None else rows.where(F.col("source").isin(sources))
+    if query:
+        out = out.where(contains_ascii(F.col("title"), query) | contains_ascii(F.col("summary"), query))
+    day = F.desc("day") if newest else F.asc("day")
+    return out.orderBy(day, "source", "ref", "summary").offset(max(0, offset)).limit(max(1, min(limit, most)))
+
+
+def library(df: DataFrame) -> DataFrame:
+    """A Markdown section a topic of rows (topic, kind, ref), by kind and ref."""
+    line = F.concat(F.lit("- ["), "kind", F.lit("] "), F.col("ref").cast("string"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("kind", "ref", line.alias("line")))), lambda x: x["line"])
+    rows = df.groupBy("topic").agg(lines.alias("lines"))
+    return rows.select("topic", F.concat(F.lit("## "), "topic", F.lit("\n"), F.array_join("lines", "\n")).alias("markdown"))

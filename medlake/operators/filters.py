@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.functions.scalars import all_of, contains_ascii
+from medlake.functions.scalars import all_of, contains_ascii, json_strings
 
 
 def where_given(
@@ -63,3 +63,36 @@ def missing(c: str) -> Column:
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 200) -> DataFrame:
     """A page under a total order; the limit is held between 1 and `most`."""
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
+
+
+def has_all_tags(c: str, tags: list[str]) -> Column:
+    """Whether a JSON array of strings holds every tag."""
+    return F.size(F.array_except(F.array(*map(F.lit, tags)), json_strings(F.col(c)))) == 0
+
+
+def shared_tags(c: str, tags: list[str]) -> Column:
+    """The tags of a JSON array that are asked for, in their order there."""
+    return F.array_intersect(json_strings(F.col(c)), F.array(*map(F.lit, tags)))
+
+
+def notes(df: DataFrame, query: str, column: str = "text") -> DataFrame:
+    """Rows whose text holds the query whatever the case of A-Z; a blank query finds nothing."""
+    return df.where(contains_ascii(F.col(column), query.strip())) if query.strip() else df.limit(0)
+
+
+def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows with one of the values; an empty list keeps none."""
+    return df.where(F.col(column).isin(values)) if values else df.limit(0)
+
+
+def without_prefix(df: DataFrame, column: str, prefix: str = "__") -> DataFrame:
+    """Rows whose id is none of the system's own; a null id stays."""
+    return df.where(F.coalesce(~F.col(column).startswith(prefix), F.lit(True)))
+
+
+def by_rank(column: str, ranks: list[str]) -> Column:
+    """A sort key: the place of a value in the list, unknown ones last."""
+    out = F.lit(len(ranks))
+    for i, v in reversed(list(enumerate(ranks))):
+        out = F.when(F.col(column) == v, i).otherwise(out)
+    return out

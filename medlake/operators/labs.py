@@ -78,9 +78,12 @@ def safety(labs: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     thresholds (parameter, low, high) is a fixed dimension of some dozens of rows.
     """
-    latest = summary(labs).select(*KEY, "latest_date", "latest")
-    every = latest.select("tenant").distinct().join(F.broadcast(thresholds))
-    rows = every.join(latest, KEY, "left")
+    latest = summary(labs).select(*KEY, "latest_date", "latest").join(F.broadcast(thresholds.select("parameter", F.lit(True).alias("asked"))), "parameter", "left")
+    value = F.when(F.col("asked"), F.struct("parameter", F.struct("latest_date", "latest").alias("at")))
+    # one row a tenant, with as many values as there are thresholds
+    every = latest.groupBy("tenant").agg(F.map_from_entries(F.collect_list(value)).alias("values")).join(F.broadcast(thresholds))
+    at = F.try_element_at("values", F.col("parameter"))
+    rows = every.select(*KEY, "low", "high", at["latest_date"].alias("latest_date"), at["latest"].alias("latest"))
     v, low, high = F.col("latest"), F.col("low"), F.col("high")
     out = F.coalesce(v < low, F.lit(False)) | F.coalesce(v > high, F.lit(False))
     near = F.coalesce(v < low * (1 + NEAR_LIMIT), F.lit(False)) | F.coalesce(v > high * (1 - NEAR_LIMIT), F.lit(False))
@@ -93,3 +96,31 @@ def indices(labs: DataFrame, neutrophils: str, platelets: str, lymphocytes: str)
     wide = daily(labs).groupBy("tenant", "lab_date").pivot("parameter", [neutrophils, platelets, lymphocytes]).agg(F.first("value"))
     n, p, y = (F.col(f"`{c}`") for c in (neutrophils, platelets, lymphocytes))
     return wide.where(y > 0).select("tenant", "lab_date", F.round(n * p / y, 4).alias("immune_index"), F.round(n / y, 4).alias("ratio"))
+
+
+def report(labs: DataFrame, ranges: DataFrame, today: Column, neutrophils: str, platelets: str, lymphocytes: str) -> DataFrame:
+    """The whole lab summary: latest and previous value, trend, status within its range, days since, and both indices of each tenant's latest values.
+
+    ranges (parameter, low, high) may lack parameters, which then have `no_range`.
+    """
+    s = summary(labs).join(ranges.select("parameter", "low", "high"), "parameter", "left")
+    status = (
+        F.when(F.col("low").isNull() & F.col("high").isNull(), "no_range").when(F.col("latest") < F.col("low"), "low").when(F.col("latest") > F.col("high"), "high").otherwise("normal")
+    )
+    pick = lambda p: F.max(F.when(F.col("parameter") == p, F.col("latest")))
+    n, p, y = pick(neutrophils), pick(platelets), pick(lymphocytes)
+    derived = s.groupBy("tenant").agg(F.when(y > 0, F.round(n * p / y, 4)).alias("immune_index"), F.when(y > 0, F.round(n / y, 4)).alias("ratio"))
+    return s.select("tenant", "parameter", "latest_date", "latest", "previous_date", "previous", "trend", status.alias("status"), F.datediff(today, "latest_date").alias("days_ago")).join(derived, "tenant")
+
+
+def trends(labs: DataFrame, documents: DataFrame, parameter: str | None = None, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
+    """Lab rows of a parameter and a span of days, both ends included, with the address of their document (id, url) where there is one."""
+    rows = labs if parameter is None else labs.where(F.col("parameter") == parameter)
+    rows = rows if date_from is None else rows.where(F.col("lab_date") >= date_from)
+    rows = rows if date_to is None else rows.where(F.col("lab_date") <= date_to)
+    return rows.join(documents.select("id", "url"), "id", "left")
+
+
+def status_counts(statuses: DataFrame) -> DataFrame:
+    """How many parameters of each tenant are green, yellow, red or missing."""
+    return statuses.groupBy("tenant").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("green", "yellow", "red", "missing")))

@@ -36,8 +36,8 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
 def later_copies(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """Rows that repeat a key under a higher id; a null key repeats nothing."""
     rows = df.where(" and ".join(f"`{k}` is not null" for k in keys))
-    first = F.min(id_column).over(Window.partitionBy(*keys))
-    return rows.withColumn("kept", first).where(F.col(id_column) != F.col("kept"))
+    first = rows.groupBy(*keys).agg(F.min(id_column).alias("kept"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    return rows.join(first, keys).where(F.col(id_column) != F.col("kept")).select(*df.columns, "kept")
 
 
 def large_groups(df: DataFrame, keys: list[str], id_column: str, least: int = 2) -> DataFrame:
@@ -59,12 +59,24 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: str, compared: list[str])
 
 
 def names_of_others(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
-    """Texts that contain a name of another tenant; names (tenant, name) are a small dimension.
+    """Texts that contain a name (tenant, name) of another tenant, whatever the case.
 
-    Names shorter than `least` say too little.  The join is a nested loop over the names, broadcast.
+    Names shorter than `least` say too little.  A text meets a name by the name's first `least` letters, which it holds,
+    so that both sides shuffle by a key and neither is broadcast; what meets is then compared whole.
     """
     n = names.where(F.length("name") >= least).select(F.col("tenant").alias("named"), F.lower("name").alias("name"))
-    return texts.join(F.broadcast(n), F.lower("text").contains(F.col("name")) & (F.col("named") != F.col("tenant")))
+    n = n.where(F.length("name") >= least).withColumn("__head", F.substring("name", 1, least))
+    low = F.lower("text")
+    heads = F.transform(F.sequence(F.lit(1), F.length(low) - (least - 1)), lambda i: F.substring(low, i, F.lit(least)))
+    rows = texts.where(F.length(low) >= least).withColumn("__head", F.explode(F.array_distinct(heads)))
+    return rows.join(n, "__head").where(low.contains(F.col("name")) & (F.col("named") != F.col("tenant"))).drop("__head")
+
+
+def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key is not in the other's, as NOT IN has it: none where the list holds a null, and no null key unless the list is empty."""
+    listed = other.agg(F.count_if(F.col(other_key).isNull()).alias("__nulls"), F.count(F.lit(1)).alias("__n"))  # one row
+    rows = df.join(other.select(F.col(other_key).alias(key)), key, "left_anti").join(F.broadcast(listed), F.lit(True))
+    return rows.where((F.col("__nulls") == 0) & (F.col(key).isNotNull() | (F.col("__n") == 0))).select(df.columns)
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, kept_if_null: list[str]) -> DataFrame:
@@ -135,3 +147,20 @@ def version_chain(rows: DataFrame, start: DataFrame) -> DataFrame:
     up = _reached(start.select(F.col("id").alias("start_id"), "id"), links.select(F.col("previous_id").alias("at"), F.col("id").alias("to")))
     newest = up.groupBy("start_id").agg(F.max_by("id", F.struct("far", "id")).alias("id"))
     return _reached(newest, links.select(F.col("id").alias("at"), F.col("previous_id").alias("to"))).withColumnRenamed("far", "nth")
+
+
+def active_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of both sides that meet by key; each side holds its live rows only."""
+    return left.join(right, F.col(left_key) == F.col(right_key))
+
+
+def resolved_neighbours(links: DataFrame, nodes: DataFrame, columns: list[str], node: str = "id") -> DataFrame:
+    """neighbours() with columns of the other end, as other_<c>; links with an end that is no live node go."""
+    ends = nodes.select(F.col(node).alias("other"), *(F.col(c).alias(f"other_{c}") for c in columns))
+    return neighbours(links, node).join(nodes.select(node), node, "left_semi").join(ends, "other").select(node, "other", *(f"other_{c}" for c in columns), "relationship", "confidence")
+
+
+def group_members(df: DataFrame, keys: list[str], order: list[str], id_column: str, least: int = 2) -> DataFrame:
+    """Groups of at least so many rows with their ids in order; ids alone are listed, not rows."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[id_column])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ids.alias("ids")).where(F.col("n") >= least)

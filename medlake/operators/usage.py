@@ -69,11 +69,7 @@ def top_tools(calls: DataFrame, n: int = 20) -> DataFrame:
 
 def percentiles(calls: DataFrame) -> DataFrame:
     """p50, p95 and p99 of the duration by type, and over all as `_overall`; linear between ranks, rounded half to even."""
-    rows = calls.where(F.col("duration_ms").isNotNull()).rollup("call_type").agg(
-        F.grouping("call_type").alias("g"), F.count(F.lit(1)).alias("calls"),
-        *(F.bround(F.percentile("duration_ms", p), 0).cast("long").alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))),
-    )
-    return rows.select(F.when(F.col("g") == 1, "_overall").otherwise(F.col("call_type")).alias("call_type"), "calls", "p50", "p95", "p99")
+    return exact_percentiles(calls)
 
 
 def budget(calls: DataFrame, tenants: DataFrame, caps: DataFrame) -> DataFrame:
@@ -115,3 +111,36 @@ def cached(calls: DataFrame, key: str, as_of: Column, days: int = 30) -> DataFra
     """The newest successful call of each key within so many days."""
     fresh = calls.where((F.col("status") == "ok") & (F.col("ts") >= as_of - F.make_interval(days=F.lit(days))))
     return fresh.groupBy(key).agg(F.max("id").alias("id"), F.max_by("ts", "id").alias("ts"))
+
+
+def ai_cost(calls: DataFrame, as_of: Column, hours: int = 24, by: list[str] | None = None) -> DataFrame:
+    """The recorded cost of successful calls of the last hours, by tenant or over all."""
+    fresh = calls.where((F.col("status") == "ok") & (F.col("ts") >= as_of - F.make_interval(hours=F.lit(hours))))
+    return fresh.groupBy(*(by or [])).agg(F.round(F.coalesce(money(F.col("cost_usd")), F.lit(0)), 4).cast("double").alias("cost_usd"), F.count(F.lit(1)).alias("calls"))
+
+
+def stats_with_total(calls: DataFrame) -> DataFrame:
+    """stats() of each type and, as `_total`, of all calls, with their billed cost; types are added up, calls read once."""
+    rows = calls.rollup("call_type").agg(
+        F.grouping("call_type").alias("g"), F.count(F.lit(1)).alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"), errors().alias("errors"),
+        F.round(money(billed()), 4).cast("double").alias("cost_usd"),
+    )
+    return rows.select(F.when(F.col("g") == 1, "_total").otherwise(F.col("call_type")).alias("call_type"), "calls", "tokens_in", "tokens_out", "errors", "cost_usd", F.round(F.col("errors") / F.col("calls"), 4).alias("error_rate"))
+
+
+def snapshot(calls: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """One key and JSON value: calls, errors and tokens of each type over the last days, types in order."""
+    fresh = calls.where((F.col("ts") >= as_of - F.make_interval(days=F.lit(days))) & (F.col("ts") < as_of))
+    rows = fresh.groupBy("call_type").agg(F.count(F.lit(1)).alias("calls"), errors().alias("errors"), total("tokens_in").alias("tokens_in"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("call_type", "calls", "errors", "tokens_in"))).alias("types"))
+    return one.select(F.concat(F.lit("weekly_"), F.date_format(as_of, "yyyy-MM-dd")).alias("key"), F.to_json("types").alias("value"))
+
+
+def exact_percentiles(calls: DataFrame) -> DataFrame:
+    """As percentiles(), from a histogram: calls are first counted by type and duration, so that no task holds all durations."""
+    counts = calls.where(F.col("duration_ms").isNotNull()).groupBy("call_type", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.unionByName(counts.groupBy("duration_ms").agg(F.sum("n").alias("n")).withColumn("call_type", F.lit("_overall")))
+    rows = counts.groupBy("call_type").agg(
+        F.sum("n").alias("calls"), *(F.bround(F.percentile("duration_ms", p, F.col("n")), 0).cast("long").alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    )
+    return rows.select("call_type", "calls", "p50", "p95", "p99")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import governance, services
+from medlake.plans import governance, services, upkeep
 from medlake.session import table
 from medlake.streaming import streams
 
@@ -81,9 +81,9 @@ def lab_latest_ties(spark, d):
 
 @query(f"""WITH {DAILY_SQL}, b AS (SELECT *, lag(value) OVER (PARTITION BY tenant, parameter ORDER BY lab_date) AS before FROM daily)
 SELECT tenant, parameter, lab_date, value, round_even(value - before, 4) AS delta,
- CASE WHEN before <> 0 THEN round_even((value - before) / abs(before) * 100, 1) END AS delta_pct FROM b WHERE tenant < 20""")
+ CASE WHEN before <> 0 THEN round_even((value - before) / abs(before) * 100, 1) END AS delta_pct FROM b""")
 def lab_series_delta(spark, d):
-    return labs.deltas(lab_rows(spark, d).where("tenant < 20"))
+    return labs.deltas(lab_rows(spark, d))
 
 
 @query(f"""WITH {DAILY_SQL}, b AS (SELECT *, lag(value) OVER (PARTITION BY tenant, parameter ORDER BY lab_date) AS before FROM daily)
@@ -273,9 +273,9 @@ def tenant_scoped_join(spark, d):
 
 
 @query("""SELECT l_suppkey AS source, l_partkey AS target, l_orderkey, s_name AS source_name, p_name AS target_name FROM lineitem
-JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45""")
+JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""")
 def double_dim_join(spark, d):
-    return _named_ends(spark, d, table(spark, d, "lineitem").where("l_quantity >= 45"))
+    return _named_ends(spark, d, table(spark, d, "lineitem"))
 
 
 @query("""SELECT l_suppkey AS source, l_partkey AS target, l_orderkey, s_name AS source_name, p_name AS target_name FROM lineitem
@@ -285,17 +285,16 @@ def double_dim_join_whole(spark, d):
 
 
 def _named_ends(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
-    rows = lines.select("l_suppkey", "l_partkey", "l_orderkey")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source_name"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("target_name"))
-    out = rows.join(s, "l_suppkey").join(p, "l_partkey")
+    links = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "l_suppkey", "l_partkey", "l_orderkey")
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    p = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    out = relations.both_ends(links, s.unionByName(p), "id", ["name"])
     return out.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), "l_orderkey", "source_name", "target_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def anti_not_in(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
+    return relations.not_in(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", table(spark, d, "orders"), "o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -524,9 +523,9 @@ def _turn_chain(c: DataFrame) -> DataFrame:
 
 
 @query("""SELECT a.conv_id * 1000 + a.turn AS start_id, b.conv_id * 1000 + b.turn AS id, CAST(m.t - b.turn AS INTEGER) AS nth FROM conversations a
-JOIN (SELECT conv_id, max(turn) AS t FROM conversations WHERE conv_id < 20 GROUP BY 1) m USING (conv_id) JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND a.conv_id < 20""")
+JOIN (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY 1) m USING (conv_id) JOIN conversations b USING (conv_id) WHERE a.turn = 0""")
 def version_chain_recursive(spark, d):
-    return _turn_chain(table(spark, d, "conversations").where("conv_id < 20"))
+    return _turn_chain(table(spark, d, "conversations"))
 
 
 @query("""SELECT a.conv_id * 1000 + a.turn AS start_id, b.conv_id * 1000 + b.turn AS id, CAST(m.t - b.turn AS INTEGER) AS nth FROM conversations a
@@ -535,10 +534,10 @@ def version_chain_whole(spark, d):
     return _turn_chain(table(spark, d, "conversations"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, 'supplies' AS relationship, l_quantity AS confidence FROM lineitem WHERE l_quantity > 48)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, 'supplies' AS relationship, l_quantity AS confidence FROM lineitem)
 SELECT source AS id, target AS other, relationship, confidence FROM e WHERE source <> target UNION ALL SELECT target, source, relationship, confidence FROM e WHERE source <> target""")
 def neighbours(spark, d):
-    return _supplies(table(spark, d, "lineitem").where("l_quantity > 48"))
+    return _supplies(table(spark, d, "lineitem"))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, 'supplies' AS relationship, l_quantity AS confidence FROM lineitem)
@@ -603,3 +602,8 @@ def rolling_day_counts(spark, d):
 
 QUERIES.update(services.QUERIES)
 ORACLES.update(services.ORACLES)
+
+# -- naming, hygiene, groups and further reports -------------------------------------------
+
+QUERIES.update(upkeep.QUERIES)
+ORACLES.update(upkeep.ORACLES)

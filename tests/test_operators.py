@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
-from medlake.operators import archive, filters, labs, relations, usage
+from medlake.operators import archive, filters, groups, labs, naming, relations, usage
 from medlake.plans import governance, registry
 from medlake.sources import files
 from medlake.streaming import streams
@@ -209,6 +209,74 @@ def test_refused_sql(spark, sql):
         governance.query(spark, sql, load, ["t"], "a").collect()
 
 
+def test_what_is_outside_the_views_cannot_be_read(spark):
+    rows = spark.createDataFrame([("b", 2)], "tenant string, n int")
+    rows.createOrReplaceGlobalTempView("leak")
+    load = lambda s, n: s.createDataFrame([("a", 1), ("b", 2)], "tenant string, n int")
+    for sql in (
+        "select * from global_temp.leak", "select * from t join global_temp.leak", "select * from t, global_temp.leak", "select * from (select * from `global_temp`.`leak`) x",
+        "select n from t where n in (select n from global_temp.leak)", "select * from default.saved", "select * from parquet.`/root/testdata/sf0.001/region.parquet`", "select * from other",
+        "select try_reflect('java.lang.System', 'getProperty', 'java.version') from t", "select `reflect`('a', 'b') from t", "select java_method('a', 'b') from t", "select system.builtin.reflect('a') from t",
+        "select * from range(5)", "select input_file_name() from t", "select current_catalog() from t", "select * from identifier('global_temp.leak')", "select n from t where (n) in (table global_temp.leak)",
+    ):
+        with pytest.raises(governance.Rejected):
+            governance.query(spark, sql, load, ["t"], "a").collect()
+    spark.catalog.dropGlobalTempView("leak")
+    got = governance.query(spark, "select x.n as `with`, count(*) as c, max(upper(tenant)) as u from t x where n in (1, 2) and x.n = (select max(n) from t) group by x.n", load, ["t"], "a").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "A")]
+
+
+def test_not_in_with_nulls(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    some, null, none = (spark.createDataFrame(x, "j int") for x in ([(1,)], [(1,), (None,)], []))
+    assert [[r.k for r in relations.not_in(left, "k", o, "j").collect()] for o in (some, null)] == [[2], []]
+    assert {r.k for r in relations.not_in(left, "k", none, "j").collect()} == {1, 2, None}
+
+
+def test_names_of_others_in_texts(spark):
+    texts = spark.createDataFrame([(1, "a", "xx AnnaTest yy"), (2, "b", "anna"), (3, "b", "annatest annatest"), (4, "c", None)], "id int, tenant string, text string")
+    names = spark.createDataFrame([("a", "AnnaTest"), ("b", "Bob"), ("c", "yyyy")], "tenant string, name string")
+    assert [(r.id, r.named) for r in relations.names_of_others(texts, names).collect()] == [(3, "a")]
+
+
+def test_parsed_names_and_standard_names(spark):
+    parse = lambda c: naming.parsed_name(c, "AnnaTest", ["Alpha", "NOU"], {"ct": "imaging"}, [("blood", "labs")])
+    got = {x: one(spark, parse, x) for x in ("202401XX_AnnaTest_NOU_CT_a_b.pdf", "20240102_annatest_x.pdf", "20240102 AnnaTest-nou-Blood-Count.pdf", "2024-1-2 alpha ct  knee.jpg", "nothing", ".hidden", "20240102_AnnaTest.pdf", "20240102 AnnaTest-onlyblood.pdf")}
+    r = got["202401XX_AnnaTest_NOU_CT_a_b.pdf"]
+    assert (r.form, r.date, r.institution, r.category, r.description) == ("standard", date(2024, 1, 1), "NOU", "imaging", "a_b")
+    r = got["20240102 AnnaTest-nou-Blood-Count.pdf"]
+    assert (r.form, r.institution, r.category, r.description) == ("bilingual", "NOU", "other", "Count")
+    r = got["2024-1-2 alpha ct  knee.jpg"]
+    assert (r.form, r.date, r.institution, r.category, r.description, r.extension) == ("legacy", date(2024, 1, 2), "Alpha", "imaging", "knee", ".jpg")
+    r = got["nothing"]
+    assert (r.form, r.date, r.institution, r.category, r.description, r.extension) == ("legacy", None, None, "other", "nothing", None)
+    r = got["20240102 AnnaTest-onlyblood.pdf"]
+    assert (r.form, r.institution, r.category, r.description) == ("bilingual", None, "labs", "onlyblood")
+    name = lambda c: naming.standard_name(c, parse(c), "AnnaTest")
+    assert one(spark, name, "2024-1-2 alpha ct knee.jpg") == "20240102_AnnaTest_Alpha_Imaging_knee.jpg"
+    assert one(spark, name, "20240101_AnnaTest_Unknown_Labs_x.pdf") == "20240101_AnnaTest_Unknown_Labs_x.pdf" and one(spark, name, "nothing") == "nothing"
+    assert one(spark, lambda c: naming.with_part(c, F.lit(2), F.lit(3)), "a_Part1of9.pdf") == "a_Part2of3.pdf" and one(spark, lambda c: naming.with_part(c, F.lit(1), F.lit(2)), "a") == "a_Part1of2"
+    assert one(spark, lambda c: naming.institution_code(c, ["NOU"], {"bory": "B"}), " Bory ") == "B" and one(spark, lambda c: naming.institution_code(c, ["NOU"], {"bory": "B"}), "x") is None
+
+
+def test_scalars_of_records(spark):
+    assert one(spark, lambda c: S.iso_time(c).cast("string"), "2024-01-02T03:04:05Z") == "2024-01-02 03:04:05" and one(spark, lambda c: S.iso_time(c), "soon") is None
+    ages = spark.createDataFrame([(date(2000, 2, 29), date(2023, 2, 28)), (date(2000, 2, 29), date(2023, 3, 1)), (date(2000, 2, 29), date(2024, 2, 29))], "b date, t date")
+    assert [r.a for r in ages.select(S.age_in_years(F.col("b"), F.col("t")).alias("a")).collect()] == [22, 23, 24]
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": None, "c": "3"}), (None, {"x": "y"}), ({"q": "r"}, None)], "o map<string,string>, n map<string,string>")
+    assert [r.m for r in maps.select(S.merged_maps(F.col("o"), F.col("n")).alias("m")).collect()] == [{"a": "1", "b": None, "c": "3"}, {"x": "y"}, {"q": "r"}]
+
+
+def test_trash_and_live(spark):
+    rows = spark.createDataFrame([(1, None), (2, date(2024, 1, 1))], "id int, deleted_at date")
+    assert [r.id for r in filters.live(rows).collect()] == [1] and [r.id for r in filters.trash(rows).collect()] == [2]
+
+
+def test_folders_without_a_root_have_no_path(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 5, "x"), (5, 4, "y"), (6, 9, "z")], "id long, parent long, name string")
+    assert {r.id: (r.path, r.depth) for r in groups.folder_paths(rows).collect()} == {1: ("a", 0), 2: ("a/b", 1), 3: ("a/b/c", 2)}
+
+
 def test_governed_sql_sees_one_tenant_however_written(spark):
     load = lambda s, n: s.createDataFrame([("a", 1, b"xy"), ("b", 2, b"z")], "tenant string, n int, raw binary")
     got = governance.query(spark, "SELECT n, raw, 'a union b' AS s FROM t x WHERE tenant = 'b' OR 1 = 1", load, ["t"], "a").collect()
