@@ -132,20 +132,23 @@ def reasons(**flags: Column) -> Column:
 
 
 #: Address patterns of linked records.
-URLS = {"drive": "https://drive.google.com/file/d/%s/view", "pubmed": "https://pubmed.ncbi.nlm.nih.gov/%s/", "clinicaltrials": "https://clinicaltrials.gov/study/%s"}
+DRIVE, PUBMED, TRIALS = "https://drive.google.com/file/d/%s/view", "https://pubmed.ncbi.nlm.nih.gov/%s/", "https://clinicaltrials.gov/study/%s"
 
 
 def record_url(source: Column, record: Column) -> Column:
-    """The address of a record of a known source; null for others, and without an id."""
-    out = F.lit(None).cast("string")
-    for name, form in URLS.items():
-        out = F.when((source == name) & (F.coalesce(record, F.lit("")) != ""), F.format_string(form, record)).otherwise(out)
-    return out
+    """The address of a record of a known source: a drive file, a paper by its number, with PMID ahead or not, or a trial by its NCT id; else null."""
+    name, key = F.lower(source), F.trim(record)
+    number = F.trim(F.regexp_replace(key, "PMID:?", ""))
+    return (
+        F.when((name == "drive") & (key != ""), F.format_string(DRIVE, key))
+        .when((name == "pubmed") & number.rlike("^\\d+$"), F.format_string(PUBMED, number))
+        .when(name.isin("clinicaltrials", "clinicaltrials.gov") & F.upper(key).startswith("NCT"), F.format_string(TRIALS, key))
+    )
 
 
 def without_closing_tag(c: Column, tag: str) -> Column:
-    """Text in which a closing tag can end nothing."""
-    return F.replace(c, F.lit(f"</{tag}>"), F.lit(f"< /{tag}>"))
+    """Text in which its own closing tag can end nothing; null is empty."""
+    return F.replace(F.coalesce(c, F.lit("")), F.lit(f"</{tag}>"), F.lit(f"</{tag}_>"))
 
 
 def iso_time(c: Column) -> Column:
@@ -170,10 +173,10 @@ def merged_maps(old: Column, new: Column) -> Column:
     return F.map_concat(keep, F.coalesce(new, F.create_map().cast("map<string,string>")))
 
 
-def prompt_hash(model: Column, system: Column, prompt: Column) -> Column:
-    """SHA-256 of a call, its parts kept apart by marks that no text holds, null parts as empty ones."""
+def prompt_hash(system: Column, user: Column, model: Column) -> Column:
+    """SHA-256 of what decides an answer, each part behind its name and marks that no text holds; null parts are empty."""
     part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return F.sha2(F.concat(part(model), F.lit("\x00"), part(system), F.lit("\x01"), part(prompt)).cast("binary"), 256)
+    return F.sha2(F.concat(F.lit("system\x00"), part(system), F.lit("\x01user\x00"), part(user), F.lit("\x01model\x00"), part(model)).cast("binary"), 256)
 
 
 def known_or_unknown(c: Column, known: list[str]) -> Column:

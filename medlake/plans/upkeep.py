@@ -499,14 +499,14 @@ def tenant_context(spark, d):
 # -- scalars -----------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://drive.google.com/file/d/' || doc_id || '/view' WHEN 1 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' WHEN 2 THEN 'https://clinicaltrials.gov/study/' || doc_id END AS url,
- replace('<x>' || coalesce(source, '') || '</x>', '</x>', '< /x>') AS safe, sha256(coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(1) || coalesce(text, '')) AS hash,
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://drive.google.com/file/d/' || doc_id || '/view' WHEN 1 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' WHEN 2 THEN 'https://clinicaltrials.gov/study/NCT' || doc_id END AS url,
+ replace('<x>' || coalesce(source, '') || '</x>', '</x>', '</x_>') AS safe, sha256('system' || chr(0) || coalesce(lang, '') || chr(1) || 'user' || chr(0) || coalesce(source, '') || chr(1) || 'model' || chr(0) || coalesce(text, '')) AS hash,
  CASE WHEN doc_id % 3 = 0 THEN 'BRCA1' WHEN doc_id % 3 = 1 THEN 'TP53' ELSE 'unknown' END AS gene FROM documents""")
 def record_scalars(spark, d):
-    source = F.element_at(F.array(*map(F.lit, ("drive", "pubmed", "clinicaltrials", "else"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    source = F.element_at(F.array(*map(F.lit, ("drive", "PubMed", "ClinicalTrials.gov", "else"))), (F.col("doc_id") % 4 + 1).cast("int"))
     gene = F.element_at(F.array(F.lit(" brca1 "), F.lit("Tp53"), F.lit("odd")), (F.col("doc_id") % 3 + 1).cast("int"))
     return table(spark, d, "documents").select(
-        "doc_id", S.record_url(source, F.col("doc_id").cast("string")).alias("url"), S.without_closing_tag(F.concat(F.lit("<x>"), F.coalesce("source", F.lit("")), F.lit("</x>")), "x").alias("safe"),
+        "doc_id", S.record_url(source, F.concat(F.when(F.expr("doc_id % 4 = 2"), "NCT").when(F.expr("doc_id % 8 = 1"), "PMID:").otherwise(""), F.col("doc_id").cast("string"))).alias("url"), S.without_closing_tag(F.concat(F.lit("<x>"), F.coalesce("source", F.lit("")), F.lit("</x>")), "x").alias("safe"),
         S.prompt_hash(F.col("lang"), F.col("source"), F.col("text")).alias("hash"), S.known_or_unknown(gene, ["BRCA1", "TP53"]).alias("gene"),
     )
 
