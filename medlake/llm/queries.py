@@ -63,6 +63,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents"), 2)
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_secrets that the fixed patterns decide."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_fingerprints that no hash of anchors decides."""
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document as op5_sharding counts it, and how many have its checksum and size: equal texts."""
+    rows = op5_sharding(spark, sf_dir)
+    same = rows.groupBy("size", "text_crc32").agg(F.count(F.lit(1)).alias("equal_texts"))
+    return rows.join(same, ["size", "text_crc32"]).select("doc_id", "size", "equal_texts")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_language": op2_language,
@@ -74,5 +91,35 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
+    "secrets_base": secrets_base,
+    "edited_texts": edited_texts,
+    "shard_sizes": shard_sizes,
+}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: SQL for what SQL can express: near duplicates as a whole, the fixed patterns of the secret scan, the edited texts of
+#: the fingerprints, and sizes and text equality of the shards.  The rest is held against plain versions in the tests.
+ORACLES: dict[str, str] = {
+    "op10_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM t),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.id, x.b FROM r JOIN both_ways x ON x.a = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM t JOIN c ON c.id = t.doc_id""",
+    "secrets_base": """WITH k(nth, kind, re) AS (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', '(AKIA[A-Z0-9]+)'), (2, 'hex', '([0-9a-f]{32,})')),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, 0 AS nth, 'assign' AS kind, string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS gaps, regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS hits,
+  regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS vals, 8 AS least FROM d
+ UNION ALL SELECT doc_id, 1, 'access', string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 16 FROM d
+ UNION ALL SELECT doc_id, 2, 'hex', string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), 32 FROM d),
+u AS (SELECT doc_id, nth, kind, gaps, hits, vals, least, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(list_filter(vals, lambda v: length(v) >= least)) > 0),
+s AS (SELECT doc_id, nth, kind, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS start, length(hits[i]) AS n FROM u WHERE length(vals[i]) >= least),
+j AS (SELECT doc_id, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, nth) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN j ON j.doc_id = d.doc_id""",
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM d)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2)) AS edited_sha256 FROM n""",
+    "shard_sizes": """SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, CAST(count(*) OVER (PARTITION BY coalesce(text, '')) AS BIGINT) AS equal_texts FROM documents""",
 }
-ORACLES: dict[str, str] = {}
