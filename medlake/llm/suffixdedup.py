@@ -21,8 +21,9 @@ bytes at the sample name the bucket, and buckets are sorted one at a time:
 Memory is that of one bucket's contexts, BUCKET at most; the strings of larger buckets are
 hashed whole, for each k, and counted by Spark.
 
-Equality of a whole context or string is that of its 128-bit hash: among 1e12 samples two
-different ones agree with a chance of some 1e-15.  A row is told by doc_id and a hash of
+Equality of a whole context is that of its 128-bit hash, and of a string of a large bucket
+that of 96 bits: among 1e12 samples two different ones agree with a chance of some 1e-15,
+among as many strings with one of 1e-5.  A row is told by doc_id and a hash of
 its text.  A difference cover on fixed offsets would need positions that agree between
 documents; the least hash of each string's bytes is the same wherever the string stands.
 
@@ -126,7 +127,7 @@ def samples(docs: DataFrame) -> DataFrame:
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("place", "bucket", "single")).alias("want"))
+    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("place", "bucket", "single", "sample")).alias("want"))
     texts = _texts(docs).withColumn("row", _row_key()).select(*ROW, "text")
     return texts.join(broadcast_if_small(lists, n_wanted, BROADCAST_ENTRIES), ROW)
 
@@ -148,31 +149,42 @@ def contexts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
 
 
 def hashed_strings(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """hash (two halves), row, start and single of each string through each wanted sample."""
+    """hash (96 bits, in two parts), sample and k of each string that starts k bytes before a wanted sample; ~k where the sample is not single."""
 
     def run(batches):
         rows: list[tuple] = []
         for batch in batches:
-            for d, key, text, want in zip(batch["doc_id"], batch["row"], batch["text"], batch["want"], strict=True):
+            for text, want in zip(batch["text"], batch["want"], strict=True):
                 t = text.encode("utf-8", "surrogatepass")
                 for w in want:
-                    p = w["place"]
+                    p, sample, single = w["place"], w["sample"], w["single"]
                     for at in range(max(0, p - SPAN + 1), min(p, len(t) - LENGTH) + 1):
-                        rows.append((*_halves(t[at : at + LENGTH], p - at), d, key, at, w["single"]))
+                        k = p - at
+                        h = xxhash.xxh3_128_intdigest(t[at : at + LENGTH], seed=k)
+                        rows.append((_signed(h >> 64), (h & 0xFFFFFFFF) - (1 << 31), sample, k if single else ~k))
                     if len(rows) >= HASHED:
-                        yield pd.DataFrame(rows, columns=["hash", "hash_2", *ROW, "start", "single"])
+                        yield pd.DataFrame(rows, columns=["hash", "check", "sample", "k"])
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["hash", "hash_2", *ROW, "start", "single"])
+            yield pd.DataFrame(rows, columns=["hash", "check", "sample", "k"])
+
+    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "hash long, check int, sample long, k short")
 
-    return _wanted_texts(docs, wanted, n_wanted).mapInPandas(run, "hash long, hash_2 long, doc_id long, row long, start int, single boolean")
 
+def count_strings(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """row, low and high as of sort_buckets, from the strings' hashes; no task holds the strings of a bucket.
 
-def count_strings(strings: DataFrame) -> DataFrame:
-    """row, low and high as of sort_buckets, from the strings' hashes; no task holds the strings of a bucket."""
-    strings = written(strings, "strings")
-    twice = strings.groupBy("hash", "hash_2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "hash_2")
-    return strings.where("single").join(twice, ["hash", "hash_2"], "left_semi").select(*ROW, F.col("start").alias("low"), F.col("start").alias("high"))
+    The strings are hashed twice, once to be counted, which shrinks them before they shuffle, and once to be looked up:
+    a table of them would be many times the text.
+    """
+    strings = hashed_strings(docs, wanted, n_wanted)
+    twice = strings.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "check")
+    found = strings.where("k >= 0").join(twice, ["hash", "check"], "left_semi").groupBy("sample").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    first = F.filter("ks", lambda k, i: F.coalesce(F.get("ks", i - 1) != k - 1, F.lit(True)))
+    last = F.filter("ks", lambda k, i: F.coalesce(F.get("ks", i + 1) != k + 1, F.lit(True)))
+    runs = found.select("sample", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("run"))
+    places = wanted.select("sample", *ROW, "place")
+    return runs.join(places, "sample").select(*ROW, (F.col("place") - F.col("run.last")).cast("int").alias("low"), (F.col("place") - F.col("run.first")).cast("int").alias("high"))
 
 
 def _ranked(group: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,12 +270,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = found.join(by_context.where("not single").select(*CONTEXT), CONTEXT, "left_semi").select(*ROW, first, "high")
     several = by_context.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("any")).where("n > 1 and any")
     several = several.select("bucket", (F.col("n") > BUCKET).alias("hot"))
-    wanted = written(by_context.join(several, "bucket").select(*ROW, "place", "bucket", "single", "hot"), "wanted")
+    wanted = written(by_context.join(several, "bucket").select(*ROW, "place", "bucket", "single", "hot", F.monotonically_increasing_id().alias("sample")), "wanted")
     counts = dict(wanted.groupBy("hot").count().collect())
     rest = whole.unionByName(sort_buckets(contexts(docs, wanted.where("not hot"), counts.get(False, 0))))
     if True not in counts:
         return rest
-    return rest.unionByName(count_strings(hashed_strings(docs, wanted.where("hot"), counts[True])))
+    return rest.unionByName(count_strings(docs, wanted.where("hot"), counts[True]))
 
 
 def laid_over(n: int, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
