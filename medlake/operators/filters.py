@@ -60,6 +60,12 @@ def missing(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c) == "")
 
 
+def readable(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """df with columns read as other types, without the rows that have a value which is none of its type; null stays null."""
+    ok = all_of([F.col(c).isNull() | F.col(c).try_cast(t).isNotNull() for c, t in types.items()])
+    return df.where(ok).withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 200) -> DataFrame:
     """A page under a total order; the limit is held between 1 and `most`."""
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))

@@ -94,6 +94,12 @@ def pipeline_totals(runs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def pipeline_report(runs: DataFrame, docs: DataFrame, is_done: Column) -> DataFrame:
+    """pipeline_totals() over all runs given, and how many documents are done and pending; one row."""
+    state = docs.agg(F.count_if(is_done).alias("done"), F.count_if(~F.coalesce(is_done, F.lit(False))).alias("pending"))
+    return pipeline_totals(runs, []).join(F.broadcast(state), F.lit(True))  # one row each
+
+
 def error_histogram(rows: DataFrame, by: str, error: str) -> DataFrame:
     """A map from error class to count for each group, by class name."""
     n = rows.where(F.col(error).isNotNull()).groupBy(by, error).agg(F.count(F.lit(1)).alias("n"))

@@ -53,7 +53,8 @@ def billed(c: str = "cost_usd") -> Column:
 def leaderboard(calls: DataFrame, tenants: DataFrame, n: int) -> DataFrame:
     """The tenants with the largest billed cost, then the most calls; unknown tenants keep an empty name."""
     rows = calls.groupBy("tenant").agg(
-        F.count(F.lit(1)).alias("calls"), F.round(money(billed()), 4).cast("double").alias("billed_usd"), errors().alias("errors"), F.max("ts").alias("last_call")
+        F.count(F.lit(1)).alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"),
+        F.round(money(billed()), 4).cast("double").alias("billed_usd"), errors().alias("errors"), F.max("ts").alias("last_call")
     )
     top = rows.orderBy(F.desc("billed_usd"), F.desc("calls"), "tenant").limit(n)
     named = top.join(tenants.select("tenant", "name"), "tenant", "left").withColumn("name", F.coalesce("name", F.lit("")))
@@ -113,6 +114,28 @@ def cached(calls: DataFrame, key: str, as_of: Column, days: int = 30) -> DataFra
     return fresh.groupBy(key).agg(F.max("id").alias("id"), F.max_by("ts", "id").alias("ts"))
 
 
+def recent(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Rows of the last so many days; rows after as_of count, as they do against a clock."""
+    return rows.where(F.col("ts") >= as_of - F.make_interval(days=F.lit(days)))
+
+
+def tool_usage(calls: DataFrame, as_of: Column, days: int = 30, n: int = 20) -> DataFrame:
+    """top_tools() of the last days, with total_calls, the calls of the tools listed."""
+    top = top_tools(recent(calls, as_of, days), n)
+    return top.withColumn("total_calls", F.sum("calls").over(Window.partitionBy(F.lit(0))))  # n rows
+
+
+def qa_report(calls: DataFrame, slow_ms: float = 5000, least: int = 3, often: int = 2, high: int = 5) -> DataFrame:
+    """findings(), the types that ran into timeouts, and one row with the share of errors in percent, to one place."""
+    rate = F.round(F.try_divide(errors() * 100.0, F.count(F.lit(1))), 1)
+    timeouts = calls.where("status = 'timeout'").groupBy("call_type").agg(F.count(F.lit(1)).alias("count"))
+    none, unknown = F.lit(None).cast("double").alias("error_rate"), F.lit(None).cast("string")
+    late = timeouts.select(F.lit("timeout").alias("finding"), "call_type", "count", F.lit("high").alias("severity"), none)
+    overall = calls.agg(F.count(F.lit(1)).alias("count"), rate.alias("error_rate"))
+    overall = overall.select(F.lit("error_rate").alias("finding"), unknown.alias("call_type"), "count", unknown.alias("severity"), "error_rate")
+    return findings(calls, slow_ms, least, often, high).select("*", none).unionByName(late).unionByName(overall)
+
+
 def ai_cost(calls: DataFrame, as_of: Column, hours: int = 24, by: list[str] | None = None) -> DataFrame:
     """The recorded cost of successful calls of the last hours, by tenant or over all."""
     fresh = calls.where((F.col("status") == "ok") & (F.col("ts") >= as_of - F.make_interval(hours=F.lit(hours))))

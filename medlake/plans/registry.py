@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import governance, services, upkeep
-from medlake.session import table
+from medlake.plans import exports, governance, services, upkeep
+from medlake.session import shared_dir, table
 from medlake.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,7 +145,7 @@ def mode_per_group(spark, d):
     return usage.mode(call_rows(spark, d), "tenant", "call_type")
 
 
-@query(f"""WITH c AS ({CALLS_SQL}), s AS (SELECT tenant, count(*) AS calls,
+@query(f"""WITH c AS ({CALLS_SQL}), s AS (SELECT tenant, count(*) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
  CAST(round(sum(CAST(CASE WHEN cost_usd > 0 THEN cost_usd ELSE tokens_in * (0.8::DOUBLE / 1e6) + tokens_out * (4.0::DOUBLE / 1e6) END AS DECIMAL(18,8))), 4) AS DOUBLE) AS billed_usd,
  count(*) FILTER (status = 'error') AS errors, max(ts) AS last_call FROM c GROUP BY 1),
 n AS (SELECT tenant, call_type, count(*) AS k FROM c GROUP BY ALL), m AS (SELECT tenant, call_type AS top_type FROM n QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY k DESC, call_type) = 1)
@@ -566,12 +566,16 @@ def governed_sql(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
-    """What a stream over the events table holds once all has arrived."""
+    """What a stream over the events table holds once all has arrived, as a table in the shared folder; no row passes through the driver."""
     schema = table(spark, d, "events").schema
     events = streams.arrivals(spark, f"{d}/events.parquet*", schema)
-    view = f"{name}_{uuid.uuid4().hex}"
-    make(events.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(view)
+    out = make(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if mode == "append":
+        streams.drain(out, f"{path}/rows", f"{path}/log").awaitTermination()
+    else:  # every batch holds the whole result
+        streams.each_batch(out, lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"), f"{path}/log", mode).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS calls FROM events GROUP BY 1")
@@ -584,6 +588,18 @@ def stream_dedup(spark, d):
     return _streamed(spark, d, lambda e: streams.once(e.select("user_id", "ts"), "user_id", "60 days").select("user_id"), "dedup", "append")
 
 
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('purchase', 'error')")
+def stream_funnel_once(spark, d):
+    return _streamed(spark, d, lambda e: streams.once_for_ever(e, ["user_id"], "event_type", ["purchase", "error"]).select("user_id", "event_type"), "funnel", "append")
+
+
+@query("SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS prompt FROM events WHERE event_type <> 'error'")
+def stream_cache_misses(spark, d):
+    """The prompts that had to be answered, all events being within the time to live."""
+    prompt, status = F.get_json_object("props", "$.k").cast("long"), F.when(F.col("event_type") == "error", "error").otherwise("ok")
+    return _streamed(spark, d, lambda e: streams.cache_misses(e.select("ts", prompt.alias("prompt"), status.alias("status")), "prompt", "60 days").select("prompt"), "misses", "append")
+
+
 # -- beyond the archive's own: plain generalisations ---------------------------------------
 
 
@@ -607,3 +623,8 @@ ORACLES.update(services.ORACLES)
 
 QUERIES.update(upkeep.QUERIES)
 ORACLES.update(upkeep.ORACLES)
+
+# -- exports, usage over a span of days, readable rows ---------------------------------------
+
+QUERIES.update(exports.QUERIES)
+ORACLES.update(exports.ORACLES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from medlake.functions.scalars import extension, json_strings
+from medlake.operators.hygiene import page_texts
 
 DOCUMENTS = (".pdf", ".png", ".jpg", ".jpeg", ".txt", ".md", ".docx")
 HIDDEN = "(^|/)[._][^/]*"
@@ -70,6 +71,38 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def manifest_records(tables: dict[str, tuple[DataFrame, list[str]]], most: int = 200) -> DataFrame:
+    """name and record (JSON) of the first rows of each table, by the order given with it; a manifest lists `most` rows a table."""
+    out = None
+    for name, (df, order) in tables.items():
+        part = df.orderBy(*order).limit(most).select(F.lit(name).alias("name"), F.to_json(F.struct(*df.columns)).alias("record"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def manifest_table(spark: SparkSession, path: str, name: str, schema: StructType) -> DataFrame:
+    """One table of a manifest that write_manifest wrote."""
+    rows = spark.read.schema("name string, record string").json(path).where(F.col("name") == name)
+    return rows.select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
+def folders(rows: DataFrame) -> DataFrame:
+    """path and name of each folder that holds a file of a listing (relative), the folders above it included; the top one is ''."""
+    parts = F.split("relative", "/")
+    each = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return rows.select(F.explode(each).alias("path")).distinct().withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+def export_rows(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Documents without a remote id and the folder, category/YYYY-MM, that they go to; with pages, also their text, joined by page number.
+
+    A document without a date goes to `undated`; one without pages has no text.  The text is the heavy part and is made on a full run only.
+    """
+    month = F.coalesce(F.date_format("document_date", "yyyy-MM"), F.lit("undated"))
+    rows = docs.where("remote_id is null").select("id", F.concat_ws("/", "category", month).alias("folder"))
+    return rows if pages is None else rows.join(page_texts(pages), "id", "left")
+
+
 def write_by_month(df: DataFrame, path: str, category: str, day: str) -> None:
     """One folder a category and month."""
     df.withColumn("year_month", F.date_format(day, "yyyy-MM")).write.mode("overwrite").partitionBy(category, "year_month").parquet(path)

@@ -55,5 +55,18 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def once_for_ever(events: DataFrame, keys: list[str], kind: str, once: list[str]) -> DataFrame:
+    """The first arrival of each key and kind, of the kinds that count a single time; the state keeps every key, as the funnel has few kinds."""
+    return events.where(F.col(kind).isin(once)).dropDuplicates([*keys, kind])
+
+
+def cache_misses(calls: DataFrame, key: str, ttl: str = "30 days") -> DataFrame:
+    """Successful calls that no response of the same key from within the time to live could have answered; later ones are hits and go.
+
+    The state holds one time a live key and drops it when the watermark has passed its end.
+    """
+    return once(calls.where("status = 'ok'"), key, ttl)

@@ -309,3 +309,33 @@ def test_stream_sync_and_dedup(spark, tmp_path):
     streams.drain(streams.once(source, "k", "30 days"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert {r.n for r in streams.sessions(rows, "k").collect()} == {1}
+
+
+def test_rows_that_cannot_be_read_go(spark):
+    rows = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", None), ("d", "")], "id string, n string")
+    assert {(r.id, r.n) for r in filters.readable(rows, {"n": "bigint"}).collect()} == {("a", 1), ("c", None)}
+
+
+def test_manifest_comes_back(spark, tmp_path):
+    people = spark.createDataFrame([(2, None), (1, "Ann")], "id long, name string")
+    empty = spark.createDataFrame([], "id long, name string")
+    files.write_manifest(files.manifest_records({"people": (people, ["id"]), "none": (empty, ["id"])}, 1), str(tmp_path / "m"))
+    assert [tuple(r) for r in files.manifest_table(spark, str(tmp_path / "m"), "people", people.schema).collect()] == [(1, "Ann")]
+    assert files.manifest_table(spark, str(tmp_path / "m"), "none", people.schema).isEmpty()
+
+
+def test_folders_of_a_listing(spark):
+    rows = spark.createDataFrame([("a/b/x.pdf",), ("a/y.pdf",), ("z.pdf",)], "relative string")
+    assert {(r.path, r.name) for r in files.folders(rows).collect()} == {("", ""), ("a", "a"), ("a/b", "b")}
+
+
+def test_export_without_pages_has_folders_only(spark):
+    docs = spark.createDataFrame([(1, None, "labs", date(2024, 2, 3)), (2, "r", "labs", None), (3, None, "labs", None)], "id long, remote_id string, category string, document_date date")
+    assert {tuple(r) for r in files.export_rows(docs).collect()} == {(1, "labs/2024-02"), (3, "labs/undated")}
+
+
+def test_qa_report_counts_timeouts_and_errors(spark):
+    rows = [(i, "t", "a", datetime(2024, 1, 1), s, 1, 1, 1, None) for i, s in enumerate(["ok", "error", "timeout"])]
+    got = {(r.finding, r.call_type, r["count"], r.error_rate) for r in usage.qa_report(spark.createDataFrame(rows, CALLS)).collect()}
+    assert got == {("timeout", "a", 1, None), ("error_rate", None, 3, 33.3)}
+    assert [tuple(r)[2:] for r in usage.qa_report(spark.createDataFrame([], CALLS)).collect()] == [(0, None, None)]
