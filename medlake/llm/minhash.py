@@ -15,6 +15,7 @@ result.  Further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 import numpy as np
@@ -105,7 +106,7 @@ def verified(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list, sets_b: list, p
     return out
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
     """Tells rows of one doc_id apart."""
     return F.xxhash64(whole_text()).alias("text_key")
 
@@ -126,7 +127,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 }
             )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _text_key(), whole_text().alias("text"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(), whole_text().alias("text"))
     return rows.mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
 
 
@@ -138,13 +139,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "sig": [signature(s).tobytes() for s in sets], "found": [s.tobytes() for s in sets]})
 
-    rows = docs.select("doc_id", _text_key(), whole_text().alias("text")).join(ids, ["doc_id", "text_key"]).select("id", "text")
+    rows = docs.select("doc_id", text_key(), whole_text().alias("text")).join(ids, ["doc_id", "text_key"]).select("id", "text")
     return rows.mapInPandas(run, "id long, sig binary, found binary").dropDuplicates(["id"])
 
 
 def links(pairs: DataFrame, docs: DataFrame, at: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that reach the threshold; `at` says where each id stands."""
-    ids = _placed(at, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = placed_ids(at, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = full_sets(docs, ids, words)
     left, right = (sets.select(*(F.col(c).alias(c + s) for c in sets.columns)) for s in "ab")
 
@@ -189,16 +190,21 @@ def among(rows: list[bytes], percent: int = PERCENT):
 LARGE = 1 / 1000
 
 
-def _placed(at: DataFrame, ids: DataFrame) -> DataFrame:
+def placed_ids(at: DataFrame, ids: DataFrame) -> DataFrame:
     """Where the given ids stand, as (id, doc_id, text_key), to be joined with the documents."""
     ids = checkpoint(at.join(ids, "id", "left_semi"))
     return broadcast_if_small(ids, ids.count())
 
 
-def _grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id of every row."""
-    arrow_batches(docs.sparkSession)
-    rows = written(sketches(docs, words), "sketches")
+#: Gives id and component of sets: takes the representatives (id and the further columns of the rows), where each id stands, and whether rows of an id repeat.
+Find = Callable[[DataFrame, DataFrame, bool], DataFrame]
+
+
+def component_rows(rows: DataFrame, find: Find) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id of every row, rows of equal sets counting as one.
+
+    rows: a written table of doc_id, text_key, n_shingles, set_key and what find needs.
+    """
     first = F.min(F.struct("doc_id", "text_key")).alias("at")
     sets = rows.where("n_shingles > 0").groupBy("set_key").agg(first, F.count(F.lit(1)).alias("n")).select("set_key", "at.*", "n")
     # a set's id is the doc_id of its first row; where one doc_id has several texts, a hash of the set
@@ -207,21 +213,15 @@ def _grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = sets.join(broadcast_if_small(many, n_many), "doc_id", "left") if n_many else sets.withColumn("many", F.lit(None).cast("boolean"))
     sets = checkpoint(sets.select("set_key", F.when(F.col("many"), F.xxhash64("set_key")).otherwise(F.col("doc_id")).alias("id"), "doc_id", "text_key", "n"))
     at = sets.select("id", "doc_id", "text_key")
-    reps = rows.select("doc_id", "text_key", "set_key", "bands").join(sets.select("id", "set_key", "doc_id", "text_key"), ["set_key", "doc_id", "text_key"])
-    keys = reps.select(F.explode("bands").alias("key"), "id").distinct() if n_many else reps.select(F.explode("bands").alias("key"), "id")
-    labels = grouped(
-        keys,
-        lambda pairs: links(pairs, docs, at, words, percent),
-        lambda ids: full_sets(docs, _placed(at, ids), words).select("id", F.concat("sig", "found").alias("data")),
-        lambda sets: among(sets, percent),
-    )
+    reps = rows.join(sets.select("id", "set_key", "doc_id", "text_key"), ["set_key", "doc_id", "text_key"])
+    labels = find(reps, at, n_many > 0)
     if n_many:
         named = labels.join(at, "id")
         labels = checkpoint(named.join(named.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", F.col("least").alias("component")))
     doubles = sets.where("n > 1 or id <> doc_id").select("set_key", "id", "n")
     total = rows.count()
     large = doubles.where(F.col("n") >= F.lit(total * LARGE)).select("set_key", F.col("id").alias("large_id"))
-    rows = rows.drop("bands").join(F.broadcast(large), "set_key", "left")
+    rows = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(F.broadcast(large), "set_key", "left")
     # rows of large groups have their id; the others meet it by set, and large groups and empty sets are dealt over all tasks
     dealt = F.when(F.col("large_id").isNull() & (F.col("n_shingles") > 0), F.col("set_key")).otherwise(F.unhex(F.hex("doc_id")))
     small = doubles.where(F.col("n") < F.lit(total * LARGE)).select(F.col("set_key").alias("dealt"), F.col("id").alias("small_id"))
@@ -233,6 +233,22 @@ def _grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return placed.join(hashed, "id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "first_id", "id").alias("component_id"))
 
 
+def _grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id of every row."""
+    arrow_batches(docs.sparkSession)
+
+    def find(reps: DataFrame, at: DataFrame, repeated: bool) -> DataFrame:
+        keys = reps.select(F.explode("bands").alias("key"), "id")
+        return grouped(
+            keys.distinct() if repeated else keys,
+            lambda pairs: links(pairs, docs, at, words, percent),
+            lambda ids: full_sets(docs, placed_ids(at, ids), words).select("id", F.concat("sig", "found").alias("data")),
+            lambda sets: among(sets, percent),
+        )
+
+    return component_rows(written(sketches(docs, words), "sketches"), find)
+
+
 def duplicates(docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     return _grouped_rows(docs, words, percent).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import decontaminate, htmltext, langid, linededup, minhash, pieces, secrets, sharding, suffixdedup, syncmers
+from medlake.llm import decontaminate, htmltext, langid, linededup, minhash, ngramjoin, pieces, secrets, sharding, suffixdedup, syncmers
 from medlake.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents"), 2)
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the Jaccard join of all documents at 0.9, on shingles of three words."""
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1_secrets that the fixed patterns decide."""
     return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_ngram_join": op13_ngram_join,
     "secrets_base": secrets_base,
     "edited_texts": edited_texts,
     "shard_sizes": shard_sizes,
@@ -108,6 +114,14 @@ both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, reach) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.id, x.b FROM r JOIN both_ways x ON x.a = r.reach),
 c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM t JOIN c ON c.id = t.doc_id""",
+    "op13_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM t),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.id, x.b FROM r JOIN both_ways x ON x.a = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM t JOIN c ON c.id = t.doc_id""",
     "secrets_base": """WITH k(nth, kind, re) AS (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', '(AKIA[A-Z0-9]+)'), (2, 'hex', '([0-9a-f]{32,})')),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT doc_id, 0 AS nth, 'assign' AS kind, string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS gaps, regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS hits,
