@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import decontaminate, htmltext, langid, linededup, minhash, ngramjoin, pieces, secrets, sharding, suffixdedup, syncmers
+from medlake.llm import collocations, decontaminate, htmltext, langid, linededup, minhash, ngramjoin, pieces, secrets, sharding, suffixdedup, syncmers
 from medlake.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents"), 2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the Jaccard join of all documents at 0.9, on shingles of three words."""
     return ngramjoin.joined(table(spark, sf_dir, "documents"))
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_collocations": op11_collocations,
     "op13_ngram_join": op13_ngram_join,
     "secrets_base": secrets_base,
     "edited_texts": edited_texts,
@@ -114,6 +120,20 @@ both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, reach) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.id, x.b FROM r JOIN both_ways x ON x.a = r.reach),
 c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM t JOIN c ON c.id = t.doc_id""",
+    "op11_collocations": f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM d),
+g AS (SELECT lang, len(ws) AS m, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+p AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM g, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= m),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM p GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+u AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT u.lang, u.m, u.phrase, u.a, u.k, x.f AS l, y.f AS r, n.n, (1000 * u.a::HUGEINT * n.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score FROM u
+  JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(ws[1:u.k], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(ws[u.k + 1:], ' ') JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM h)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000""",
     "op13_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM t),
