@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlake.llm import collocations, decontaminate, htmltext, langid, linededup, minhash, ngramjoin, pieces, secrets, sharding, suffixdedup, syncmers
+from medlake.llm import collocations, decontaminate, htmltext, langid, linededup, minhash, ngramjoin, pieces, secrets, sharding, suffixdedup, syncmers, tries
 from medlake.llm.common import table
 
 
@@ -68,6 +68,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return tries.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the Jaccard join of all documents at 0.9, on shingles of three words."""
     return ngramjoin.joined(table(spark, sf_dir, "documents"))
@@ -102,6 +107,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_collocations": op11_collocations,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_ngram_join": op13_ngram_join,
     "secrets_base": secrets_base,
     "edited_texts": edited_texts,
@@ -134,6 +140,22 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 h AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM h)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000""",
+    "op12_conversation_trie": """WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+z(conv_id, s, i, crc) AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 0, 4294967295::BIGINT FROM t
+ UNION ALL SELECT conv_id, s, i + 1, CASE WHEN i % 8 = 0 THEN CASE WHEN xor(crc, ascii(s[i // 8 + 1])::BIGINT) % 2 = 1 THEN xor(xor(crc, ascii(s[i // 8 + 1])::BIGINT) >> 1, 3988292384::BIGINT) ELSE xor(crc, ascii(s[i // 8 + 1])::BIGINT) >> 1 END
+  WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END FROM z WHERE i < 8 * length(s)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(crc, 4294967295::BIGINT) % 6 AS h FROM z WHERE i = 8 * length(s)),
+b AS (SELECT c.conv_id, t.pos, {'role': t.role, 'text': t.text} AS x FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+ UNION ALL SELECT c.conv_id, t.pos, {'role': t.role, 'text': t.text} FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+p AS (SELECT c.conv_id, coalesce(list(b.x ORDER BY b.pos) FILTER (b.pos IS NOT NULL), []) AS path FROM c LEFT JOIN b ON b.conv_id = c.conv_id GROUP BY 1),
+v AS (SELECT conv_id, len(path) AS len, path, unnest(range(0, len(path) + 1)) AS depth FROM p),
+n AS (SELECT depth, path[1:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs, list(conv_id ORDER BY conv_id) FILTER (len = depth) AS ends FROM v GROUP BY 1, 2),
+w AS (SELECT *, node[1:depth - 1] AS up, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(node[depth].text) END AS saved FROM n),
+k AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM w WHERE depth > 0 GROUP BY 1, 2),
+a AS (SELECT w.depth AS d, w.node, w.saved, k.n_children IS NULL AS leaf, unnest(range(0, w.depth + 1)) AS depth FROM w LEFT JOIN k ON k.up = w.node AND k.depth = w.depth),
+s AS (SELECT depth, node[1:depth] AS node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM a GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(array_to_string(w.ends, ','), '')) AS ends_sha256
+FROM w JOIN s ON s.depth = w.depth AND s.node = w.node LEFT JOIN k ON k.depth = w.depth AND k.up = w.node LEFT JOIN n u ON w.depth > 0 AND u.depth = w.depth - 1 AND u.node = w.up""",
     "op13_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM t),
