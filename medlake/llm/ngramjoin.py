@@ -80,7 +80,7 @@ def _pair_keys(found: np.ndarray, top: int, percent: int) -> np.ndarray:
     fragment = (found >> np.uint64(32)) * np.uint64(3 * parts) >> np.uint64(32)
     ends = np.searchsorted(fragment, np.arange(3 * parts + 1, dtype=np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(found * _K), dtype=np.uint64)])
-    sums = _mixed((total[ends[1:]] - total[ends[:-1]]) ^ _mixed(np.arange(3 * parts, dtype=np.uint64) + np.uint64(top) * _K))
+    sums = _mixed((total[ends[1:]] - total[ends[:-1]]) ^ _mixed(np.arange(3 * parts, dtype=np.uint64) + np.uint64(top * int(_K) & 0xFFFFFFFFFFFFFFFF)))
     a, b, c = sums.reshape(-1, 3).T
     return np.concatenate([_mixed(a * _K + b), _mixed(b * _K + c), _mixed(c * _K + a)])
 
