@@ -42,8 +42,8 @@ TOP = 2000
 #: Percent of a candidate's occurrences that a longer one must hold to replace it.
 HELD = 100
 DEPTH = 2
-#: Counters to a row of a sketch at most, and to a block that is merged as one.
-WIDEST, BLOCK = 1 << 26, 1 << 16
+#: Counters to a row of a sketch at least and at most, and to a block that is merged as one.
+NARROWEST, WIDEST, BLOCK = 1 << 24, 1 << 26, 1 << 16
 #: Bytes of text that a task works on at once.
 SLICE = 6 << 20
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
@@ -278,7 +278,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     spark = docs.sparkSession
     arrow_batches(spark)
     size = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
-    width = min(WIDEST, max(1 << 10, 1 << (size // 64).bit_length()))
+    width = min(WIDEST, max(NARROWEST, 1 << (size // 64).bit_length()))
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().cast("binary").alias("text"))
 
     def add_two(sketch: Sketch, part: Slice) -> None:
