@@ -226,6 +226,52 @@ def test_what_is_outside_the_views_cannot_be_read(spark):
     assert [tuple(r) for r in got] == [(1, 1, "A")]
 
 
+OWN_ROWS = "tenant string, n int"
+
+
+def own_rows(s, n):
+    return s.createDataFrame([("a", 1), ("b", 2)], OWN_ROWS)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select event -- \r, java_method('java.lang.System','getProperty','user.home') as h\n from t",
+        "select r'\\' as a, java_method('java.lang.System','getProperty','user.home') as h, '' as b from t",
+        "select n from t -- \r union all select java_method('java.lang.System','getProperty','os.name')\n",
+        "select n from t union all select 1 from t", "select n from (select * from t) minus select 2", "with x as (select * from t) select * from x",
+        "select 1", "values (1)", "select * from range(3)", "select * from t lateral view explode(array(1)) x", "select * from t version as of 1", "begin select 1; end",
+        "select n from t; select 2", "select /*+ broadcast(t) */ * from t", "select session_user() from t", "select current_user from t", "select uuid() from t", "select input_file_name() from t",
+        "select transform(n) using 'cat' from t", "select t.n from t, lateral (select 1)", "select max(n) over w from t window w as (order by reflect('a','b'))",
+        "select n from t where n in (select java_method('a','b','c') from t)", "select :x from t", "drop view t", "insert into t values (1)",
+        "select `java_method`('a','b') from t", "select system.builtin.count(*) from t", "",
+    ],
+)
+def test_governed_sql_reads_plans(spark, sql):
+    with pytest.raises(governance.Rejected):
+        governance.query(spark, sql, own_rows, ["t"], "a").collect()
+
+
+def test_governed_sql_runs_what_is_listed(spark):
+    run = lambda sql, **k: [tuple(r) for r in governance.query(spark, sql, own_rows, ["t"], "a", **k).collect()]
+    assert run("select '-- x', n /* y */ from t -- end") == [("-- x", 1)]
+    assert run("select case when n > 1 then 'a' else 'b' end, extract(year from date '2024-01-01'), trim(' a '), -n, n div 2, tenant || 'x' from t where tenant like 'a%' and n between 0 and 3") == [("b", 2024, "a", -1, 0, "ax")]
+    assert run("select n, row_number() over (partition by tenant order by n) from t x where exists (select 1 from t u where u.n = x.n)") == [(1, 1)]
+    assert run("select '${env:HOME}' from t") == [("${env:HOME}",)]
+    assert run("select * from t limit 5", column="nowhere", open_tables=["t"]) == [("a", 1), ("b", 2)]
+    for tenant in (None, ""):
+        with pytest.raises(governance.Rejected):
+            governance.query(spark, "select * from t", own_rows, ["t"], tenant)
+
+
+def test_governed_sql_ends_in_time(spark):
+    many = lambda s, n: s.range(4000).selectExpr("'a' as tenant", "id as n")
+    slow = governance.query(spark, "select count(*) from t a, t b, t c where a.n + b.n <> c.n", many, ["t"], "a")
+    with pytest.raises(governance.TimedOut):
+        governance.answer(slow, seconds=2)
+    assert governance.answer(governance.query(spark, "select n from t order by n", many, ["t"], "a", limit=4), 3, 300) == {"columns": ["n"], "rows": [[0], [1], [2]], "row_count": 3, "truncated": True}
+
+
 def test_not_in_with_nulls(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     some, null, none = (spark.createDataFrame(x, "j int") for x in ([(1,)], [(1,), (None,)], []))
