@@ -24,6 +24,7 @@ Further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -261,16 +262,51 @@ def tallies(parts: Iterator[Slice], first: Passed, second: Passed, longest: int)
     yield sums
 
 
+#: Parts that phrases are dealt to by their hash; a task adds up one part at a time.
+PARTS = 4096
+
+
+def _packed(sums: dict[tuple[str, bytes], int]) -> Iterator[tuple[str, int, bytes, bytes]]:
+    """lang, part, phrases and counts of a task's sums: one row a language and part instead of one a phrase."""
+    dealt: dict[tuple[str, int], list[tuple[bytes, int]]] = {}
+    for (lang, phrase), n in sums.items():
+        dealt.setdefault((lang, xxhash.xxh3_64_intdigest(phrase) % PARTS), []).append((phrase, n))
+    for (lang, part), rows in dealt.items():
+        rows.sort()
+        yield lang, part, zlib.compress(b"\n".join(p for p, _ in rows), 1), np.array([n for _, n in rows], np.int64).tobytes()
+
+
 def _counted(texts: DataFrame, two, more, least: int, longest: int) -> DataFrame:
-    """lang, phrase and f of what passed the sketches."""
+    """lang, phrase and f of what passed the sketches.
+
+    Tasks hand on their sums packed by parts, since most tasks hold most frequent phrases; no phrase holds a line end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sums in tallies(_slices(batches), two.value, more.value, longest):
-            langs, phrases = [k[0] for k in sums], [k[1].decode("utf-8", "surrogatepass") for k in sums]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "n": pa.array(list(sums.values()), pa.int64())})
+            lang, part, phrases, counts = zip(*_packed(sums), strict=True) if sums else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "part": pa.array(part, pa.int32()), "phrases": pa.array(phrases, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total = None, Counter()
+
+        def rows() -> pa.RecordBatch:
+            kept = {p: n for p, n in total.items() if n >= least or not p}
+            return pa.RecordBatch.from_pydict({"lang": pa.array([here[0]] * len(kept), pa.string()), "phrase": pa.array([p.decode("utf-8", "surrogatepass") for p in kept], pa.string()), "f": pa.array(list(kept.values()), pa.int64())})
+
+        for batch in batches:
+            for *key, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "phrases", "counts")), strict=True):
+                if key != here:
+                    if here is not None:
+                        yield rows()
+                    here, total = key, Counter()
+                for phrase, n in zip(zlib.decompress(phrases).split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    total[phrase] += n
+        if here is not None:
+            yield rows()
 
-    counts = texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return counts.where((F.col("f") >= least) | (F.col("phrase") == ""))
+    packed = texts.mapInArrow(run, "lang string, part int, phrases binary, counts binary")
+    return packed.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(added, "lang string, phrase string, f long")
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
