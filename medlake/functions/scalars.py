@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from functools import reduce
+from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Price of a million tokens in and out, in dollars, and euros to a dollar.
 PRICE_IN, PRICE_OUT, EUR = 0.80, 4.00, 0.92
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ACCENTED = "áäàâãåčćçďéěèêëíìîïľĺňñóôòöõőŕřšśťúůùüűýžźżÁÄÀÂÃÅČĆÇĎÉĚÈÊËÍÌÎÏĽĹŇÑÓÔÒÖÕŐŔŘŠŚŤÚŮÙÜŰÝŽŹŻ"
-PLAIN = "aaaaaacccdeeeeeiiiillnnoooooorrsstuuuuuyzzzAAAAAACCCDEEEEEIIIILLNNOOOOOORRSSTUUUUUYZZZ"
+
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition, without combining marks, is one character, and what that is; marks; and those with longer ones.
+
+    Composed Hangul is left as it is: both sides of a comparison have it so.
+    """
+    plain, marks, longer = {}, [], {}
+    for i in chain(range(0x80, 0xAC00), range(0xF900, 0xFFFE)):
+        c = chr(i)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        rest = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if rest != c:
+            if len(rest) == 1:
+                plain[c] = rest
+            else:
+                longer[c] = rest
+    return "".join(plain) + "".join(marks), "".join(plain.values()), longer
+
+
+COMPOSED, PLAIN, LONGER = _decomposed()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -25,9 +48,39 @@ def contains_ascii(c: Column, term: str) -> Column:
     return F.coalesce(ascii_lower(c).contains(low), F.lit(False))
 
 
+def without_diacritics(c: Column) -> Column:
+    """Text in compatibility decomposition without its combining marks; letters that have none, such as l with stroke or sharp s, stay."""
+    table = F.from_json(F.lit(json.dumps(LONGER)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    some = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in LONGER) + "]"
+    marks = F.translate(F.when(c.rlike(some), spelled).otherwise(c), COMPOSED, PLAIN)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), marks).otherwise(c)
+
+
 def fold(c: Column) -> Column:
     """Lower case without diacritics."""
-    return F.lower(F.translate(c, ACCENTED, PLAIN))
+    return F.lower(without_diacritics(c))
+
+
+def json_valid(c: Column) -> Column:
+    """Whether a text is JSON; null is none."""
+    return F.try_parse_json(c).isNotNull()
+
+
+def json_kind(v: Column) -> Column:
+    """object, array, string, number, boolean or null of a variant; null where there is none."""
+    name = F.schema_of_variant(v)
+    return (
+        F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "VOID", "null")
+        .when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(v.isNotNull(), "number")
+    )
+
+
+def json_each(df: DataFrame, column: str) -> DataFrame:
+    """df with a row for each member of its JSON: pos, key (null in arrays) and value, a variant; scalars and what is no JSON have no rows."""
+    rows = df.withColumn("__v", F.try_parse_json(column))
+    members = df.sparkSession.tvf.variant_explode(F.col("__v").outer())
+    return rows.lateralJoin(members).drop("__v")
 
 
 def half_even(c: Column, places: int = 0) -> Column:
@@ -92,35 +145,6 @@ def _date(c: Column, form: str) -> Column:
     return F.try_to_timestamp(c, F.lit(form)).cast("date")
 
 
-def file_name_parts(c: Column, institutions: list[str], categories: list[str]) -> Column:
-    """date, institution, category, description and extension of `DATE_INSTITUTION_CATEGORY_rest.ext`; unknown parts null."""
-    stem = F.regexp_replace(c, "\\.[^.]+$", "")
-    words = F.split(stem, "[_\\s]+")
-    lowered = F.transform(words, F.lower)
-    known = lambda names: F.element_at(F.filter(words, lambda w: F.lower(w).isin([n.lower() for n in names])), 1)
-    taken = [n.lower() for n in [*institutions, *categories]]
-    rest = F.filter(words, lambda w: ~F.lower(w).isin(taken) & ~w.rlike("^\\d{4}-?\\d{1,2}-?\\d{0,2}$"))
-    return F.struct(
-        file_date(c).alias("date"),
-        F.when(F.size(F.array_intersect(lowered, F.array(*(F.lit(n.lower()) for n in institutions)))) > 0, known(institutions)).alias("institution"),
-        F.lower(F.when(F.size(F.array_intersect(lowered, F.array(*(F.lit(n.lower()) for n in categories)))) > 0, known(categories))).alias("category"),
-        F.nullif(F.array_join(rest, "_"), F.lit("")).alias("description"),
-        F.nullif(extension(c), F.lit("")).alias("extension"),
-    )
-
-
-def is_standard_name(c: Column) -> Column:
-    """YYYYMMDD_Institution_Category_Description.ext."""
-    return F.coalesce(c.rlike("^\\d{8}_[A-Za-z0-9-]+_[A-Za-z0-9-]+(_[^/]*)?\\.[A-Za-z0-9]+$") & file_date(c).isNotNull(), F.lit(False))
-
-
-def is_corrupt_name(c: Column) -> Column:
-    """Longer than 255, or its first 12 characters occur three times or more."""
-    head = F.substring(c, 1, 12)
-    times = F.when(F.length(c) >= 12, F.size(F.split(c, F.concat(F.lit("\\Q"), head, F.lit("\\E")))) - 1).otherwise(0)
-    return (F.length(c) > 255) | (times >= 3)
-
-
 def all_of(conditions: list[Column]) -> Column:
     """The conjunction; true of none."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -178,7 +178,3 @@ def date_disagreements(docs: DataFrame, most: int = 30) -> DataFrame:
     """Documents whose file name and extracted date lie more than so many days apart."""
     far = F.abs(F.datediff("document_date", name_date(F.col("filename"))))
     return docs.withColumns({"name_date": name_date(F.col("filename")), "days": far}).where(F.col("days") > most)
-
-
-def folded_words(c: Column) -> Column:
-    return F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda w: w != "")

@@ -29,10 +29,6 @@ def neighbours(links: DataFrame, node: str = "id") -> DataFrame:
     return one.unionByName(two).where(F.col(node) != F.col("other"))
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
-
-
 def later_copies(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """Rows that repeat a key under a higher id; a null key repeats nothing."""
     rows = df.where(" and ".join(f"`{k}` is not null" for k in keys))

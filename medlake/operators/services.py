@@ -6,7 +6,10 @@ caller's step, so a failed job leaves the old state whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +68,39 @@ def recover_owners(rows: DataFrame, owners: DataFrame, key: str, owner: str, sen
     return joined.withColumn(owner, found).select(*rows.columns, "how")
 
 
+def in_chunks(rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, chunks: int = 64, most: int | None = None) -> int:
+    """work(rows) written chunk by chunk, a chunk being a share of the key's hashes; the number of chunks that are left.
+
+    A chunk that is done has its mark beside it and is passed over, so that a run goes on where one before it broke
+    off; a chunk without its mark is written again from the start.  `most` chunks are done at once.
+    """
+    spark = rows.sparkSession
+    done = {r.chunk for r in _progress(spark, path).collect()}
+    left = [k for k in range(chunks) if k not in done]
+    for k in left[:most]:
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == k)
+        work(part).write.mode("overwrite").parquet(f"{path}/rows/chunk={k}")
+        n = spark.read.parquet(f"{path}/rows/chunk={k}").count()
+        spark.createDataFrame([(k, n)], PROGRESS).coalesce(1).write.mode("append").json(f"{path}/progress")
+    return len(left[most:]) if most is not None else 0
+
+
+PROGRESS = "chunk int, rows long"
+
+
+def _progress(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(PROGRESS).json(f"{path}/progress")
+    except AnalysisException:  # no chunk is done yet
+        return spark.createDataFrame([], PROGRESS)
+
+
+def chunks_done(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all chunks that are done."""
+    paths = [f"{path}/rows/chunk={r.chunk}" for r in _progress(spark, path).collect()]
+    return spark.read.parquet(*paths)
+
+
 def extracted_values(documents: DataFrame, metadata: str, fallback: str) -> DataFrame:
     """Lab values of the JSON of each document: the block's date, the metadata's or the document's; what is no number is left out."""
     schema = "struct<date string, labs array<struct<date string, parameter string, value string, unit string>>>"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import exports, governance, services, upkeep
+from medlake.plans import exports, governance, services, state, upkeep
 from medlake.session import shared_dir, table
 from medlake.streaming import streams
 
@@ -628,3 +628,8 @@ ORACLES.update(upkeep.ORACLES)
 
 QUERIES.update(exports.QUERIES)
 ORACLES.update(exports.ORACLES)
+
+# -- streams with state, stored tables, indexes, trees, dumps, JSON ---------------------------
+
+QUERIES.update(state.QUERIES)
+ORACLES.update(state.ORACLES)

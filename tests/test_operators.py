@@ -86,12 +86,6 @@ def test_file_date(spark, name, want):
     assert one(spark, S.file_date, name) == want
 
 
-def test_file_name_parts(spark):
-    got = one(spark, lambda c: S.file_name_parts(c, ["NOU"], ["labs"]), "20240131_NOU_Labs_blood_count.PDF")
-    assert (got.date, got.institution, got.category, got.description, got.extension) == (date(2024, 1, 31), "NOU", "labs", "blood_count", ".pdf")
-    assert one(spark, S.is_standard_name, "20240131_NOU_Labs_Blood.pdf") and not one(spark, S.is_standard_name, "scan.pdf")
-
-
 def test_fence_sender_and_slug(spark):
     assert one(spark, S.without_fence, "```json\n{}\n```") == "{}"
     assert one(spark, S.sender, "Ann <A@B.c>") == "a@b.c" and one(spark, S.sender, " A@b.c ") == "a@b.c"
