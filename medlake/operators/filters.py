@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.functions.scalars import all_of, contains_ascii, json_strings
+from medlake.functions.scalars import LOWER, UPPER, all_of, ascii_lower, contains_ascii, json_strings
 
 
 def where_given(
@@ -26,7 +26,7 @@ def where_given(
     if date_to is not None:  # the whole last day counts, of timestamps too
         found.append(F.col(date_column) < F.lit(date_to + timedelta(days=1)))
     if text:
-        found.append(any_contains(text_columns, text))
+        found.append(any_like(text_columns, text))
     return df.where(all_of(found))
 
 
@@ -37,6 +37,15 @@ def any_contains(columns: tuple[str, ...], term: str) -> Column:
     return out
 
 
+def any_like(columns: tuple[str, ...], term: str) -> Column:
+    """Whether some column holds the term whatever the case of A-Z; a per cent sign in it stands for any text and an underscore for any character."""
+    pattern = F.lit("%" + "".join(LOWER[UPPER.index(x)] if x in UPPER else x for x in term).replace("\\", "\\\\") + "%")
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.like(ascii_lower(F.col(c)), pattern), F.lit(False))
+    return out
+
+
 def last_days(df: DataFrame, column: str, as_of: datetime, days: float) -> DataFrame:
     """Rows of the window of so many days that ends with as_of; rows after it count, as they do against a clock."""
     return df.where(F.col(column) >= F.lit(as_of - timedelta(days=days)).cast(df.schema[column].dataType))
@@ -86,6 +95,12 @@ def notes(df: DataFrame, query: str, column: str = "text") -> DataFrame:
     return df.where(contains_ascii(F.col(column), query.strip())) if query.strip() else df.limit(0)
 
 
+def record_notes(notes_of: DataFrame, records: DataFrame, query: str, tenant: object, key: str, column: str = "text") -> DataFrame:
+    """notes() of the tenant's records that are not deleted; a note without such a record has no row."""
+    own = live(for_tenant(records, tenant)).select(key)
+    return notes(notes_of, query, column).join(own, key, "left_semi")
+
+
 def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
     """Rows with one of the values; an empty list keeps none."""
     return df.where(F.col(column).isin(values)) if values else df.limit(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.functions.scalars import reasons
+from medlake.functions.scalars import all_of, reasons
 from medlake.operators.naming import is_standard_name
 
 #: Types that can be read.
@@ -39,6 +39,16 @@ def flags(docs: DataFrame, pages: DataFrame, person: str) -> DataFrame:
     return rows.drop("__read").withColumn("complete", every)
 
 
+def stage_counts(docs: DataFrame, person: str) -> DataFrame:
+    """One row: documents in all and past each stage, and past all of them; an empty text counts as missing. The names of the counts are fixed values."""
+    some = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    stages = {
+        "with_ai_summary": some("summary"), "with_structured_metadata": some("metadata"), "with_date": F.col("document_date").isNotNull(), "with_institution": some("institution"),
+        "synced_to_gdrive": some("remote_id"), "standard_filename": is_standard_name(F.col("filename"), person),
+    }
+    return docs.agg(F.count(F.lit(1)).alias("total_documents"), *(F.count_if(c).alias(n) for n, c in stages.items()), F.count_if(all_of(list(stages.values()))).alias("fully_complete"))
+
+
 def matrix(flagged: DataFrame, by: str = "all", limit: int | None = None, offset: int = 0) -> DataFrame:
     """The rows that a filter keeps, by id; filtered first and then cut to a page, where a limit is given."""
     rows = flagged.where(~F.col(FILTERS[by])) if FILTERS[by] else flagged

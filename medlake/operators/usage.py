@@ -159,6 +159,19 @@ def snapshot(calls: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return one.select(F.concat(F.lit("weekly_"), F.date_format(as_of, "yyyy-MM-dd")).alias("key"), F.to_json("types").alias("value"))
 
 
+def whole_snapshot(calls: DataFrame, runs: DataFrame, as_of: Column, days: int = 7, tools: int = 20) -> DataFrame:
+    """One key and JSON value: statistics of each type, the tools called most, and pipeline runs (ts, status), all of the last days."""
+    since = (F.col("ts") >= as_of - F.make_interval(days=F.lit(days))) & (F.col("ts") < as_of)
+    week = calls.where(since)
+    kinds = week.groupBy("call_type").agg(F.count(F.lit(1)).alias("calls"), errors().alias("errors"), total("tokens_in").alias("tokens_in"))
+    prompts = kinds.agg(F.array_sort(F.collect_list(F.struct("call_type", "calls", "errors", "tokens_in"))).alias("prompts"))
+    best = top_tools(week, tools).select(F.struct((-F.col("calls")).alias("less"), "call_type", "calls").alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    best = best.select(F.transform("x", lambda x: F.struct(x["call_type"].alias("call_type"), x["calls"].alias("calls"))).alias("tools"))
+    done = runs.where(since).agg(F.struct(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("failed")).alias("pipeline"))
+    one = prompts.join(best).join(done)  # a row each
+    return one.select(F.concat(F.lit("weekly_"), F.date_format(as_of, "yyyy-MM-dd")).alias("key"), F.to_json(F.struct("prompts", "tools", "pipeline")).alias("value"))
+
+
 def exact_percentiles(calls: DataFrame) -> DataFrame:
     """As percentiles(), from a histogram: calls are first counted by type and duration, so that no task holds all durations."""
     counts = calls.where(F.col("duration_ms").isNotNull()).groupBy("call_type", "duration_ms").agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import exports, governance, services, state, upkeep
+from medlake.plans import exports, governance, ingest, services, state, upkeep
 from medlake.session import shared_dir, table
 from medlake.streaming import streams
 
@@ -633,3 +633,8 @@ ORACLES.update(exports.ORACLES)
 
 QUERIES.update(state.QUERIES)
 ORACLES.update(state.ORACLES)
+
+# -- sources, inserts, text scalars and stored reports -----------------------------------------
+
+QUERIES.update(ingest.QUERIES)
+ORACLES.update(ingest.ORACLES)

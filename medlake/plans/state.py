@@ -208,7 +208,7 @@ def dump_restore(spark, d):
     return dumps.smoke_test(dumps.restore(spark, path)).join(lost, "name", "left").select("name", "rows", "columns", F.coalesce("same", F.lit(True)).alias("whole"))
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
+def tree(spark: SparkSession, d: str) -> DataFrame:
     """Orders as folders: an order's folder lies in that of the customer's order before, the first ones in the root."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     before = o.select(F.col("o_orderkey").alias("at"), "o_custkey")
@@ -223,13 +223,13 @@ t AS (SELECT id, name AS path, lower(name) AS folded, 0 AS depth FROM f WHERE pa
 
 @query(f"WITH RECURSIVE {TREE_SQL} SELECT id, path, depth FROM t")
 def deep_paths(spark, d):
-    return folders.paths(_tree(spark, d))
+    return folders.paths(tree(spark, d))
 
 
 @query(f"""WITH RECURSIVE {TREE_SQL}, n AS (SELECT t.id, folded, (SELECT count(*) FROM f x WHERE x.parent = t.id) AS children FROM t),
 k AS (SELECT folded, arg_max(id, (children, -id)) AS keeper FROM n GROUP BY 1 HAVING count(*) > 1) SELECT n.id, k.keeper FROM n JOIN k ON k.folded = n.folded WHERE n.id <> k.keeper""")
 def twin_folders(spark, d):
-    return folders.merges(_tree(spark, d))
+    return folders.merges(tree(spark, d))
 
 
 JSON_CASES = "CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN '{' || props WHEN 2 THEN '[1, \"two\", null, {\"k\": 3}]' WHEN 3 THEN '\"' || event_type || '\"' WHEN 4 THEN 'null' WHEN 5 THEN '{\"a\": {\"b\": [1, 2]}, \"t\": \"' || event_type || '\"}' END"

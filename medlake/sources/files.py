@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,7 +22,8 @@ def folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = DOCUMEN
         reader = reader.option("modifiedAfter", modified_after)
     rows = reader.load(path)
     plain = F.regexp_replace("path", "^[^:]*:(//)?", "")
-    relative = F.substring(plain, F.lit(len(path.rstrip("/")) + 2), F.length(plain))
+    top = re.sub("^[^:]*:(//)?", "", path.rstrip("/"))
+    relative = F.substring(plain, F.lit(len(top) + 2), F.length(plain))
     return rows.where(extension(F.col("path")).isin(*extensions)).withColumn("relative", relative).where(~F.col("relative").rlike(HIDDEN))
 
 
@@ -44,8 +47,18 @@ TRIAL = (
 
 
 def trials(spark: SparkSession, path: str) -> DataFrame:
-    """Clinical trials as flat rows: the first phase, and up to five places."""
-    s = spark.read.schema(TRIAL).option("multiLine", "true").json(path).select("protocolSection.*")
+    """Clinical trials, a JSON document a file, as flat rows."""
+    return _flat(spark.read.schema(TRIAL).option("multiLine", "true").json(path))
+
+
+def trial_rows(df: DataFrame, column: str) -> DataFrame:
+    """Clinical trials, a JSON document a row of a column, as flat rows."""
+    return _flat(df.select(F.from_json(column, TRIAL).alias("__t")).select("__t.*"))
+
+
+def _flat(s: DataFrame) -> DataFrame:
+    """The first phase, and up to five places; parts of a place that are missing leave no gap."""
+    s = s.select("protocolSection.*")
     places = F.transform(F.slice("contactsLocationsModule.locations", 1, 5), lambda x: F.concat_ws(", ", x["facility"], x["city"], x["country"]))
     return s.select(
         F.col("identificationModule.nctId").alias("trial"), F.col("identificationModule.briefTitle").alias("title"),
