@@ -63,8 +63,19 @@ def fold(c: Column) -> Column:
 
 
 def json_valid(c: Column) -> Column:
-    """Whether a text is JSON; null is none."""
-    return F.try_parse_json(c).isNotNull()
+    """Whether the whole of a text is one JSON value; null is none.
+
+    The parser stops after the first value, so the text is read inside an array and inside an object: what follows
+    a value breaks one of them, or makes a second element.
+    """
+    listed, member = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(one & member.isNotNull(), F.lit(False))
+
+
+def parsed_json(c: Column) -> Column:
+    """The variant of a text that is JSON, else null."""
+    return F.when(json_valid(c), F.try_parse_json(c))
 
 
 def json_kind(v: Column) -> Column:
@@ -78,7 +89,7 @@ def json_kind(v: Column) -> Column:
 
 def json_each(df: DataFrame, column: str) -> DataFrame:
     """df with a row for each member of its JSON: pos, key (null in arrays) and value, a variant; scalars and what is no JSON have no rows."""
-    rows = df.withColumn("__v", F.try_parse_json(column))
+    rows = df.withColumn("__v", parsed_json(F.col(column)))
     members = df.sparkSession.tvf.variant_explode(F.col("__v").outer())
     return rows.lateralJoin(members).drop("__v")
 

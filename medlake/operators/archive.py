@@ -159,11 +159,15 @@ def screening(people: DataFrame, protocols: DataFrame, done: DataFrame, today: C
     return rows.select("person", "protocol", "last_done", due.alias("due"), status.alias("status"))
 
 
+#: Times to the microsecond, in records of JSON.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def manifest(**tables: DataFrame) -> DataFrame:
     """Row count and content hash of each table, whatever its row order: two sums of halves of row hashes."""
     parts = []
     for name, df in tables.items():
-        h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns))))
+        h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), JSON_TIMES))
         parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")).select(F.lit(name).alias("name"), "*"))
     out = parts[0]
     for p in parts[1:]:

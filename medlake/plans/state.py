@@ -249,7 +249,7 @@ def _json_rows(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, valid, CASE json_type(j) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' END AS kind, json_extract_string(j, '$.t') AS t, CAST(json_extract(j, '$.a.b[1]') AS BIGINT) AS b FROM v""")
 def json_shapes(spark, d):
     """Which texts are JSON, of what kind, and what stands at two paths."""
-    rows = _json_rows(spark, d).withColumn("v", F.try_parse_json("j"))
+    rows = _json_rows(spark, d).withColumn("v", S.parsed_json(F.col("j")))
     return rows.select("event_id", S.json_valid(F.col("j")).alias("valid"), S.json_kind(F.col("v")).alias("kind"), F.try_variant_get("v", "$.t", "string").alias("t"), F.try_variant_get("v", "$.a.b[1]", "bigint").alias("b"))
 
 

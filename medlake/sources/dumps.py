@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from medlake.operators.archive import manifest
+from medlake.operators.archive import JSON_TIMES, manifest
 from medlake.operators.groups import restore_check
 
 
@@ -16,7 +16,7 @@ def dump(tables: dict[str, DataFrame], path: str) -> None:
     """Write each table's records as compressed JSON lines, then its schema, and last the manifest of all: rows and content hashes as they were read."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", "false").json(f"{path}/data/{name}")
+        df.write.mode("overwrite").options(compression="gzip", ignoreNullFields="false", **JSON_TIMES).json(f"{path}/data/{name}")
     schemas = spark.createDataFrame([(name, df.schema.json()) for name, df in tables.items()], "name string, schema string")
     schemas.coalesce(1).write.mode("overwrite").json(f"{path}/schemas")
     manifest(**tables).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
@@ -25,14 +25,14 @@ def dump(tables: dict[str, DataFrame], path: str) -> None:
 def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a dump, with the types that they had; a record that cannot be read ends the restore."""
     schemas = {r.name: StructType.fromJson(json.loads(r.schema)) for r in spark.read.schema("name string, schema string").json(f"{path}/schemas").collect()}
-    return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/data/{name}") for name, schema in sorted(schemas.items())}
+    return {name: spark.read.schema(schema).options(mode="FAILFAST", **JSON_TIMES).json(f"{path}/data/{name}") for name, schema in sorted(schemas.items())}
 
 
 def damaged(spark: SparkSession, path: str) -> DataFrame:
     """name, rows and now_rows of the tables of a dump that do not come back as the manifest has them."""
     schemas = {r.name: StructType.fromJson(json.loads(r.schema)) for r in spark.read.schema("name string, schema string").json(f"{path}/schemas").collect()}
     # what cannot be read counts as lost here, so that all damage is listed
-    found = {name: spark.read.schema(schema).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").json(f"{path}/data/{name}") for name, schema in schemas.items()}
+    found = {name: spark.read.schema(schema).options(mode="DROPMALFORMED", ignoreCorruptFiles="true", **JSON_TIMES).json(f"{path}/data/{name}") for name, schema in schemas.items()}
     said = spark.read.schema("name string, rows long, high long, low long").json(f"{path}/manifest")
     return restore_check(said, manifest(**found))
 
@@ -41,7 +41,7 @@ def smoke_test(tables: dict[str, DataFrame]) -> DataFrame:
     """name, rows and columns of each table: that it can be read from its first to its last row."""
     out = None
     for name, df in tables.items():
-        read = df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.xxhash64(*df.columns)).alias("__read"))
+        read = df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.xxhash64(F.to_json(F.struct(*df.columns)))).alias("__read"))
         part = read.select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"))
         out = part if out is None else out.unionByName(part)
     return out

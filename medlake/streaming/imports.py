@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from medlake.streaming.streams import classify
 
@@ -71,7 +71,12 @@ class StoredTable:
 
 LISTING = "id long, name string, modified timestamp, md5 string"
 #: What the table of imported files holds besides the listing.
-IMPORTED = StructType.fromDDL(LISTING + ", first_batch int, last_batch int, removed_at int")
+IMPORTED = StructType(
+    [
+        StructField("id", LongType()), StructField("name", StringType()), StructField("modified", TimestampType()), StructField("md5", StringType()),
+        *(StructField(c, IntegerType()) for c in ("first_batch", "last_batch", "removed_at")),
+    ]
+)
 
 
 def _latest(listing: DataFrame) -> DataFrame:
