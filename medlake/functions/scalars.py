@@ -51,10 +51,14 @@ def contains_ascii(c: Column, term: str) -> Column:
 def without_diacritics(c: Column) -> Column:
     """Text in compatibility decomposition without its combining marks; letters that have none, such as l with stroke or sharp s, stay."""
     table = F.from_json(F.lit(json.dumps(LONGER)), "map<string,string>")
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     some = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in LONGER) + "]"
-    marks = F.translate(F.when(c.rlike(some), spelled).otherwise(c), COMPOSED, PLAIN)
-    return F.when(c.rlike("[^\\x00-\\x7F]"), marks).otherwise(c)
+
+    def plain(t: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+        return F.when(t.rlike("[^\\x00-\\x7F]"), F.translate(F.when(t.rlike(some), spelled).otherwise(t), COMPOSED, PLAIN)).otherwise(t)
+
+    # inside a lambda the text is named and not written out again, however long its own expression is
+    return F.transform(F.array(c), plain)[0]
 
 
 def fold(c: Column) -> Column:
@@ -137,8 +141,7 @@ def extension(c: Column) -> Column:
 
 def first_match(c: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """The label of the first keyword, in order, that a text contains."""
-    folded = fold(c)
-    return F.coalesce(*(F.when(folded.contains(k), F.lit(v)) for k, v in rules), F.lit(default))
+    return F.transform(F.array(fold(c)), lambda t: F.coalesce(*(F.when(t.contains(k), F.lit(v)) for k, v in rules), F.lit(default)))[0]
 
 
 def file_date(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlake.functions.scalars import contains_ascii, first_match, fold, reasons, shortened, year_month
+from medlake.session import if_few
 
 
 def search(df: DataFrame, query: str, weights: dict[str, int], order: list[Column], limit: int) -> DataFrame:
@@ -153,7 +154,7 @@ def screening(people: DataFrame, protocols: DataFrame, done: DataFrame, today: C
     p = protocols.select("protocol", F.col("sex").alias("for_sex"), "age_from", "age_to", "months")
     fits = (F.col("for_sex").isNull() | (F.col("for_sex") == F.col("sex"))) & F.col("age").between(F.col("age_from"), F.col("age_to"))
     last = done.groupBy("person", "protocol").agg(F.max("day").alias("last_done"))
-    rows = people.join(F.broadcast(p), fits).join(last, ["person", "protocol"], "left")
+    rows = people.join(if_few(p), fits).join(last, ["person", "protocol"], "left")
     due = F.date_add("last_done", (F.col("months") * 30).cast("int"))
     status = F.when(F.col("last_done").isNull(), "never_done").when(due < today, "overdue").when(due <= F.date_add(today, 90), "due_soon").otherwise("up_to_date")
     return rows.select("person", "protocol", "last_done", due.alias("due"), status.alias("status"))

@@ -56,6 +56,12 @@ def matrix(flagged: DataFrame, by: str = "all", limit: int | None = None, offset
     return rows if limit is None else rows.orderBy("id").offset(offset).limit(limit)
 
 
+def matrices(flagged: DataFrame) -> DataFrame:
+    """The rows of all filters at once, as kept_by and the columns of matrix(); each document is read once and repeated for every filter that keeps it."""
+    kept = F.array_compact(F.array(*(F.lit(name) if not flag else F.when(~F.col(flag), F.lit(name)) for name, flag in FILTERS.items())))
+    return flagged.select(F.explode(kept).alias("kept_by"), "id", F.substring("filename", 1, 60).alias("filename"), *FLAGS, "complete")
+
+
 def matrix_summary(flagged: DataFrame) -> DataFrame:
     return flagged.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(f).alias(f"n_{f}") for f in (*FLAGS, "complete")))
 

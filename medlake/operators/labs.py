@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medlake.session import if_few
+
 KEY = ["tenant", "parameter"]
 RISING, FALLING = 1.05, 0.95
 NEAR_LIMIT = 0.10
@@ -78,10 +80,10 @@ def safety(labs: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     thresholds (parameter, low, high) is a fixed dimension of some dozens of rows.
     """
-    latest = summary(labs).select(*KEY, "latest_date", "latest").join(F.broadcast(thresholds.select("parameter", F.lit(True).alias("asked"))), "parameter", "left")
+    latest = summary(labs).select(*KEY, "latest_date", "latest").join(if_few(thresholds.select("parameter", F.lit(True).alias("asked"))), "parameter", "left")
     value = F.when(F.col("asked"), F.struct("parameter", F.struct("latest_date", "latest").alias("at")))
     # one row a tenant, with as many values as there are thresholds
-    every = latest.groupBy("tenant").agg(F.map_from_entries(F.collect_list(value)).alias("values")).join(F.broadcast(thresholds))
+    every = latest.groupBy("tenant").agg(F.map_from_entries(F.collect_list(value)).alias("values")).join(if_few(thresholds))
     at = F.try_element_at("values", F.col("parameter"))
     rows = every.select(*KEY, "low", "high", at["latest_date"].alias("latest_date"), at["latest"].alias("latest"))
     v, low, high = F.col("latest"), F.col("low"), F.col("high")

@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medlake.session import if_few
+
 
 def insert_within_quota(base: DataFrame, rows: DataFrame, tenant: str, order: list[str], quota: int = 200) -> DataFrame:
     """base and the new rows, as far as each tenant's quota of rows goes; the first by order come in."""
@@ -159,7 +161,7 @@ def misplaced_folders(folders: DataFrame, categories: list[str]) -> DataFrame:
 
 def checklist(latest: DataFrame, items: DataFrame, tenant: str = "tenant", parameter: str = "parameter") -> DataFrame:
     """Each item of a list (parameter, low, high) for each tenant: ok, out_of_range or missing.  The list is a fixed dimension."""
-    every = latest.select(tenant).distinct().join(F.broadcast(items))
+    every = latest.select(tenant).distinct().join(if_few(items))
     rows = every.join(latest, [tenant, parameter], "left")
     out = F.coalesce(F.col("latest") < F.col("low"), F.lit(False)) | F.coalesce(F.col("latest") > F.col("high"), F.lit(False))
     return rows.withColumn("state", F.when(F.col("latest").isNull(), "missing").when(out, "out_of_range").otherwise("ok"))

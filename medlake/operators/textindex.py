@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlake.functions.scalars import fold
+from medlake.session import if_few
 
 BUCKETS = 64
 SCHEMA = "term string, id long, field string, positions array<int>, bucket int"
@@ -55,8 +56,7 @@ def search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """
     words = queries.select("query_id", terms(F.col("phrase")).alias("words")).where(F.size("words") > 0)
     words = words.select("query_id", F.size("words").alias("size"), F.posexplode("words").alias("place", "term")).withColumn("bucket", _bucket("term"))
-    n = words.count()
-    asked = F.broadcast(words) if n <= 100_000 else words
+    asked = if_few(words)
     # terms of a phrase that a text lacks end it before any position is looked at
     met = index.join(asked, ["bucket", "term"]).select("query_id", "size", "id", "field", F.explode("positions").alias("at"), "place")
     starts = met.groupBy("query_id", "size", "id", "field", (F.col("at") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = size")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlake.functions.scalars import EUR, cost_usd
+from medlake.session import if_few
 
 
 def errors() -> Column:
@@ -76,7 +77,7 @@ def percentiles(calls: DataFrame) -> DataFrame:
 def budget(calls: DataFrame, tenants: DataFrame, caps: DataFrame) -> DataFrame:
     """Euros spent on successful calls against the cap of each tenant's tier; no cap is no limit."""
     spent = calls.where("status = 'ok'").groupBy("tenant").agg((money(cost_usd(F.col("tokens_in"), F.col("tokens_out"))).cast("double") * EUR).alias("eur"))
-    rows = tenants.join(F.broadcast(caps), "tier", "left").join(spent, "tenant", "left")
+    rows = tenants.join(if_few(caps), "tier", "left").join(spent, "tenant", "left")
     eur = F.round(F.coalesce("eur", F.lit(0.0)), 4)
     return rows.select("tenant", "tier", eur.alias("spent_eur"), "cap_eur", (F.col("cap_eur").isNull() | (eur < F.col("cap_eur"))).alias("allowed"))
 

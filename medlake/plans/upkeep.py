@@ -26,18 +26,18 @@ def query(oracle: str):
 
 # -- documents as the archive's files: expressions that both engines read alike ------------
 
-PERSON, CODES = "AnnaTest", ["Alpha", "BoryClinic", "NOU"]
-NAMES = {"alpha labs": "Alpha", "bory": "BoryClinic", "national oncology": "NOU"}
-ALIASES = {"labs": "labs", "blood": "labs", "ct": "imaging", "kontrola": "consultation"}
+PERSON, CODES = "AnnaTest", ["Alpha", "KestrelClinic", "ELM"]
+NAMES = {"alpha labs": "Alpha", "kestrel": "KestrelClinic", "elm institute": "ELM"}
+ALIASES = {"labs": "labs", "blood": "labs", "ct": "imaging", "recheck": "consultation"}
 KEYWORDS = [("scan", "imaging"), ("blood", "labs"), ("letter", "report")]
 FILE = {
     "id": "doc_id",
     "filename": """CASE WHEN doc_id % 6 = 0 THEN concat('202401', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), '_AnnaTest_Alpha_Labs_Blood', CAST(doc_id AS STRING), '.pdf')
- WHEN doc_id % 6 = 1 THEN concat('202402', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), ' AnnaTest-NOU-Letter', CAST(doc_id AS STRING), '.pdf')
- WHEN doc_id % 6 = 2 THEN concat('2024-3-', CAST(doc_id % 28 + 1 AS STRING), '_alpha_kontrola_note ', CAST(doc_id AS STRING), '.docx')
+ WHEN doc_id % 6 = 1 THEN concat('202402', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0'), ' AnnaTest-ELM-Letter', CAST(doc_id AS STRING), '.pdf')
+ WHEN doc_id % 6 = 2 THEN concat('2024-3-', CAST(doc_id % 28 + 1 AS STRING), '_alpha_recheck_note ', CAST(doc_id AS STRING), '.docx')
  WHEN doc_id % 6 = 3 THEN concat('free scan ', CAST(doc_id AS STRING), '.jpg')
  WHEN doc_id % 6 = 4 THEN concat('20240401_AnnaTest_Unknown_Report_x', CAST(doc_id AS STRING), '.pdf')
- ELSE concat('20240501_AnnaTest_AnnaTest_advokat_AnnaTest', CAST(doc_id AS STRING), '.pdf') END""",
+ ELSE concat('20240501_AnnaTest_AnnaTest_counsel_AnnaTest', CAST(doc_id AS STRING), '.pdf') END""",
     "category": "CASE WHEN doc_id % 7 = 0 THEN 'surgical_report' WHEN doc_id % 7 < 4 THEN 'other' WHEN doc_id % 7 = 4 THEN 'advocate' ELSE 'labs' END",
     "doc_type": "CASE WHEN doc_id % 5 = 0 THEN 'lab_report' WHEN doc_id % 5 = 1 THEN 'imaging' WHEN doc_id % 5 = 2 THEN 'nonsense' END",
     "mime": "CASE WHEN doc_id % 4 = 0 THEN 'application/pdf' WHEN doc_id % 4 = 1 THEN 'text/csv' WHEN doc_id % 4 = 2 THEN 'image/png' END",
@@ -76,17 +76,17 @@ m AS (SELECT *, has_ocr AND has_ai AND has_metadata AND is_synced AND is_standar
 @query(f"""WITH {FILES_SQL}, s AS (SELECT *, regexp_replace(filename, '\\.[^.]*$', '') AS st, regexp_extract(filename, '\\.[^.]*$') AS ext FROM files)
 SELECT id, CASE id % 6 WHEN 0 THEN 'standard' WHEN 4 THEN 'standard' WHEN 5 THEN 'standard' WHEN 1 THEN 'bilingual' ELSE 'legacy' END AS form,
  CASE id % 6 WHEN 2 THEN make_date(2024, 3, CAST(id % 28 + 1 AS INT)) WHEN 3 THEN NULL ELSE CAST(strptime(substr(st, 1, 8), '%Y%m%d') AS DATE) END AS date,
- CASE id % 6 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'NOU' WHEN 2 THEN 'Alpha' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'AnnaTest' END AS institution,
+ CASE id % 6 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'ELM' WHEN 2 THEN 'Alpha' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'AnnaTest' END AS institution,
  CASE id % 6 WHEN 0 THEN 'labs' WHEN 1 THEN 'report' WHEN 2 THEN 'consultation' WHEN 3 THEN 'imaging' WHEN 4 THEN 'report' ELSE 'other' END AS category,
- CASE id % 6 WHEN 0 THEN 'Blood' || id WHEN 1 THEN 'Letter' || id WHEN 2 THEN 'note ' || id WHEN 3 THEN 'free scan ' || id WHEN 4 THEN 'x' || id ELSE 'advokat_AnnaTest' || id END AS description, ext AS extension FROM s""")
+ CASE id % 6 WHEN 0 THEN 'Blood' || id WHEN 1 THEN 'Letter' || id WHEN 2 THEN 'note ' || id WHEN 3 THEN 'free scan ' || id WHEN 4 THEN 'x' || id ELSE 'counsel_AnnaTest' || id END AS description, ext AS extension FROM s""")
 def parsed_names(spark, d):
     parsed = naming.parsed_name(F.col("filename"), PERSON, CODES, ALIASES, KEYWORDS)
     return file_rows(spark, d).select("id", parsed.alias("p")).select("id", "p.*")
 
 
-@query(f"""WITH {FILES_SQL} SELECT id, CASE id % 6 WHEN 1 THEN regexp_replace(filename, '^(\\d{{8}}) AnnaTest-NOU-(.*)$', '\\1_AnnaTest_NOU_Report_\\2')
+@query(f"""WITH {FILES_SQL} SELECT id, CASE id % 6 WHEN 1 THEN regexp_replace(filename, '^(\\d{{8}}) AnnaTest-ELM-(.*)$', '\\1_AnnaTest_ELM_Report_\\2')
  WHEN 2 THEN strftime(make_date(2024, 3, CAST(id % 28 + 1 AS INT)), '%Y%m%d') || '_AnnaTest_Alpha_Consultation_note ' || id || '.docx'
- WHEN 5 THEN '20240501_AnnaTest_AnnaTest_Other_advokat_AnnaTest' || id || '.pdf' ELSE filename END AS new_name FROM files""")
+ WHEN 5 THEN '20240501_AnnaTest_AnnaTest_Other_counsel_AnnaTest' || id || '.pdf' ELSE filename END AS new_name FROM files""")
 def standard_names(spark, d):
     parsed = naming.parsed_name(F.col("filename"), PERSON, CODES, ALIASES, KEYWORDS)
     return file_rows(spark, d).select("id", naming.standard_name(F.col("filename"), parsed, PERSON).alias("new_name"))
@@ -118,12 +118,12 @@ def date_disagreements(spark, d):
     return naming.date_disagreements(file_rows(spark, d)).select("id", "name_date", "days")
 
 
-PROVIDERS = [("medirex", "Medirex"), ("bory", "BoryClinic"), ("onkolog", "NOU")]
-PROVIDER_SQL = "CASE WHEN doc_id % 5 = 0 THEN 'Nemocnica BORY a.s.' WHEN doc_id % 5 = 1 THEN 'Národný Onkologický ústav' WHEN doc_id % 5 = 2 THEN 'Bory, MEDIREX' ELSE source END"
+PROVIDERS = [("lumen", "Lumen"), ("kestrel", "KestrelClinic"), ("halcyon", "ELM")]
+PROVIDER_SQL = "CASE WHEN doc_id % 5 = 0 THEN 'Klinika KESTREL a.s.' WHEN doc_id % 5 = 1 THEN 'Štátny Halcyónový ústav' WHEN doc_id % 5 = 2 THEN 'Bory, LUMEN' ELSE source END"
 
 
 @query(f"""WITH {FILES_SQL}, p AS (SELECT doc_id AS id, {PROVIDER_SQL} AS provider FROM documents)
-SELECT id, CASE WHEN id % 5 = 0 THEN 'BoryClinic' WHEN id % 5 = 1 THEN 'NOU' WHEN id % 5 = 2 THEN 'Medirex' ELSE 'clinic' || tenant END AS institution,
+SELECT id, CASE WHEN id % 5 = 0 THEN 'KestrelClinic' WHEN id % 5 = 1 THEN 'ELM' WHEN id % 5 = 2 THEN 'Lumen' ELSE 'clinic' || tenant END AS institution,
  CASE WHEN id % 5 < 3 THEN 'providers' ELSE 'clinic' END AS origin FROM files WHERE coalesce(institution, '') = '' AND (id % 5 < 3 OR (category IN ('other', 'advocate') AND tenant < 8))""")
 def institution_backfill(spark, d):
     docs = file_rows(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.expr(PROVIDER_SQL)).alias("providers")), "id")
@@ -139,12 +139,12 @@ def context_backfill(spark, d):
 
 @query(f"""WITH {FILES_SQL}, n AS (SELECT *, CASE id % 6 WHEN 0 THEN 'labs' WHEN 1 THEN 'report' WHEN 2 THEN 'consultation' WHEN 3 THEN 'imaging' WHEN 4 THEN 'report' ELSE 'other' END AS named,
  CASE doc_type WHEN 'lab_report' THEN 'labs' WHEN 'imaging' THEN 'imaging' END AS wanted FROM files)
-SELECT id, category, CASE WHEN category = 'surgical_report' THEN 'surgery' WHEN category <> 'advocate' AND contains(filename, 'advokat') THEN 'advocate' WHEN category = 'other' AND named <> 'other' THEN named ELSE wanted END AS suggested,
- CASE WHEN category = 'surgical_report' THEN 'legacy_category_merge' WHEN category <> 'advocate' AND contains(filename, 'advokat') THEN 'advocate_keyword_in_filename' WHEN category = 'other' AND named <> 'other' THEN 'filename_token_detected' ELSE 'document_type' END AS reason
-FROM n WHERE category = 'surgical_report' OR (category <> 'advocate' AND contains(filename, 'advokat')) OR (category = 'other' AND named <> 'other') OR (category <> 'advocate' AND wanted <> category)""")
+SELECT id, category, CASE WHEN category = 'surgical_report' THEN 'surgery' WHEN category <> 'advocate' AND contains(filename, 'counsel') THEN 'advocate' WHEN category = 'other' AND named <> 'other' THEN named ELSE wanted END AS suggested,
+ CASE WHEN category = 'surgical_report' THEN 'legacy_category_merge' WHEN category <> 'advocate' AND contains(filename, 'counsel') THEN 'advocate_keyword_in_filename' WHEN category = 'other' AND named <> 'other' THEN 'filename_token_detected' ELSE 'document_type' END AS reason
+FROM n WHERE category = 'surgical_report' OR (category <> 'advocate' AND contains(filename, 'counsel')) OR (category = 'other' AND named <> 'other') OR (category <> 'advocate' AND wanted <> category)""")
 def category_audit(spark, d):
     parsed = naming.parsed_name(F.col("filename"), PERSON, CODES, ALIASES, KEYWORDS)
-    return naming.category_audit(file_rows(spark, d).withColumn("name_category", parsed["category"]), {"lab_report": "labs"}, ["advokat", "advocate"])
+    return naming.category_audit(file_rows(spark, d).withColumn("name_category", parsed["category"]), {"lab_report": "labs"}, ["counsel", "advocate"])
 
 
 @query(f"""WITH {FILES_SQL}, n AS (SELECT id, category, CASE WHEN category = 'surgical_report' THEN 'surgery' WHEN category = 'other' AND id % 8 = 1 THEN 'imaging' ELSE category END AS new FROM files)
@@ -165,11 +165,7 @@ def document_matrix_summary(spark, d):
     f"SELECT '{name}' AS kept_by, * FROM one" + (f" WHERE NOT {flag}" if flag else "") for name, flag in hygiene.FILTERS.items()
 ))
 def document_matrix(spark, d):
-    rows, out = flagged(spark, d), None
-    for name in hygiene.FILTERS:
-        part = hygiene.matrix(rows, name).select(F.lit(name).alias("kept_by"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return hygiene.matrices(flagged(spark, d))
 
 
 AUDITED_SQL = f"""{FLAGGED_SQL}, au AS (SELECT * REPLACE (has_ocr OR (has_ai AND has_metadata) AS has_ocr), mime IS NULL OR mime <> 'text/csv' AS can FROM m),

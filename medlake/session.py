@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "medlake", **conf: str) -> SparkSession:
@@ -24,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a side that may be broadcast once they were counted; beyond it the join is Spark's to plan.
+FEW = 100_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if it was counted and has `most` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; in local mode alone, a folder of our own where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)

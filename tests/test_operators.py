@@ -280,12 +280,12 @@ def test_names_of_others_in_texts(spark):
 
 
 def test_parsed_names_and_standard_names(spark):
-    parse = lambda c: naming.parsed_name(c, "AnnaTest", ["Alpha", "NOU"], {"ct": "imaging"}, [("blood", "labs")])
-    got = {x: one(spark, parse, x) for x in ("202401XX_AnnaTest_NOU_CT_a_b.pdf", "20240102_annatest_x.pdf", "20240102 AnnaTest-nou-Blood-Count.pdf", "2024-1-2 alpha ct  knee.jpg", "nothing", ".hidden", "20240102_AnnaTest.pdf", "20240102 AnnaTest-onlyblood.pdf")}
-    r = got["202401XX_AnnaTest_NOU_CT_a_b.pdf"]
-    assert (r.form, r.date, r.institution, r.category, r.description) == ("standard", date(2024, 1, 1), "NOU", "imaging", "a_b")
-    r = got["20240102 AnnaTest-nou-Blood-Count.pdf"]
-    assert (r.form, r.institution, r.category, r.description) == ("bilingual", "NOU", "other", "Count")
+    parse = lambda c: naming.parsed_name(c, "AnnaTest", ["Alpha", "ELM"], {"ct": "imaging"}, [("blood", "labs")])
+    got = {x: one(spark, parse, x) for x in ("202401XX_AnnaTest_ELM_CT_a_b.pdf", "20240102_annatest_x.pdf", "20240102 AnnaTest-elm-Blood-Count.pdf", "2024-1-2 alpha ct  knee.jpg", "nothing", ".hidden", "20240102_AnnaTest.pdf", "20240102 AnnaTest-onlyblood.pdf")}
+    r = got["202401XX_AnnaTest_ELM_CT_a_b.pdf"]
+    assert (r.form, r.date, r.institution, r.category, r.description) == ("standard", date(2024, 1, 1), "ELM", "imaging", "a_b")
+    r = got["20240102 AnnaTest-elm-Blood-Count.pdf"]
+    assert (r.form, r.institution, r.category, r.description) == ("bilingual", "ELM", "other", "Count")
     r = got["2024-1-2 alpha ct  knee.jpg"]
     assert (r.form, r.date, r.institution, r.category, r.description, r.extension) == ("legacy", date(2024, 1, 2), "Alpha", "imaging", "knee", ".jpg")
     r = got["nothing"]
@@ -296,7 +296,7 @@ def test_parsed_names_and_standard_names(spark):
     assert one(spark, name, "2024-1-2 alpha ct knee.jpg") == "20240102_AnnaTest_Alpha_Imaging_knee.jpg"
     assert one(spark, name, "20240101_AnnaTest_Unknown_Labs_x.pdf") == "20240101_AnnaTest_Unknown_Labs_x.pdf" and one(spark, name, "nothing") == "nothing"
     assert one(spark, lambda c: naming.with_part(c, F.lit(2), F.lit(3)), "a_Part1of9.pdf") == "a_Part2of3.pdf" and one(spark, lambda c: naming.with_part(c, F.lit(1), F.lit(2)), "a") == "a_Part1of2"
-    assert one(spark, lambda c: naming.institution_code(c, ["NOU"], {"bory": "B"}), " Bory ") == "B" and one(spark, lambda c: naming.institution_code(c, ["NOU"], {"bory": "B"}), "x") is None
+    assert one(spark, lambda c: naming.institution_code(c, ["ELM"], {"kestrel": "B"}), " Kestrel ") == "B" and one(spark, lambda c: naming.institution_code(c, ["ELM"], {"kestrel": "B"}), "x") is None
 
 
 def test_scalars_of_records(spark):
