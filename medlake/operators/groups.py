@@ -68,22 +68,6 @@ def cloned(base: DataFrame, reference: DataFrame, tenants: DataFrame, keys: list
     return base.unionByName(wanted.join(base.select("tenant", *keys), ["tenant", *keys], "left_anti").select(base.columns))
 
 
-def folder_paths(folders: DataFrame, deepest: int = 32) -> DataFrame:
-    """Folders (id, parent, name) with their path and depth from a root; levels are joined one by one, as deep as the tree is.
-
-    A folder whose parents do not lead to a root, or lie deeper than `deepest`, has none.
-    """
-    level = folders.where(F.col("parent").isNull()).select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, deepest + 1):
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = folders.join(up, "parent").select("id", F.concat_ws("/", "above", "name").alias("path"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
 def unexpected(listing: DataFrame, documents: DataFrame, suffix: str = "_OCR.txt") -> DataFrame:
     """Companion files of a listing (name) that belong to no document (filename)."""
     expected = documents.select(F.concat(F.regexp_replace("filename", "(?<=.)\\.[^.]*$", ""), F.lit(suffix)).alias("name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
-from medlake.operators import archive, filters, hygiene, relations, services, usage
+from medlake.operators import archive, filters, folders, hygiene, relations, services, usage
 from medlake.plans.state import TREE_SQL, fresh, tree
 from medlake.plans.upkeep import CALLS_SQL, FILES_SQL, IN_STANDARD, PERSON, call_rows, file_rows
 from medlake.session import table
@@ -164,6 +164,22 @@ def misplaced_months(spark, d):
     return services.misplaced_folders(_months(spark, d), ["labs"]).select("id", "why")
 
 
+@query(f"""WITH RECURSIVE {TREE_SQL.split(',' + chr(10))[0]}, {MONTHS_SQL}, t AS (SELECT id, lower(name) AS folded FROM m WHERE parent IS NULL UNION ALL SELECT m.id, t.folded || chr(1) || lower(m.name) FROM m JOIN t ON m.parent = t.id),
+n AS (SELECT t.id, folded, (SELECT count(*) FROM m x WHERE x.parent = t.id) AS children FROM t), k AS (SELECT folded, arg_max(id, (children, -id)) AS keeper FROM n GROUP BY 1 HAVING count(*) > 1),
+tw AS (SELECT n.id, k.keeper FROM n JOIN k ON k.folded = n.folded WHERE n.id <> k.keeper), kept AS (SELECT m.* FROM m ANTI JOIN tw ON tw.id = m.id),
+items AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN -99 ELSE l_orderkey END AS parent FROM lineitem),
+ch AS (SELECT id, parent FROM m UNION ALL SELECT id, parent FROM items), loose AS (SELECT ch.* FROM ch ANTI JOIN tw ON tw.id = ch.id),
+mo AS (SELECT c.id, c.parent, p.name AS above FROM kept c JOIN m p ON p.id = c.parent WHERE c.name LIKE '2024-%'), ne AS (SELECT id, parent FROM mo WHERE above LIKE '2024-%')
+SELECT 'merge' AS op, id, keeper AS target FROM tw UNION ALL SELECT 'trash', id, NULL FROM tw UNION ALL SELECT 'reparent', loose.id, tw.keeper FROM loose JOIN tw ON tw.id = loose.parent
+UNION ALL SELECT 'raise', loose.id, ne.parent FROM loose JOIN ne ON ne.id = loose.parent UNION ALL SELECT 'trash_nested', id, NULL FROM ne
+UNION ALL SELECT 'category', id, NULL FROM mo WHERE above NOT LIKE '2024-%' AND above <> 'labs' UNION ALL SELECT 'consolidate', id, -1 FROM items WHERE parent = -99""")
+def folder_repairs(spark, d):
+    """The plan that mends a tree of months: twins merged, nested months raised, strays marked, items outside the tree consolidated."""
+    line = F.col("l_linenumber")
+    items = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + line).alias("id"), F.when(line == 7, F.lit(-99).cast("long")).otherwise(F.col("l_orderkey")).alias("parent"))
+    return folders.repair_plan(_months(spark, d), items, ["labs"])
+
+
 # -- scalars ----------------------------------------------------------------------------------
 
 

@@ -279,9 +279,9 @@ def _named_ends(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     return out.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), "l_orderkey", "source_name", "target_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def anti_not_in(spark, d):
-    return relations.not_in(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", table(spark, d, "orders"), "o_custkey")
+    return relations.not_in(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", table(spark, d, "orders").where("o_orderstatus = 'P'"), "o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -290,13 +290,10 @@ def exists_semi(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
 
 
-@query("""SELECT p_partkey, p_brand AS tenant, named, name FROM part JOIN (SELECT DISTINCT 'Brand#' || CAST(n_nationkey AS VARCHAR) AS named, lower(split_part(p.p_name, ' ', 2)) AS name
- FROM nation JOIN part p ON p.p_partkey = n_nationkey) x ON contains(lower(p_name), name) AND named <> p_brand WHERE length(name) >= 4""")
+@query("""SELECT p_partkey, p_brand AS tenant, named, name FROM part JOIN (SELECT DISTINCT p_brand AS named, lower(split_part(p_name, ' ', 2)) AS name FROM part) x ON contains(lower(p_name), name) AND named <> p_brand WHERE length(name) >= 4""")
 def theta_contains(spark, d):
     parts = table(spark, d, "part")
-    names = table(spark, d, "nation").join(parts, F.col("p_partkey") == F.col("n_nationkey")).select(
-        F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("tenant"), F.split("p_name", " ")[1].alias("name")
-    ).distinct()
+    names = parts.select(F.col("p_brand").alias("tenant"), F.split("p_name", " ")[1].alias("name")).distinct()
     texts = parts.select("p_partkey", F.col("p_brand").alias("tenant"), F.col("p_name").alias("text"))
     return relations.names_of_others(texts, names).select("p_partkey", "tenant", "named", "name")
 

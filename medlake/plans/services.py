@@ -38,12 +38,12 @@ def insert_quota(spark, d):
     return services.insert_within_quota(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 <> 0"), "o_custkey", ["o_orderkey"], 6)
 
 
-@query("""WITH r AS (SELECT user_id, event_type, event_id, value FROM events), base AS (SELECT * FROM r WHERE event_id % 2 = 0), n AS (SELECT * FROM r WHERE event_id % 2 = 1 AND user_id % 3 = 0),
+@query("""WITH r AS (SELECT user_id, event_type, event_id, value FROM events), base AS (SELECT * FROM r WHERE event_id % 2 = 0 OR user_id % 3 <> 0), n AS (SELECT * FROM r WHERE event_id % 2 = 1 AND user_id % 3 = 0),
 l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
 SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = b.user_id AND l.event_type = b.event_type) UNION ALL SELECT * FROM l""")
 def insert_replace(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
-    return services.insert_or_replace(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 and user_id % 3 = 0"), ["user_id", "event_type"], [F.desc("event_id")])
+    return services.insert_or_replace(e.where("event_id % 2 = 0 or user_id % 3 <> 0"), e.where("event_id % 2 = 1 and user_id % 3 = 0"), ["user_id", "event_type"], [F.desc("event_id")])
 
 
 @query("""SELECT user_id, event_id, ts, event_type = 'error' AS gone FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'""")
@@ -149,12 +149,12 @@ def treatments_with_labs(spark, d):
     return services.with_labs(e, values, "tenant", "day", "lab_date").select("o_orderkey", "tenant", "day", "labs")
 
 
-@query(f"""WITH l AS ({LABS_SQL}), s AS (SELECT tenant, parameter, lab_date, id % 500 AS document FROM l WHERE id % 2 = 0), i AS (SELECT id, tenant, parameter, lab_date, (id // 2) % 500 AS document FROM l WHERE id % 7 = 0),
+@query(f"""WITH l AS ({LABS_SQL}), s AS (SELECT tenant, parameter, lab_date, id % 500 AS document FROM l WHERE id % 7 <> 0), i AS (SELECT id, tenant, parameter, lab_date, (id // 2) % 500 AS document FROM l WHERE id % 7 = 0),
 o AS (SELECT tenant, parameter, lab_date, min(document) AS low, max(document) AS high FROM s GROUP BY ALL)
 SELECT i.*, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.document = i.document AND s.parameter = i.parameter) THEN 'stored' WHEN low <> i.document OR high <> i.document THEN 'collision' ELSE 'new' END AS state
 FROM i LEFT JOIN o ON o.tenant = i.tenant AND o.parameter = i.parameter AND o.lab_date = i.lab_date""")
 def stored_labs(spark, d):
     rows = lab_rows(spark, d)
-    stored = rows.where("id % 2 = 0").select("tenant", "parameter", "lab_date", (F.col("id") % 500).alias("document"))
+    stored = rows.where("id % 7 <> 0").select("tenant", "parameter", "lab_date", (F.col("id") % 500).alias("document"))
     new = rows.where("id % 7 = 0").select("id", "tenant", "parameter", "lab_date", (F.floor(F.col("id") / 2).cast("long") % 500).alias("document"))
     return services.stored_state(new, stored, "document", "parameter", "tenant", "lab_date")

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
-from medlake.operators import archive, filters, groups, hygiene, labs, naming, relations, usage
+from medlake.operators import archive, filters, folders, groups, hygiene, labs, naming, relations, usage
 from medlake.plans.services import DAILY_SQL, LABS_SQL, lab_rows
 from medlake.session import table
 
@@ -466,7 +466,7 @@ def reference_clone(spark, d):
 t AS (SELECT id, name AS path, 0 AS depth FROM f WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, depth + 1 FROM f JOIN t ON f.parent = t.id) SELECT * FROM t""")
 def folder_tree(spark, d):
     parent = F.when(F.col("p_partkey") > 5, F.floor(F.col("p_partkey") / 4))
-    return groups.folder_paths(table(spark, d, "part").select(F.col("p_partkey").alias("id"), parent.alias("parent"), F.col("p_brand").alias("name")))
+    return folders.paths(table(spark, d, "part").select(F.col("p_partkey").alias("id"), parent.alias("parent"), F.col("p_brand").alias("name")))
 
 
 @query("""WITH b AS (SELECT o_custkey AS tenant, o_orderstatus AS category, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) AS names FROM orders GROUP BY 1, 2),

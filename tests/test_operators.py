@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
-from medlake.operators import archive, filters, groups, labs, naming, relations, usage
+from medlake.operators import archive, filters, folders, groups, labs, naming, relations, usage
 from medlake.plans import governance, registry
 from medlake.sources import files
 from medlake.streaming import streams
@@ -314,7 +314,7 @@ def test_trash_and_live(spark):
 
 def test_folders_without_a_root_have_no_path(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 5, "x"), (5, 4, "y"), (6, 9, "z")], "id long, parent long, name string")
-    assert {r.id: (r.path, r.depth) for r in groups.folder_paths(rows).collect()} == {1: ("a", 0), 2: ("a/b", 1), 3: ("a/b/c", 2)}
+    assert {r.id: (r.path, r.depth) for r in folders.paths(rows).collect()} == {1: ("a", 0), 2: ("a/b", 1), 3: ("a/b/c", 2)}
 
 
 def test_governed_sql_sees_one_tenant_however_written(spark):
