@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlake.llm.common import arrow_batches, mapped
+from medlake.llm.common import arrow_batches, mapped, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -155,42 +155,43 @@ def _path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
-#: Groups that the last pass deals the pages of one host to.
-SALTS = 256
+#: Pages before and after a page, by path within the host, that are candidates for its mate.
+REACH = 2
 
 
-#: Pages before and after a page that are candidates for its mate, at each level.
-REACH = 2
+def _with_guests(rows: DataFrame) -> DataFrame:
+    """Rows in range partitions by host, path and page_id, each with the REACH rows before and after it as guests: part, at (the order) and guest.
+
+    The edges of all partitions, a few rows each, are ordered by themselves; no group of rows stands in one task.
+    """
+    by = ["host", "path", "page_id"]
+    placed = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*by, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "placed")
+    up, down = Window.partitionBy("part").orderBy("at"), Window.partitionBy("part").orderBy(F.desc("at"))
+    edges = placed.withColumns({"nth": F.row_number().over(up), "last": F.row_number().over(down)}).where((F.col("nth") <= REACH) | (F.col("last") <= REACH))
+    whole, sides = Window.orderBy("at"), []
+    for nth, f in (("nth", F.lag), ("last", F.lead)):
+        row = F.struct(*by, "at")
+        beyond = edges.withColumns({f"g{k}": f(row, k).over(whole) for k in range(1, REACH + 1)}).where(F.col(nth) == 1)
+        sides.append(beyond.select("part", F.explode(F.array_compact(F.array(*(f"g{k}" for k in range(1, REACH + 1))))).alias("g")).select("g.host", "g.path", "g.page_id", "part", "g.at"))
+    guests = sides[0].unionByName(sides[1])
+    return placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
 
 
 def nearest(pages: DataFrame) -> DataFrame:
     """page_id, mate_id and place: the pages before and after it by path within the host, least place for who shares most of the path.
 
-    Only ids and urls take part.  Pages are first matched within host, folder and the
-    first two letters of the last part, so that no group holds a large host; pages left
-    with fewer than 2 * REACH mates are matched by folder too, and then by host.
+    Only ids and urls take part.  Every page of a host with other pages has a mate.
     """
     rows = pages.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.min("url").alias("url"))
-    rows = rows.select("page_id", _host(F.col("url")).alias("host"), F.regexp_replace(_path(F.col("url")), "/+$", "").alias("path"))
-    rows = rows.withColumn("leaf", F.substring_index("path", "/", -1)).withColumn("folder", F.expr("left(path, length(path) - length(leaf))"))
-    levels = [["host", "folder", F.substring("leaf", 1, 2)], ["host", "folder"], ["host", F.pmod(F.xxhash64("folder"), F.lit(SALTS))]]
-    found, left = None, rows
-    for level, keys in enumerate(levels):
-        w = Window.partitionBy(*keys).orderBy("path", "page_id")
-        at = [(f, by, 2 * by + side) for by in range(1, REACH + 1) for side, f in enumerate((F.lag, F.lead))]
-        sides = left.withColumns({f"{c}_{n}": f(c, by).over(w) for f, by, n in at for c in ("page_id", "path")})
-        mates = [
-            F.when(
-                F.col(f"page_id_{n}").isNotNull(),
-                F.struct((F.lit((level + 1) << 20) - _shared_prefix(f"path_{n}", "path") * 16 + n).alias("place"), F.col(f"page_id_{n}").alias("mate_id")),
-            )
-            for _, _, n in at
-        ]
-        sides = sides.withColumn("mates", F.array_compact(F.array(*mates)))
-        done = sides.select("page_id", F.inline("mates"))
-        found = done if found is None else found.unionByName(done)
-        left = sides.where(F.size("mates") < 2 * REACH).select(rows.columns)
-    return found.groupBy("page_id", "mate_id").agg(F.min("place").alias("place"))
+    rows = _with_guests(rows.select("page_id", _host(F.col("url")).alias("host"), F.regexp_replace(_path(F.col("url")), "/+$", "").alias("path")))
+    w = Window.partitionBy("part").orderBy("at")
+    at = [(f, by, 2 * by + side) for by in range(1, REACH + 1) for side, f in enumerate((F.lag, F.lead))]
+    sides = rows.withColumns({f"{c}_{n}": f(c, by).over(w) for f, by, n in at for c in ("page_id", "path", "host")}).where("not guest")
+    mates = [
+        F.when(F.col(f"host_{n}") == F.col("host"), F.struct((F.lit(1 << 20) - _shared_prefix(f"path_{n}", "path") * 16 + n).alias("place"), F.col(f"page_id_{n}").alias("mate_id")))
+        for _, _, n in at
+    ]
+    return sides.select("page_id", F.inline(F.array_compact(F.array(*mates)))).groupBy("page_id", "mate_id").agg(F.min("place").alias("place"))
 
 
 def _shared_prefix(a: str, b: str) -> Column:
