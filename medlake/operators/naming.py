@@ -14,7 +14,8 @@ TOKENS = {
     "discharge_summary": "DischargeSummary", "chemo_sheet": "ChemoSheet", "reference": "Reference", "advocate": "Advocate", "other": "Other", "vaccination": "Vaccination",
     "dental": "Dental", "preventive": "Preventive",
 }
-BY_TOKEN = {t.lower(): c for c, t in TOKENS.items()} | {"ct": "imaging"}
+#: Tokens of old names count as imaging too.
+BY_TOKEN = {t.lower(): c for c, t in TOKENS.items()} | {"ct": "imaging", "usg": "imaging"}
 MERGED = {"surgical_report": "surgery", "discharge_summary": "discharge"}
 STAYING = ("advocate", "reference")
 PART = "_?Part\\d+of\\d+$"

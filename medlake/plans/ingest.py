@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
-from medlake.operators import archive, filters, folders, hygiene, relations, services, usage
+from medlake.operators import archive, filters, folders, hygiene, naming, relations, services, usage
 from medlake.plans.state import TREE_SQL, fresh, tree
-from medlake.plans.upkeep import CALLS_SQL, FILES_SQL, IN_STANDARD, PERSON, call_rows, file_rows
+from medlake.plans.upkeep import ALIASES, CALLS_SQL, CODES, FILES_SQL, IN_STANDARD, KEYWORDS, PERSON, call_rows, file_rows
 from medlake.session import table
 from medlake.sources import files
 
@@ -215,6 +215,56 @@ def folded_letters(spark, d):
     return table(spark, d, "documents").select("doc_id", S.fold(t).alias("folded"))
 
 
+# -- names of files, parsed by both engines ------------------------------------------------------
+
+#: Names put together of five parts each, by the digits of doc_id: some 700 shapes.
+SHAPED = """concat(CASE WHEN doc_id % 4 = 0 THEN concat('202401', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0')) WHEN doc_id % 4 = 1 THEN '202402XX' WHEN doc_id % 4 = 2 THEN concat('2024-3-', CAST(doc_id % 28 + 1 AS STRING)) ELSE '20241399' END,
+ CASE WHEN floor(doc_id / 4) % 4 = 0 THEN '_AnnaTest_' WHEN floor(doc_id / 4) % 4 = 1 THEN ' AnnaTest-' WHEN floor(doc_id / 4) % 4 = 2 THEN '_' ELSE ' annatest-' END,
+ CASE WHEN floor(doc_id / 16) % 4 = 0 THEN 'Alpha' WHEN floor(doc_id / 16) % 4 = 1 THEN 'elm' WHEN floor(doc_id / 16) % 4 = 2 THEN 'Unknown' ELSE 'Foo' END,
+ CASE WHEN floor(doc_id / 64) % 5 = 0 THEN '_Labs_' WHEN floor(doc_id / 64) % 5 = 1 THEN '-Blood-' WHEN floor(doc_id / 64) % 5 = 2 THEN '_xyz_' WHEN floor(doc_id / 64) % 5 = 3 THEN '_usg_' ELSE '_' END,
+ CASE WHEN floor(doc_id / 7) % 4 = 0 THEN 'letter one' WHEN floor(doc_id / 7) % 4 = 1 THEN 'scan_1' WHEN floor(doc_id / 7) % 4 = 2 THEN 'x-y' ELSE 'AnnaTest' END, CASE WHEN doc_id % 3 = 0 THEN '.PDF' WHEN doc_id % 3 = 1 THEN '.docx' ELSE '' END)"""
+
+
+def _one_of(value: str, names: dict[str, str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+def _infer(value: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({value}), '{k}') THEN '{v}'" for k, v in KEYWORDS) + " ELSE 'other' END"
+
+
+_CODE = _one_of("lower({0})", {c.lower(): c for c in CODES})
+_DATE = "(\\d{8}|\\d{6}XX|\\d{4}-\\d{1,2}-\\d{1,2})"
+NAMES_SQL = f"""n AS (SELECT doc_id AS id, {SHAPED} AS name FROM documents), s AS (SELECT *, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS st, nullif(lower(regexp_extract(name, '(\\.[^./]+)$', 1)), '') AS extension,
+ CASE WHEN regexp_matches(name, '^\\d{{6}}XX') THEN CAST(try_strptime(substr(name, 1, 6) || '01', '%Y%m%d') AS DATE) WHEN regexp_matches(name, '^\\d{{8}}') THEN coalesce(CAST(try_strptime(substr(name, 1, 8), '%Y%m%d') AS DATE), CAST(try_strptime(substr(name, 1, 6) || '01', '%Y%m%d') AS DATE))
+  ELSE CAST(try_strptime(regexp_extract(name, '^(\\d{{4}}-\\d{{1,2}}-\\d{{1,2}})', 1), '%Y-%m-%d') AS DATE) END AS date FROM n),
+p AS (SELECT *, string_split(regexp_replace(st, '^{_DATE}[_]*', ''), '_') AS p, string_split(regexp_replace(regexp_replace(st, '^{_DATE}[ _-]*', ''), '^(?i:{PERSON})-*', ''), '-') AS q0,
+ list_filter(string_split_regex(CASE WHEN date IS NULL THEN st ELSE regexp_replace(st, '^{_DATE}[_ -]*', '') END, '[_\\-\\s]+'), lambda w: w <> '') AS w FROM s),
+q AS (SELECT *, CASE WHEN len(q0) > 2 THEN [q0[1], q0[2], array_to_string(q0[3:], '-')] ELSE q0 END AS q FROM p),
+f AS (SELECT *, CASE WHEN date IS NOT NULL AND (contains(st, '_{PERSON}_') OR starts_with(st, '{PERSON}_')) AND len(p) >= 2 AND lower(p[1]) = '{PERSON.lower()}' THEN 'standard' WHEN date IS NOT NULL AND contains(st, ' ') AND contains(lower(st), '{PERSON.lower()}') THEN 'bilingual' ELSE 'legacy' END AS form,
+ {_one_of('lower(p[3])', naming.BY_TOKEN)} AS token, list_transform(w, lambda x: {_CODE.format('x')}) AS codes FROM q),
+g AS (SELECT *, nullif(array_to_string(CASE WHEN token IS NULL THEN p[3:] ELSE p[4:] END, '_'), '') AS std, nullif(coalesce(q[3], q[2], q[1]), '') AS bil, list_position(list_transform(codes, lambda x: x IS NOT NULL), true) AS pos FROM f),
+h AS (SELECT *, CASE WHEN pos > 0 THEN list_concat(w[1:pos - 1], w[pos + 1:]) ELSE w END AS left_over FROM g), k AS (SELECT *, list_transform(left_over, lambda x: {_one_of('lower(x)', ALIASES)}) AS kinds FROM h),
+l AS (SELECT *, list_position(list_transform(kinds, lambda x: x IS NOT NULL), true) AS named FROM k), m AS (SELECT *, nullif(array_to_string(CASE WHEN named > 0 THEN list_concat(left_over[1:named - 1], left_over[named + 1:]) ELSE left_over END, ' '), '') AS free FROM l)"""
+
+
+@query(f"""WITH {NAMES_SQL} SELECT id, name, form, date, extension, CASE form WHEN 'standard' THEN CASE WHEN len(p) >= 3 THEN p[2] END WHEN 'bilingual' THEN CASE WHEN len(q) >= 2 THEN coalesce({_CODE.format('q[1]')}, q[1]) END ELSE CASE WHEN pos > 0 THEN codes[pos] END END AS institution,
+ CASE form WHEN 'standard' THEN CASE WHEN len(p) < 3 THEN 'other' ELSE coalesce(token, {_infer("coalesce(std, '')")}) END WHEN 'bilingual' THEN {_infer("coalesce(bil, '')")} ELSE CASE WHEN named > 0 THEN kinds[named] ELSE {_infer("coalesce(free, '')")} END END AS category,
+ CASE form WHEN 'standard' THEN CASE WHEN len(p) >= 3 THEN std END WHEN 'bilingual' THEN bil ELSE free END AS description FROM m""")
+def name_shapes(spark, d):
+    """Names of several hundred shapes by the three grammars."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(SHAPED).alias("name"))
+    return rows.select("id", "name", naming.parsed_name(F.col("name"), PERSON, CODES, ALIASES, KEYWORDS).alias("x")).select("id", "name", "x.*")
+
+
+@query(f"""WITH {NAMES_SQL}, r AS (SELECT *, string_split(regexp_extract(st, '^\\d{{8}}_{PERSON}_(.*)$', 1), '_') AS r FROM p)
+SELECT id, coalesce(len(r) >= 2 AND r[1] <> 'Unknown' AND {_one_of('lower(r[2])', naming.BY_TOKEN)} IS NOT NULL, false) AS is_standard, length(name) > 255 OR (length(st) - length(replace(st, '{PERSON}', ''))) / {len(PERSON)} >= 3 AS is_corrupt FROM r""")
+def name_checks(spark, d):
+    """Which of these names are standard, and which are corrupt."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(SHAPED).alias("name"))
+    return rows.select("id", naming.is_standard_name(F.col("name"), PERSON).alias("is_standard"), naming.is_corrupt_name(F.col("name"), PERSON).alias("is_corrupt"))
+
+
 # -- reports -----------------------------------------------------------------------------------
 
 _BLANKED = "d AS (SELECT id, filename, CASE WHEN id % 5 = 1 THEN '' ELSE summary END AS summary, metadata, remote_id, document_date, institution FROM files)"
