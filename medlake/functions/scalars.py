@@ -51,11 +51,11 @@ def contains_ascii(c: Column, term: str) -> Column:
 def without_diacritics(c: Column) -> Column:
     """Text in compatibility decomposition without its combining marks; letters that have none, such as l with stroke or sharp s, stay."""
     table = F.from_json(F.lit(json.dumps(LONGER)), "map<string,string>")
-    some = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in LONGER) + "]"
 
     def plain(t: Column) -> Column:
         spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-        return F.when(t.rlike("[^\\x00-\\x7F]"), F.translate(F.when(t.rlike(some), spelled).otherwise(t), COMPOSED, PLAIN)).otherwise(t)
+        some = F.translate(t, "".join(LONGER), "") != t  # a look-up a letter, where a class of a thousand letters would be tried one by one
+        return F.when(t.rlike("[^\\x00-\\x7F]"), F.translate(F.when(some, spelled).otherwise(t), COMPOSED, PLAIN)).otherwise(t)
 
     # inside a lambda the text is named and not written out again, however long its own expression is
     return F.transform(F.array(c), plain)[0]

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from medlake.functions.scalars import fold
 from medlake.session import if_few
 
-BUCKETS = 64
+#: Buckets of an index; one of many terms and texts takes more.
+BUCKETS = 16
 SCHEMA = "term string, id long, field string, positions array<int>, bucket int"
 
 
@@ -23,8 +24,8 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def _bucket(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+def _bucket(c: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
 def postings(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
@@ -38,9 +39,9 @@ def postings(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     return out.groupBy("id", "field", "term").agg(F.array_sort(F.collect_set("at")).alias("positions")).select("term", "id", "field", "positions")
 
 
-def build(df: DataFrame, id_column: str, fields: list[str], path: str) -> None:
+def build(df: DataFrame, id_column: str, fields: list[str], path: str, buckets: int = BUCKETS) -> None:
     """Write the index of a table; rows of a bucket lie together, by term, and a frequent term over many files."""
-    rows = postings(df, id_column, fields).withColumn("bucket", _bucket("term"))
+    rows = postings(df, id_column, fields).withColumn("bucket", _bucket("term", buckets))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
     dealt.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
@@ -49,13 +50,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def search(index: DataFrame, queries: DataFrame) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """query_id, id, field and hits (how often the phrase stands there) for queries (query_id, phrase); a phrase without a word finds nothing.
 
     The queries are the small side; how many words they have is counted before they are broadcast.
     """
     words = queries.select("query_id", terms(F.col("phrase")).alias("words")).where(F.size("words") > 0)
-    words = words.select("query_id", F.size("words").alias("size"), F.posexplode("words").alias("place", "term")).withColumn("bucket", _bucket("term"))
+    words = words.select("query_id", F.size("words").alias("size"), F.posexplode("words").alias("place", "term")).withColumn("bucket", _bucket("term", buckets))
     asked = if_few(words)
     # terms of a phrase that a text lacks end it before any position is looked at
     met = index.join(asked, ["bucket", "term"]).select("query_id", "size", "id", "field", F.explode("positions").alias("at"), "place")
