@@ -40,7 +40,8 @@ def test_every_operator_has_its_query():
 def test_oracle(spark, name):
     """Against DuckDB, on the smallest tables."""
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for name_of in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{SF_DIR}/{name_of}.parquet'")
     df, cur = queries.QUERIES[name](spark, SF_DIR), con.execute(queries.ORACLES[name])
     columns = [c[0] for c in cur.description]
     want = sorted(tuple(dict(zip(columns, r, strict=True))[c] for c in sorted(columns)) for r in cur.fetchall())
