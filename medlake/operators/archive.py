@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlake.functions.scalars import contains_ascii, first_match, fold, reasons, shortened, year_month
+from medlake.operators import ordering
 from medlake.session import if_few
 
 
@@ -191,3 +192,18 @@ def library(df: DataFrame) -> DataFrame:
     lines = F.transform(F.array_sort(F.collect_list(F.struct("kind", "ref", line.alias("line")))), lambda x: x["line"])
     rows = df.groupBy("topic").agg(lines.alias("lines"))
     return rows.select("topic", F.concat(F.lit("## "), "topic", F.lit("\n"), F.array_join("lines", "\n")).alias("markdown"))
+
+
+def library_pages(df: DataFrame, size: int = 1000) -> DataFrame:
+    """library() in pages (topic, page from 0, markdown) of `size` lines at most, each under the topic's heading: a topic may have any number of rows."""
+    rows = df.select("topic", "kind", "ref")
+    line = F.concat(F.lit("- ["), F.coalesce("kind", F.lit("")), F.lit("] "), F.coalesce(F.col("ref").cast("string"), F.lit("")))
+    pages = ordering.blocks(rows, ["topic"], ["kind", "ref"], line, size)
+    return pages.select("topic", F.col("block").alias("page"), F.concat(F.lit("## "), F.coalesce("topic", F.lit("")), F.lit("\n"), "text").alias("markdown"))
+
+
+def month_log_pages(df: DataFrame, size: int = 1000) -> DataFrame:
+    """month_log() in pages (month, page from 0, lines, markdown) of `size` lines at most; rows without a day are under the month null."""
+    line = F.concat(F.lit("- "), F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("undated")), F.lit(" "), F.coalesce("title", F.lit("")))
+    rows = df.select(year_month(F.col("day")).alias("month"), "day", "title")
+    return ordering.blocks(rows, ["month"], ["day", "title"], line, size).select("month", F.col("block").alias("page"), "lines", F.col("text").alias("markdown"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medlake.operators import ordering
 from medlake.operators.archive import broken_groups
 from medlake.operators.naming import with_part
 
@@ -82,6 +83,14 @@ def package(docs: DataFrame, events: DataFrame) -> DataFrame:
     return shelves.join(line, "tenant", "full_outer")
 
 
+def package_rows(docs: DataFrame, events: DataFrame) -> DataFrame:
+    """package() as rows (tenant, shelf, nth from 1, entry), for tenants of any size: a shelf for each category and the shelf `timeline`."""
+    shelves = docs.select("tenant", F.concat(F.lit("documents/"), F.coalesce("category", F.lit(""))).alias("shelf"), F.col("filename").alias("entry"))
+    line = F.concat_ws(" ", F.date_format("day", "yyyy-MM-dd"), "title")
+    rows = shelves.unionByName(events.select("tenant", F.lit("timeline").alias("shelf"), line.alias("entry")))
+    return ordering.placed(rows, ["tenant", "shelf"], ["entry"]).select("tenant", "shelf", "nth", "entry")
+
+
 def restore_check(manifest: DataFrame, restored: DataFrame) -> DataFrame:
     """Tables of a manifest whose restored form differs in rows or content, or is not there."""
     now = restored.select("name", F.col("rows").alias("now_rows"), F.col("high").alias("now_high"), F.col("low").alias("now_low"))

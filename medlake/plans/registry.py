@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, labs, relations, usage
-from medlake.plans import exports, governance, ingest, services, state, upkeep
+from medlake.plans import exports, governance, ingest, ordered, services, state, upkeep
+from medlake.plans.services import CALLS as CALLS_SQL
+from medlake.plans.services import DAILY_SQL, LABS_SQL, call_rows, lab_rows
 from medlake.session import shared_dir, table
 from medlake.streaming import streams
 
@@ -20,31 +22,6 @@ ORACLES: dict[str, str] = {}
 
 AS_OF = datetime(2024, 1, 31)
 
-# -- the driver's tables as the archive's ------------------------------------------------
-
-LABS_SQL = "SELECT user_id AS tenant, event_type AS parameter, CAST(ts AS DATE) AS lab_date, value, event_id AS id FROM events"
-CALLS_SQL = (
-    "SELECT event_id AS id, user_id AS tenant, event_type AS call_type, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,"
-    " CAST(json_extract(props, '$.k') AS BIGINT) AS tokens_in, CAST(json_extract(props, '$.k') AS BIGINT) * 2 AS tokens_out,"
-    " CAST(floor(value * 10) AS BIGINT) AS duration_ms, CASE WHEN event_id % 3 = 0 THEN value / 1000 END AS cost_usd FROM events"
-)
-DAILY_SQL = f"daily AS (SELECT tenant, parameter, lab_date, arg_max(value, id) AS value FROM ({LABS_SQL}) GROUP BY ALL)"
-
-
-def lab_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(
-        F.col("user_id").alias("tenant"), F.col("event_type").alias("parameter"), F.to_date("ts").alias("lab_date"), "value", F.col("event_id").alias("id")
-    )
-
-
-def call_rows(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("tenant"), F.col("event_type").alias("call_type"), "ts",
-        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), k.alias("tokens_in"), (k * 2).alias("tokens_out"),
-        F.floor(F.col("value") * 10).cast("long").alias("duration_ms"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 1000).alias("cost_usd"),
-    )
-
 
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their label, where they have one."""
@@ -611,6 +588,11 @@ ORACLES.update(state.ORACLES)
 QUERIES.update(ingest.QUERIES)
 ORACLES.update(ingest.ORACLES)
 
+# -- places, pages and percentiles of groups of any size ----------------------------------------
+
+QUERIES.update(ordered.QUERIES)
+ORACLES.update(ordered.ORACLES)
+
 # -- further names of queries that read their whole tables --------------------------------------
 
 for _name, _whole in {"lab_series_delta_whole": lab_series_delta, "double_dim_join_whole": double_dim_join, "version_chain_whole": version_chain_recursive, "neighbours_whole": neighbours}.items():

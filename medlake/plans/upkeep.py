@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, filters, folders, groups, hygiene, labs, naming, relations, usage
-from medlake.plans.services import DAILY_SQL, LABS_SQL, lab_rows
+from medlake.plans.services import CALLS, DAILY_SQL, LABS_SQL, call_rows, lab_rows
 from medlake.session import table
 
 QUERIES: dict = {}
@@ -310,18 +310,7 @@ def status_counts(spark, d):
     return labs.status_counts(labs.summary(lab_rows(spark, d)).select("tenant", status.alias("status")))
 
 
-CALLS_SQL = (
-    "c AS (SELECT event_id AS id, user_id AS tenant, event_type AS call_type, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens_in,"
-    " CAST(json_extract(props, '$.k') AS BIGINT) * 2 AS tokens_out, CAST(floor(value * 10) AS BIGINT) AS duration_ms, CASE WHEN event_id % 3 = 0 THEN value / 1000 END AS cost_usd FROM events)"
-)
-
-
-def call_rows(spark, d):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("tenant"), F.col("event_type").alias("call_type"), "ts", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
-        k.alias("tokens_in"), (k * 2).alias("tokens_out"), F.floor(F.col("value") * 10).cast("long").alias("duration_ms"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 1000).alias("cost_usd"),
-    )
+CALLS_SQL = f"c AS ({CALLS})"
 
 
 @query(f"""WITH {CALLS_SQL} SELECT tenant, CAST(round(coalesce(sum(CAST(cost_usd AS DECIMAL(18,8))), 0), 4) AS DOUBLE) AS cost_usd, count(*) AS calls FROM c WHERE status = 'ok' AND ts >= TIMESTAMP '2024-01-29 12:00:00' GROUP BY 1""")
