@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -403,6 +404,40 @@ def test_leaks(spark, none):
     assert len(decontaminate.item_blocks(bench, 3)) > 1 and sum(map(len, decontaminate.item_blocks(bench, 3))) == 7
 
 
+def plain_leak(item, text):
+    """Least edit distance of an item to any stretch of a text if within the budget, else None; for items that are not short."""
+    item, text = (re.sub(r"\s+", " ", x or "").strip().lower() for x in (item, text))
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row) if item and min(row) <= int(len(item) * decontaminate.RATE) else None
+
+
+def test_leaks_of_every_pair_by_brute_force(spark):
+    """Each document against each item: substitutions, insertions and deletions below, at and above the budget."""
+    rng = random.Random(16)
+    items = [words(rng, n) for n in (8, 10, 12, 16, 24)]
+    assert min(map(len, items)) >= decontaminate.SHORT
+    texts = [None, "", " \n"]
+    for k in range(60):
+        item = list(items[k % 5])
+        for _ in range(rng.randint(0, 2 * decontaminate.budget(len(item)) + 1)):
+            at = rng.randrange(len(item))
+            item[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        texts.append(words(rng, rng.randint(0, 8)) + rng.choice(["", " ", "\n\t"]) + "".join(item) + rng.choice(["", " "]) + words(rng, rng.randint(0, 8)))
+    texts += [items[0] + " " + items[3], items[1] * 2, items[4][:-1]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {(d, i): n for d, t in enumerate(texts) for i, item in enumerate(items) if (n := plain_leak(item, t)) is not None}
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(df, bench).collect()}
+    assert got.keys() == want.keys() and len(want) > 25
+    assert all(want[k] <= n <= decontaminate.budget(len(items[k[1]])) for k, n in got.items())
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_short_items_match_as_whole_words(spark):
     docs = spark.createDataFrame([(1, "a Tiny thing"), (2, "tinyness"), (3, "so tiny!"), (4, None), (5, "xx")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "tiny"), (8, " "), (9, "xx")], "item_id long, text string")
