@@ -57,7 +57,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]
     Equal values are counted first, so that what is sorted is the distinct ones; those at the ranks wanted are two a percentile.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = running(counted, keys, ["__value"], "__upto", F.col("__n"))
+    ranks = _cut(running(counted, keys, ["__value"], "__upto", F.col("__n")))
     sizes = ranks.groupBy(*keys).agg(F.max("__upto").alias("n")).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "n")
     same = F.lit(True)
     for i, k in enumerate(keys):
@@ -79,7 +79,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]
 
 def group_rows(df: DataFrame, keys: list[str], order: list[str | Column], least: int = 2) -> DataFrame:
     """The rows of groups of at least so many, with the size `n` of their group and their place `nth` in it: no group is listed in one row."""
-    ranks = placed(df, keys, order)
+    ranks = _cut(placed(df, keys, order))
     sizes = ranks.groupBy(*keys).agg(F.max("nth").alias("n")).where(F.col("n") >= least)
     sizes = sizes.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "n")
     same = F.lit(True)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlake.session import shared_dir
+from medlake.session import if_few, shared_dir
 
 
 def scoped(rows: DataFrame, owners: DataFrame, key: str, owner_key: str, tenant: object, column: str = "tenant") -> DataFrame:
@@ -16,9 +16,13 @@ def scoped(rows: DataFrame, owners: DataFrame, key: str, owner_key: str, tenant:
     return rows.join(own, key)
 
 
-def both_ends(links: DataFrame, nodes: DataFrame, node: str, columns: list[str]) -> DataFrame:
-    """Links with the columns of both ends, as source_<c> and target_<c>; links to missing nodes go."""
-    ends = [nodes.select(F.col(node).alias(e), *(F.col(c).alias(f"{e}_{c}") for c in columns)) for e in ("source", "target")]
+def both_ends(links: DataFrame, nodes: DataFrame, node: str, columns: list[str], targets: DataFrame | None = None) -> DataFrame:
+    """Links with the columns of both ends, as source_<c> and target_<c>; links to missing nodes go.
+
+    Targets may have a table of their own, of the same columns as nodes.
+    """
+    sides = {"source": nodes, "target": nodes if targets is None else targets}
+    ends = [side.select(F.col(node).alias(e), *(F.col(c).alias(f"{e}_{c}") for c in columns)) for e, side in sides.items()]
     return links.join(ends[0], "source").join(ends[1], "target")
 
 
@@ -57,15 +61,16 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: str, compared: list[str])
 def names_of_others(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
     """Texts that contain a name (tenant, name) of another tenant, whatever the case.
 
-    Names shorter than `least` say too little.  A text meets a name by the name's first `least` letters, which it holds,
-    so that both sides shuffle by a key and neither is broadcast; what meets is then compared whole.
+    Names shorter than `least` say too little.  A text meets a name by the name's first `least` letters, which it holds;
+    what meets is then compared whole.  Names that were counted and are few are broadcast, so that no letters of texts
+    are shuffled; beyond that both sides shuffle by these letters, each distinct one of a text once.
     """
     n = names.where(F.length("name") >= least).select(F.col("tenant").alias("named"), F.lower("name").alias("name"))
     n = n.where(F.length("name") >= least).withColumn("__head", F.substring("name", 1, least))
     low = F.lower("text")
     heads = F.transform(F.sequence(F.lit(1), F.length(low) - (least - 1)), lambda i: F.substring(low, i, F.lit(least)))
     rows = texts.where(F.length(low) >= least).withColumn("__head", F.explode(F.array_distinct(heads)))
-    return rows.join(n, "__head").where(low.contains(F.col("name")) & (F.col("named") != F.col("tenant"))).drop("__head")
+    return rows.join(if_few(n), "__head").where(low.contains(F.col("name")) & (F.col("named") != F.col("tenant"))).drop("__head")
 
 
 def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:

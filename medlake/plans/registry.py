@@ -249,11 +249,10 @@ def double_dim_join(spark, d):
 
 
 def _named_ends(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
-    links = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "l_suppkey", "l_partkey", "l_orderkey")
-    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    p = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"))
-    out = relations.both_ends(links, s.unionByName(p), "id", ["name"])
-    return out.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), "l_orderkey", "source_name", "target_name")
+    links = lines.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), "l_orderkey")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return relations.both_ends(links, s, "id", ["name"], p).select("source", "target", "l_orderkey", "source_name", "target_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
