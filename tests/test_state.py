@@ -153,6 +153,16 @@ def test_index_agrees_with_the_scan(spark, tmp_path):
         assert {i for k, i, _ in want if k == q} == scan
 
 
+def test_phrases_lie_within_one_text(spark, tmp_path):
+    """Rows of one id are texts of their own; words that many phrases share are read once, and equal rows count once."""
+    df = spark.createDataFrame([(1, "a x"), (1, "x b"), (2, "a b a b"), (2, "a b a b")], "id long, text string")
+    textindex.build(df, "id", ["text"], str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "a b"), (2, "A, b!"), (3, "b a b"), (4, "a"), (5, "?")], "query_id long, phrase string")
+    found = textindex.search(textindex.read(spark, str(tmp_path / "index")), queries).collect()
+    assert sorted((r.query_id, r.id, r.hits) for r in found) == [(1, 2, 2), (2, 2, 2), (3, 2, 1), (4, 1, 1), (4, 2, 2)]
+    assert textindex.search(textindex.read(spark, str(tmp_path / "index")), queries.where("query_id = 5")).collect() == []
+
+
 FOLDER = "id long, parent long, name string"
 
 
