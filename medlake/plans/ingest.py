@@ -8,7 +8,7 @@ from medlake.functions import scalars as S
 from medlake.operators import archive, filters, folders, hygiene, naming, relations, services, usage
 from medlake.plans.state import TREE_SQL, fresh, tree
 from medlake.plans.upkeep import ALIASES, CALLS_SQL, CODES, FILES_SQL, IN_STANDARD, KEYWORDS, PERSON, call_rows, file_rows
-from medlake.session import table
+from medlake.session import dealt, table
 from medlake.sources import files
 
 QUERIES: dict = {}
@@ -86,6 +86,7 @@ SELECT * FROM b UNION ALL SELECT n.* FROM n ANTI JOIN b ON b.l_suppkey = n.l_sup
 def inserted_references(spark, d):
     """Cross references inserted in bulk: pairs that are there keep what they say."""
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    rows = dealt(rows, rows.count(), "l_suppkey", "l_partkey")  # for both groupings and the join
     there = rows.where("l_linenumber = 1").groupBy("l_suppkey", "l_partkey").agg(F.max("l_orderkey").alias("first_seen"))
     return relations.insert_missing(there, rows.groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("first_seen")), ["l_suppkey", "l_partkey"])
 
