@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlake.operators.relations import _cut
+from medlake.session import dealt
 
 MONTH = "^\\d{4}-\\d{2}$"
 
@@ -14,18 +17,27 @@ def paths(folders: DataFrame, separator: str = "/") -> DataFrame:
     """Folders (id, parent, name) with path and depth from a root, whose parent is null.
 
     Each round joins a folder with the folder that its way has reached so far, which doubles the way, so rounds grow
-    with the logarithm of the depth.  Folders whose parents lead to no root, in cycles among them, have no row.
+    with the logarithm of the depth.  Folders that have reached a root are not joined again.  Folders whose parents
+    lead to no root, in cycles among them, have no row.
     """
     way = _cut(folders.select("id", F.col("parent").alias("up"), F.col("name").alias("path"), F.lit(0).alias("depth")))
-    done = way.where("up is null").count()
+    done, rows, size = [], 0, 0
     while True:
-        above = way.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"), F.lit(True).alias("met"))
-        longer = way.join(above, "up", "left")
+        n, ended, long = way.agg(F.count(F.lit(1)), F.count_if(F.col("up").isNull()), F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()
+        if not done:
+            rows = n
+        elif not ended:  # depths have no gaps: if no folder of the next ones has reached a root, none will
+            break
+        size += long
+        done.append(way.where("up is null"))
+        if n == ended:
+            break
+        way = way.where("up is not null")
+        above = reduce(DataFrame.unionByName, [*done, way]).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"), F.lit(True).alias("met"))
+        longer = dealt(way, rows, "up", size=size).join(dealt(above, rows, "up", size=size), "up", "left")
         path = F.when(F.col("met"), F.concat_ws(separator, "head", "path")).otherwise(F.col("path"))
         way = _cut(longer.select("id", F.when(F.col("met"), F.col("next")).otherwise(F.col("up")).alias("up"), path.alias("path"), (F.col("depth") + F.when(F.col("met"), F.col("more") + 1).otherwise(0)).alias("depth")))
-        before, done = done, way.where("up is null").count()
-        if done == before:  # depths have no gaps: if no folder of the next ones has reached a root, none will
-            return way.where("up is null").select("id", "path", "depth")
+    return reduce(DataFrame.unionByName, done).select("id", "path", "depth")
 
 
 def merges(folders: DataFrame) -> DataFrame:
@@ -35,12 +47,14 @@ def merges(folders: DataFrame) -> DataFrame:
     That is so exactly if their whole paths agree, so that no level waits for the one above.  The keeper is the
     twin with most children of its own, of equals the one of least id.
     """
-    own = folders.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("children"))
-    rows = paths(folders.withColumn("name", F.lower("name")), "\x00").join(own, "id", "left").fillna(0, ["children"])
-    key = F.sha2("path", 256)
-    best = rows.groupBy(key.alias("key")).agg(F.max(F.struct("children", (-F.col("id")).alias("less"))).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    folders = _cut(folders)
+    n = folders.count()
+    own = dealt(folders.where("parent is not null").select(F.col("parent").alias("id")), n, "id").groupBy("id").agg(F.count(F.lit(1)).alias("children"))
+    ways = paths(folders.withColumn("name", F.lower("name")), "\x00").select("id", F.sha2("path", 256).alias("key"))
+    rows = dealt(_cut(dealt(ways, n, "id").join(own, "id", "left").fillna(0, ["children"])), n, "key")
+    best = rows.groupBy("key").agg(F.max(F.struct("children", (-F.col("id")).alias("less"))).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     keeper = -F.col("best.less")
-    return rows.select("id", key.alias("key")).join(best, "key").select("id", keeper.alias("keeper")).where("id <> keeper")
+    return rows.select("id", "key").join(best, "key").select("id", keeper.alias("keeper")).where("id <> keeper")
 
 
 def repair_plan(folders: DataFrame, items: DataFrame, categories: list[str], other: str = "other") -> DataFrame:
@@ -51,7 +65,8 @@ def repair_plan(folders: DataFrame, items: DataFrame, categories: list[str], oth
     trashed.  category: a month folder below what is no category moves below `other`, if the root has such a folder;
     else its target is null.  Items outside the tree (parent unknown) are consolidated below the root of least id.
     """
-    twins = merges(folders)
+    folders = _cut(folders)
+    twins = _cut(merges(folders))  # read five times
     kept = folders.join(twins.select("id"), "id", "left_anti")
     children = folders.select("id", "parent").unionByName(items.select("id", "parent"))
     gone = twins.select(F.col("id").alias("parent"), "keeper")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from medlake.functions import scalars as S
 from medlake.operators import archive, folders, services, textindex
+from medlake.session import dealt
 from medlake.sources import dumps, files
 from medlake.streaming import imports, stateful, streams
 
@@ -174,6 +175,22 @@ def test_paths_of_any_depth_and_cycles(spark):
     assert folders.paths(spark.createDataFrame([], FOLDER)).collect() == []
 
 
+def test_dealt_rows_stay_apart_however_well_they_compress(spark):
+    """Rows that are all alike but for their key lie in as many partitions as their number asks for, in joins too."""
+    rows = spark.range(1_300_000).select("id", F.lit("x").alias("same"))
+    parts = dealt(rows, rows.count(), "id").join(dealt(rows.select("id"), rows.count(), "id"), "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 6 and sum(r["count"] for r in parts) == 1_300_000
+    assert dealt(rows, 10, "id", size=512 << 20).rdd.getNumPartitions() == 8
+
+
+def test_ways_that_have_ended_are_not_joined_again(spark):
+    """Paths of short and long ways, of two roots, of a tree of roots alone and of repeated names."""
+    rows = [(0, None, "a"), (1, None, "b")] + [(i, 0, f"s{i}") for i in range(2, 40)] + [(i, i - 1 if i > 100 else 1, "n") for i in range(100, 171)]
+    got = {r.id: (r.path, r.depth) for r in folders.paths(spark.createDataFrame(rows, FOLDER)).collect()}
+    assert len(got) == len(rows) and got[39] == ("a/s39", 1) and got[170] == ("/".join(["b"] + ["n"] * 71), 71)
+    assert sorted(tuple(r) for r in folders.paths(spark.createDataFrame(rows[:2], FOLDER)).collect()) == [(0, "a", 0), (1, "b", 0)]
+
+
 def test_twins_merge_level_by_level(spark):
     """Twins below twins merge too; the twin with most children stays."""
     rows = [(1, None, "root"), (2, 1, "Labs"), (3, 1, "labs"), (4, 2, "2024-01"), (5, 3, "2024-01"), (6, 3, "2024-02"), (7, 5, "a"), (8, 4, "b"), (9, 5, "c"), (10, 1, "other"), (11, 10, "2024-03"), (12, 11, "2024-04"), (13, 1, "2024-05")]
