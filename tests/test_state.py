@@ -50,6 +50,21 @@ def test_rate_is_exact_at_the_edge(spark, tmp_path):
     assert (got[200], got[201], got[202], got[203]) == (False, True, False, True)
 
 
+def test_keys_are_called_upon_in_groups(spark, tmp_path, monkeypatch):
+    """Keys of one group have decisions and state of their own, also where one of them has ended and others go on."""
+    monkeypatch.setattr(stateful, "GROUPS", 1)
+    at = lambda s: T0 + timedelta(seconds=s)
+    parts = [
+        [(1, "a", at(0), "ok"), (2, "b", at(0), "ok"), (3, "a", at(1), "ok"), (4, 'b",', at(1), "ok")],
+        [(5, "b", at(200_000), "ok"), (6, "b", at(200_001), "ok")],
+        [(7, "a", at(200_002), "ok"), (8, "b", at(200_002), "ok"), (9, "b", at(200_060), "ok")],
+    ]
+    got = {r.id: (r.tenant, r.allowed) for r in streamed(spark, tmp_path / "rates", parts, CALLS, lambda c: stateful.limited(c, "tenant", 1))}
+    assert got == {1: ("a", True), 2: ("b", True), 3: ("a", False), 4: ('b",', True), 5: ("b", True), 6: ("b", False), 7: ("a", True), 8: ("b", False), 9: ("b", True)}
+    hits = {r.id: r.hit_id for r in streamed(spark, tmp_path / "hits", parts, CALLS, lambda c: stateful.answered(c, ["tenant"], 60))}
+    assert hits == {1: None, 2: None, 3: 1, 4: None, 5: None, 6: 5, 7: None, 8: 5, 9: 5}
+
+
 def test_rates_of_windows(spark, tmp_path):
     rows = [(i, "a", T0 + timedelta(seconds=i), "ok") for i in range(5)] + [(9, "a", T0 + timedelta(days=2), "ok")]
     got = streamed(spark, tmp_path, [rows, [(10, "a", T0 + timedelta(days=5), "ok")]], CALLS, lambda c: streams.rates(c, "tenant", most=4))
