@@ -331,6 +331,37 @@ def test_suffix_dedup_sorts_no_large_bucket(spark, monkeypatch):
     assert sizes and max(sizes) <= 5
 
 
+def test_suffix_dedup_shuffles_only_texts_that_meet_something(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BROADCAST_ENTRIES", 0)
+    rng = random.Random(43)
+    passage = words(rng, 120)
+    texts = [words(rng, 200) for _ in range(60)]
+    texts += [words(rng, 90) + " " + passage + " " + words(rng, 90) for _ in range(4)]
+    met, likely = [], suffixdedup.likely
+
+    def spied(rows, few, keys):
+        out = likely(rows, few, keys)
+        if "text" in rows.columns:
+            met.append({r.doc_id for r in out.where("met").select("doc_id").collect()})
+        return out
+
+    monkeypatch.setattr(suffixdedup, "likely", spied)
+    got = by_id(suffixdedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i in range(64))] == plain_suffix_dedup(texts)
+    assert len(met) == 2 and all(m <= {60, 61, 62, 63} for m in met) and met[-1] == {60, 61, 62, 63}
+
+
+@pytest.mark.parametrize("n_words", [1, 4, 1 << 19])
+def test_likely_rows_hold_all_that_meet(spark, monkeypatch, n_words):
+    monkeypatch.setattr(suffixdedup, "WORDS", n_words)
+    rows = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    few = rows.where("a % 50 = 3").unionByName(rows.where("a % 50 = 3"))
+    got = suffixdedup.likely(rows, few, ["a", "b"])
+    assert got.columns == ["a", "b", "met"] and got.count() == 2000
+    met = {r.a for r in got.where("met").collect()}
+    assert met >= set(range(3, 2000, 50)) and (n_words < 1 << 19 or len(met) < 60)
+
+
 # 5 shards
 
 
