@@ -238,6 +238,28 @@ def test_dump_comes_back_and_damage_is_found(spark, tmp_path):
     assert [(r.name, r.rows, r.now_rows) for r in dumps.damaged(spark, path).collect()] == [("two", 500, 500)]
 
 
+def test_dump_reads_its_tables_once_and_a_moved_null_is_damage(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(300).selectExpr("id", "if(id = 7, null, 'x') as a", "if(id = 7, 'x', null) as b", "array(id, null) as c").mapInPandas(counted, "id long, a string, b string, c array<long>")
+    path = str(tmp_path / "dump")
+    dumps.dump({"rows": rows, "none": spark.createDataFrame([], "q string")}, path)
+    assert read.value == 300
+    seen = lambda: {tuple(r) for r in dumps.restored(spark, path).select("name", "rows", "columns", "whole").collect()}
+    assert seen() == {("rows", 300, 4, True), ("none", 0, 1, True)}
+    for part in [f for f in os.listdir(f"{path}/data/rows") if f.endswith(".json.gz")]:
+        text = gzip.open(f"{path}/data/rows/{part}", "rt").read()
+        os.remove(f"{path}/data/rows/.{part}.crc")
+        with gzip.open(f"{path}/data/rows/{part}", "wt") as f:
+            f.write(text.replace('"id":7,"a":null,"b":"x"', '"id":7,"a":"x","b":null'))
+    assert seen() == {("rows", 300, 4, False), ("none", 0, 1, True)}
+
+
 def test_json_of_any_shape(spark):
     texts = ['{"a": {"b": [1, null]}, "c": "x"}', "[1, [2], null]", '"s"', "3.5", "true", "null", "{", "", None, '{"a": 1} x', "1,2", "1] [2", "1} {2", " 7 "]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, j string").withColumn("v", S.parsed_json(F.col("j")))
