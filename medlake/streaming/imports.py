@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from medlake.operators.relations import _cut
+from medlake.session import PART_ROWS
 from medlake.streaming.streams import classify
 
 
@@ -62,8 +64,10 @@ class StoredTable:
             return False
         touched = [r[0] for r in rows.select(self.bucket()).distinct().collect()]
         if touched:
-            merged = merge(self.read(touched), rows).select(*self.schema.names).withColumn("bucket", self.bucket())
-            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch}")
+            old = self.read(touched)
+            merged = merge(old, rows).select(*self.schema.names).withColumn("bucket", self.bucket())
+            shares = 1 + (old.count() + rows.count()) // (len(touched) * PART_ROWS)  # tasks that write a bucket
+            merged.repartition(len(touched) * shares, "bucket", F.pmod(F.hash(self.key), F.lit(shares))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch}")
         held = {b: k for b, k in self.manifest().items() if b not in touched} | {b: batch for b in touched if self._exists(f"data/batch={batch}/bucket={b}")}
         self.spark.createDataFrame(list(held.items()), "bucket int, held int").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/batch={batch}")
         return True
@@ -106,14 +110,14 @@ def import_batch(store: StoredTable, listing: DataFrame, batch: int, full: Calla
     done = store.batches()
     if done and batch <= done[-1]:
         return False
-    arrived = _latest(listing)
+    arrived = _cut(_latest(listing))  # read up to four times, as are the states
     buckets = [r[0] for r in arrived.select(store.bucket()).distinct().collect()]
     known = store.read(buckets)
-    states = classify(arrived, known).join(known.select("id", "removed_at"), "id", "left")
+    states = _cut(classify(arrived, known, "removed_at"))
     counts = {r.state: r.n for r in states.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = states.where("state <> 'unchanged' or removed_at is not null").drop("removed_at")
     if full(batch, bool(counts.get("new") or counts.get("updated"))):
-        missing = store.read().where("removed_at is null").join(arrived.select("id"), "id", "left_anti").select("id", "name", "modified", "md5", F.lit("removed").alias("state"))
+        missing = _cut(store.read().where("removed_at is null").join(arrived.select("id"), "id", "left_anti").select("id", "name", "modified", "md5", F.lit("removed").alias("state")))
         counts["removed"] = missing.count()
         rows = rows.unionByName(missing)
     told = store.spark.createDataFrame([(batch, s, n) for s, n in counts.items() if n], "batch int, state string, n long")

@@ -38,9 +38,9 @@ def sessions(events: DataFrame, by: str, gap: str = "30 minutes", lateness: str
     return s.select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def classify(arrived: DataFrame, known: DataFrame) -> DataFrame:
-    """Arrived files (id, modified, md5, name) against known ones: new, unchanged, renamed or updated."""
-    old = known.select("id", F.col("modified").alias("was"), F.col("md5").alias("was_md5"), F.col("name").alias("was_name"))
+def classify(arrived: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """Arrived files (id, modified, md5, name) against known ones, with more columns of these: new, unchanged, renamed or updated."""
+    old = known.select("id", F.col("modified").alias("was"), F.col("md5").alias("was_md5"), F.col("name").alias("was_name"), *more)
     state = (
         F.when(F.col("was").isNull(), "new")
         .when(F.col("modified") <= F.col("was"), "unchanged")

@@ -88,6 +88,23 @@ def test_a_batch_counts_once(spark, tmp_path):
     assert {(r.batch, r.state): r.n for r in imports.counts(store).collect()} == {(0, "new"): 4, (1, "unchanged"): 2, (1, "renamed"): 1, (1, "updated"): 1, (1, "new"): 1}
 
 
+def test_an_import_reads_its_listing_once_and_several_tasks_write_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(imports, "PART_ROWS", 20)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    store = imports.StoredTable(spark, str(tmp_path), imports.IMPORTED, "id", 2)
+    rows = spark.range(200).selectExpr("id", "concat('f', id) as name", "timestamp'2024-01-01' as modified", "md5(cast(id as string)) as md5").mapInPandas(counted, imports.LISTING)
+    assert imports.import_batch(store, rows, 0, imports.every(1)) and read.value == 200
+    assert imports.import_batch(store, rows.where("id < 150"), 1, imports.every(1)) and read.value == 400
+    assert store.read().where("removed_at = 1").count() == 50 and store.read().count() == 200
+    assert all(len([f for f in os.listdir(tmp_path / f"data/batch=1/bucket={b}") if f.endswith(".parquet")]) > 1 for b in (0, 1))
+
+
 def test_a_batch_that_broke_off_is_written_again(spark, tmp_path):
     store = imports.StoredTable(spark, str(tmp_path), imports.IMPORTED, "id", 2)
     imports.import_batch(store, listing(spark, [(1, "a", 0, "x")]), 0)
