@@ -3,7 +3,9 @@
 import gzip
 import os
 import random
+import re
 import unicodedata
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -236,6 +238,62 @@ def test_twins_merge_level_by_level(spark):
     assert len(plan) == 10 and set(plan) == {("merge", 2, 3), ("trash", 2, None), ("merge", 4, 5), ("trash", 4, None), ("reparent", 8, 5), ("reparent", 100, 5), ("raise", 101, 11), ("trash_nested", 12, None), ("category", 13, 10), ("consolidate", 103, 1)}
 
 
+def _plain_plan(rows, items, categories):
+    """repair_plan() of a tree below roots, one folder after the other."""
+    by = {i: (p, n) for i, p, n in rows}
+    path = lambda i: () if i is None else (*path(by[i][0]), by[i][1].lower())
+    children = Counter(p for _, p, _ in rows)
+    classes = {}
+    for i in by:
+        classes.setdefault(path(i), []).append(i)
+    keeper = {i: k for c in classes.values() for k in [max(c, key=lambda x: (children[x], -x))] for i in c if i != k}
+    month = lambda i: re.fullmatch("\\d{4}-\\d{2}", by[i][1])
+    months = [i for i, (p, _) in by.items() if i not in keeper and month(i) and p is not None]
+    nested = {i: by[i][0] for i in months if month(by[i][0])}
+    roots = [i for i, (p, _) in by.items() if p is None]
+    places = [i for i, (p, n) in by.items() if n == "other" and p in roots and i not in keeper]
+    out = [(op, i, k if op == "merge" else None) for i, k in keeper.items() for op in ("merge", "trash")]
+    for i, p in [*((i, p) for i, p, _ in rows), *items]:
+        if i not in keeper:
+            out += [("reparent", i, keeper[p])] if p in keeper else [("raise", i, nested[p])] if p in nested else []
+    out += [("trash_nested", i, None) for i in nested]
+    out += [("category", i, min(places, default=None)) for i in months if i not in nested and by[by[i][0]][1] not in categories]
+    return Counter(out + [("consolidate", i, min(roots)) for i, p in items if p not in by])
+
+
+@pytest.mark.parametrize("part_rows, few", [(250_000, 100_000), (3, 0)])
+def test_repair_plan_as_a_plain_one(spark, monkeypatch, part_rows, few):
+    """Trees of few names, items of hot, unknown and no parents and of the ids of twins, whichever way their rows are joined."""
+    monkeypatch.setattr(folders, "PART_ROWS", part_rows)
+    monkeypatch.setattr(folders, "FEW", few)
+    rng = random.Random(5)
+    names = ["labs", "Labs", "LABS", "2024-01", "2024-02", "x", "other"]
+    rows = [(0, None, "root"), (1, None, "second")] + [(i, rng.choice([0, 0, 1, rng.randrange(i), max(0, i - 1)]), rng.choice(names)) for i in range(2, 160)]
+    items = [(i, rng.choice([None, 7777, 7777, 0, rng.randrange(160), 8000 + i])) for i in range(100, 700)]
+    got = folders.repair_plan(spark.createDataFrame(rows, FOLDER), spark.createDataFrame(items, "id long, parent long"), ["labs"])
+    assert Counter(tuple(r) for r in got.collect()) == _plain_plan(rows, items, ["labs"])
+
+
+def test_items_meet_their_parents_once_and_hot_ones_stay_apart(spark, monkeypatch):
+    """What is left to shuffle of a written plan is what may have the id of a twin; a parent of many items is not one task's."""
+    rows = [(0, None, "root")] + [(i, 0, f"{'Ab'[i % 2]}{i // 2}") for i in range(1, 40)] + [(41, 0, "a7"), (42, 0, "A7")]
+    df = spark.createDataFrame(rows, FOLDER)
+    items = spark.range(100, 2100).select("id", F.when(F.col("id") % 2 == 0, -99).otherwise(F.col("id") % 42).alias("parent"))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = folders.repair_plan(df, items, [])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert plan.count("Exchange hashpartitioning") <= 4  # those of items, twins, and of folders named `other` and roots
+    monkeypatch.setattr(folders, "PART_ROWS", 500)
+    top = items.agg(folders._often("parent")).first()[0]
+    assert folders._hot(top) == [-99]
+    met = folders._met(items.repartition(8), df.select(F.col("id").alias("parent"), "name"), "parent", 2000, folders._hot(top), "left")
+    hot = met.where("parent = -99").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in hot) == 1000 and max(r["count"] for r in hot) < 500
+
+
 def test_dump_comes_back_and_damage_is_found(spark, tmp_path):
     one = spark.createDataFrame([(1, "a\nb", None, 1.5, bytearray(b"\x00\xff"), datetime(2024, 1, 1, 2, 3, 4, 567), [1, None], {"k": "v"}), (2, None, True, float("nan"), None, None, None, None)], "i long, s string, b boolean, d double, x binary, t timestamp, a array<int>, m map<string,string>")
     two = spark.range(500).selectExpr("id", "cast(id as decimal(20,3)) as d", "date'2024-01-01' as day", "timestamp_ntz'2024-01-01 01:02:03.004' as n")
